@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import urls
+from . import bpe, quality, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,25 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    return quality.judge_quality(_table(spark, sf_dir, "documents"), labels)
+
+
+def tokenizer() -> tuple[str, str]:
+    """Ranks file and pattern that the contract of op5 names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), *tokenizer())
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_url_filter": op7_url_filter,
 }
 
