@@ -25,7 +25,7 @@ BUCKETS = 1 << 14
 #: Trusted documents at most, those with the smallest hash of their id.
 TRUSTED_ROWS = 20_000
 #: Mean log ratio under which a document goes, in nats per n-gram.
-THRESHOLD = -0.35
+THRESHOLD = -0.2
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
