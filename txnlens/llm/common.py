@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,38 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
             yield from fn(piece)
 
     return df.mapInArrow(run, schema)
+
+
+def suffix_array(seq: np.ndarray, sigma: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of symbols below ``sigma`` by prefix doubling, and how many symbols are smaller than each (sigma + 1 counts).
+
+    Zeros are separators: all different, ordered by position, smaller than other symbols. The last symbol must be one.
+    A sort key packs two ranks and a position of 21 bits each, so ``seq`` has at most 2^21 symbols.
+    """
+    n = len(seq)
+    if n > 1 << 21:
+        raise ValueError("split the sequence: a suffix array covers 2^21 symbols at most")
+    sep = seq == 0
+    counts = np.bincount(seq, minlength=sigma)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    rank = first[seq]
+    rank[sep] = np.arange(counts[0])
+    active, step = np.flatnonzero(~sep & (counts[seq] > 1)), 1
+    while len(active):  # groups of suffixes that share their first ``step`` symbols
+        key = (rank[active] << 42) | (rank[active + step] << 21) | active
+        key.sort()
+        at, second, group = key & 0x1FFFFF, key >> 21 & 0x1FFFFF, key >> 42
+        new_group = np.empty(len(at), bool)
+        new_group[0] = True
+        np.not_equal(group[1:], group[:-1], out=new_group[1:])
+        new = new_group.copy()
+        new[1:] |= second[1:] != second[:-1]
+        order = np.arange(len(at))
+        begin = np.maximum.accumulate(np.where(new, order, 0))
+        rank[at] = group + begin - np.maximum.accumulate(np.where(new_group, order, 0))
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        active, step = at[~alone], step * 2
+    sa = np.empty(n, np.int64)
+    sa[rank] = np.arange(n)
+    return sa, first
