@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType, TimestampType
 
 TRANSACTION_TYPES = ("CASH_IN", "CASH_OUT", "DEBIT", "PAYMENT", "TRANSFER")
 
+_KINDS = {"int": IntegerType, "double": DoubleType, "string": StringType, "timestamp": TimestampType}
+
+
+def _struct(columns: str) -> StructType:
+    """A schema from ``name type, ...``; unlike Spark's own parser it needs no session."""
+    pairs = [c.split() for c in columns.split(",")]
+    return StructType([StructField(name, _KINDS[kind]()) for name, kind in pairs])
+
+
 # Columns and types of the data model.
-RAW = StructType.fromDDL("step int, type string, amount double, nameOrig string, oldbalanceOrg double, newbalanceOrig double, nameDest string, oldbalanceDest double, newbalanceDest double, isFraud int, isFlaggedFraud int")
-CANONICAL = StructType.fromDDL(
+RAW = _struct("step int, type string, amount double, nameOrig string, oldbalanceOrg double, newbalanceOrig double, nameDest string, oldbalanceDest double, newbalanceDest double, isFraud int, isFlaggedFraud int")
+CANONICAL = _struct(
     "transaction_id string, timestamp timestamp, transaction_type string, origin_account_id string, destination_account_id string, amount double, "
     "origin_balance_before double, origin_balance_after double, destination_balance_before double, destination_balance_after double, is_fraud int, is_flagged_fraud int"
 )
-FEATURES = StructType.fromDDL(
+FEATURES = _struct(
     "transaction_id string, timestamp timestamp, transaction_type string, origin_account_id string, destination_account_id string, amount double, amount_log double, "
     "origin_balance_before double, origin_balance_after double, origin_balance_delta double, origin_balance_change_ratio double, amount_to_origin_balance_ratio double, "
     "destination_balance_before double, destination_balance_after double, destination_balance_delta double, destination_balance_change_ratio double, amount_to_destination_balance_ratio double, "
@@ -21,11 +30,11 @@ FEATURES = StructType.fromDDL(
     "transaction_hour int, transaction_day_of_week int, is_cash_in int, is_cash_out int, is_debit int, is_payment int, is_transfer int, "
     "transactions_last_1h int, transactions_last_24h int, amount_sum_last_24h double, unique_destinations_last_30d int, is_fraud int, is_flagged_fraud int"
 )
-PREDICTION_EVENTS = StructType.fromDDL(
+PREDICTION_EVENTS = _struct(
     "feedback_id string, schema_version string, event_time timestamp, model_name string, model_version string, feature_contract_version string, "
     "features_json string, risk_score double, decision_threshold double, decision string, latency_seconds double, stored_at timestamp"
 )
-DELAYED_LABELS = StructType.fromDDL("feedback_id string, schema_version string, label int, label_time timestamp, stored_at timestamp")
+DELAYED_LABELS = _struct("feedback_id string, schema_version string, label int, label_time timestamp, stored_at timestamp")
 
 
 def schema_errors(actual: StructType, expected: StructType) -> list[str]:
