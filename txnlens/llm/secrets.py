@@ -71,7 +71,8 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scanned = materialize(src.mapInArrow(_scan, f"row long, id {kind}, owner string, found array<struct<start: long, kind: int, end: long, value: long>>"))
     each = scanned.filter(F.size("found") > 0).select("row", "id", "owner", F.explode("found").alias("x")).select("row", "id", "owner", "x.*")
     by_owner = each.select("value", "owner", "id").distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    owners = by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+    # written, so that the join below shuffles both sides and a value of very many rows can be split
+    owners = materialize(by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories")))
     judged = each.join(owners, "value").withColumn("live", F.col("owners") <= max_owners)
     per_row = judged.groupBy("row").agg(
         F.collect_list(F.when(F.col("live") & (F.col("kind") == 3), F.struct("start", "kind", "end"))).alias("owned"),
