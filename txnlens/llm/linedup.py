@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from .common import materialize
 
 COUNTERS = 1 << 15
+#: Rows that are broadcast at most; beyond, both sides of a join are shuffled.
+BROADCAST_ROWS = 500_000
 #: Lines of one document at most: a line's place is its document's number times this plus its own.
 LINES = 1 << 22
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,32 +71,35 @@ def removed_lines(numbered: DataFrame, text_col: str, threshold: int = 80) -> Da
     """(doc, line_no) of every line that has a similar earlier one."""
     docs = numbered.select("doc", F.col("row").getField(text_col).alias("text")).filter("text is not null")
     order = _rarity(F.col("text"), docs)
-    pos = F.col("doc") * LINES + F.col("line_no")
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select(F.when(F.col("line_no") < LINES, pos).otherwise(F.raise_error(F.lit("too many lines in a document"))).cast("long").alias("pos"), "line", words_of(F.col("line")).alias("w")).filter("size(w) > 0")
+    pos = F.when(F.col("line_no") < LINES, F.col("doc") * LINES + F.col("line_no")).otherwise(F.raise_error(F.lit("too many lines in a document"))).cast("long")
+    texts = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(pos.alias("pos"), "line")
+    lines = texts.select("pos", words_of(F.col("line")).alias("w")).filter("size(w) > 0")
     mask = F.lit((1 << 56) - 1)
     packed = F.sort_array(F.transform("w", lambda w: F.shiftleft(F.element_at(order, (F.pmod(F.xxhash64(w), F.lit(COUNTERS)) + 1).cast("int")).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(mask))))
     n = F.col("n")
     prefix = n - F.floor((n * threshold + 99) / 100).cast("int") + 1
-    lines = lines.select("pos", "line", F.size("w").alias("n"), packed.alias("t"))
-    lines = lines.select("pos", "line", "n", F.xxhash64("t").alias("s1"), F.hash("t", F.lit(7)).alias("s2"), F.when(100 * n >= threshold * (n + 1), F.slice("t", 1, prefix)).alias("keys"))  # fewer words match equal sets only
+    lines = lines.select("pos", F.size("w").alias("n"), packed.alias("t"))
+    lines = lines.select("pos", "n", F.xxhash64("t").alias("s1"), F.hash("t", F.lit(7)).alias("s2"), F.when(100 * n >= threshold * (n + 1), F.slice("t", 1, prefix)).alias("keys"))  # fewer words match equal sets only
     lines = materialize(lines)
 
     firsts = materialize(lines.groupBy("s1", "s2", "n").agg(F.min("pos").alias("cls")))
     reps = materialize(lines.filter("keys is not null").select("pos", "n", "keys").join(firsts.select(F.col("cls").alias("pos")), "pos"))
     keys = reps.select("pos", "n", F.posexplode("keys").alias("i", "key"))
-    lists = materialize(keys.groupBy("key").agg(F.min("pos").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    lists = materialize(keys.groupBy("key").agg(F.min("pos").alias("lead"), F.min_by("n", "pos").alias("lead_n"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = materialize(keys.join(lists, "key").filter("size > 2 or pos != lead"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(b): the later lines of the (a, b) pairs that are similar."""
         pairs = materialize(pairs.distinct())
-        text = lines.select("pos", "line")
-        with_a = pairs.join(text.select(F.col("pos").alias("a"), F.col("line").alias("la")), "a")
-        with_b = with_a.join(text.select(F.col("pos").alias("b"), F.col("line").alias("lb")), "b")
-        return materialize(with_b.filter(_similar(words_of(F.col("la")), words_of(F.col("lb")), threshold)).select("b").distinct())
-
-    gone = verified(members.filter("pos != lead").select(F.col("lead").alias("a"), F.col("pos").alias("b")))
+        wanted = materialize(pairs.select(F.col("a").alias("pos")).union(pairs.select("b")).distinct())
+        words = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "pos").select("pos", words_of(F.col("line")).alias("w"))
+        words = materialize(words)
+        with_a = pairs.join(words.select(F.col("pos").alias("a"), F.col("w").alias("wa")), "a")
+        with_b = with_a.join(words.select(F.col("pos").alias("b"), F.col("w").alias("wb")), "b")
+        return materialize(with_b.filter(_similar(F.col("wa"), F.col("wb"), threshold)).select("b").distinct())
+
+    fits = 100 * F.least("n", "lead_n") >= threshold * F.greatest("n", "lead_n")
+    gone = verified(members.filter((F.col("pos") != F.col("lead")) & fits).select(F.col("lead").alias("a"), F.col("pos").alias("b")))
     rest = materialize(members.filter("size > 2 and pos != lead").select("key", F.col("pos").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib")).join(gone, "b", "left_anti"))
     earlier = members.filter("size > 2 and pos != lead").select("key", F.col("pos").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
     room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # words that the two can still share
@@ -113,7 +118,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     lines = F.split(F.col("row").getField(text_col), "\n")
     numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("row").getField(text_col)).otherwise(F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n"))
-    joined = numbered.join(materialize(gone), "doc", "left")
+    gone = materialize(gone)
+    small = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    joined = numbered.join(F.broadcast(gone) if small else gone, "doc", "left")
     own = {text_col: text.alias(text_col), "n_lines": None, "n_removed": None}
     cols = [own[c] if c in own else F.col("row").getField(c).alias(c) for c in df.columns if own.get(c, 1) is not None]
     return joined.select(*cols, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
