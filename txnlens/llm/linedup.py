@@ -100,11 +100,15 @@ def removed_lines(numbered: DataFrame, text_col: str, threshold: int = 80) -> Da
 
     fits = 100 * F.least("n", "lead_n") >= threshold * F.greatest("n", "lead_n")
     gone = verified(members.filter((F.col("pos") != F.col("lead")) & fits).select(F.col("lead").alias("a"), F.col("pos").alias("b")))
-    rest = materialize(members.filter("size > 2 and pos != lead").select("key", F.col("pos").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib")).join(gone, "b", "left_anti"))
-    earlier = members.filter("size > 2 and pos != lead").select("key", F.col("pos").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    # of a pair, the smaller set meets by a shorter prefix: n - ceil(2t / (1 + t) n) + 1 words
+    left = members.filter("size > 2 and pos != lead").withColumn("short", F.col("i") <= n - F.ceil(2 * threshold * n / (100 + threshold)))
+    rest = materialize(left.select("key", F.col("pos").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("short").alias("sb")).join(gone, "b", "left_anti"))
+    earlier = materialize(left.select("key", F.col("pos").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("short").alias("sa")))
     room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # words that the two can still share
     close = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & ((100 + threshold) * room >= threshold * (F.col("na") + F.col("nb")))
-    gone = gone.union(verified(rest.join(earlier, "key").filter(close).select("a", "b")))
+    smaller = rest.filter("sb").join(earlier, "key").filter(close & (F.col("nb") <= F.col("na")))
+    larger = rest.join(earlier.filter("sa"), "key").filter(close & (F.col("nb") > F.col("na")))
+    gone = gone.union(verified(smaller.select("a", "b").union(larger.select("a", "b"))))
 
     state = materialize(firsts.join(gone.select(F.col("b").alias("cls"), F.lit(True).alias("gone")), "cls", "left"))
     out = lines.select("pos", "s1", "s2", "n").join(state, ["s1", "s2", "n"]).filter("gone or pos != cls")
