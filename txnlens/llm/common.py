@@ -29,10 +29,22 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a scan of it: lineage ends there, and lost executors cost no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/txnlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, max_rows: int, *keys: str) -> DataFrame:
+    """About ``max_rows`` rows at most, one of each distinct hash of ``keys``: those whose hash is under a threshold.
+
+    The threshold follows from the row count, so that no task has to hand more than its share to the driver; copies of a
+    row count once. All rows if there are no more than ``max_rows``.
+    """
+    h = F.xxhash64(*keys)
+    n = df.count()
+    cut = -(1 << 63) + (1 << 64) * max_rows // n if n > max_rows else (1 << 63) - 1
+    return df.withColumn("_h", h).filter(F.col("_h") <= F.lit(cut)).dropDuplicates(["_h"]).drop("_h")
+
+
 def utf8(name: str | Column) -> Column:
     """A text column as a string without nulls."""
     return F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
@@ -55,6 +67,34 @@ def parts(batches: Iterable[pa.RecordBatch], text: int, max_bytes: int = 4 << 20
         yield batch.slice(start)
 
 
+def bucket_counts(df: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], counters: int, text: int | None = None) -> np.ndarray:
+    """How many of the 64-bit ``values`` of all batches fall in each of ``counters`` buckets (a power of two), by their low bits.
+
+    Each task sums its own buckets; sums meet by chunks of buckets. 8 bytes a bucket reach the driver, whatever the input.
+    """
+    chunk = min(counters, 1 << 12)
+
+    def count(batches):
+        sums = np.zeros(counters, np.int64)
+        for batch in batches if text is None else parts(batches, text):
+            sums += np.bincount(values(batch) & (counters - 1), minlength=counters)
+        some = sums.reshape(-1, chunk)
+        used = np.flatnonzero(some.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([some[k].tobytes() for k in used], pa.binary())], names=["chunk", "n"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "n"])
+
+    out = np.zeros((counters // chunk, chunk), np.int64)
+    for k, n in df.mapInArrow(count, "chunk long, n binary").repartition("chunk").mapInArrow(add, "chunk long, n binary").collect():
+        out[k] += np.frombuffer(n, np.int64)
+    return out.reshape(-1)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, text: int = 1, max_bytes: int = 4 << 20) -> DataFrame:
     """``mapInArrow`` over pieces of bounded text size; ``text`` is the position of the text column."""
 

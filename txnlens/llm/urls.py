@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import hashed_sample, utf8
 
 #: (verdict, host, path prefix)
 Rule = tuple[str, str, str]
-#: Labelled URLs that the trees are fitted on at most: those with the smallest hash.
+#: Labelled URLs that the trees are fitted on, about, at most: those with small hashes.
 TRAIN_ROWS = 20_000
 
 FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "host_digits", "entropy", "params", "query_length", "hyphens", "labels", "fragment", "secure", "suffix_rate", "suffix_count")
@@ -149,9 +149,9 @@ class Boosted:
 
 
 def fit(labelled: DataFrame, max_rows: int = TRAIN_ROWS) -> tuple[Boosted, dict[str, tuple[float, float]]]:
-    """Fit on (url, host, path, blocked) rows: the ``max_rows`` with the smallest hash of the URL, which is all that reaches the driver."""
+    """Fit on (url, host, path, blocked) rows: about ``max_rows`` distinct ones with small hashes, which is all that reaches the driver."""
     cols = [F.col(c).alias(c) for c in ("url", "host", "path", "blocked")]
-    picked = labelled.select(*cols, F.xxhash64("url").alias("_h")).orderBy("_h", "url", "blocked").limit(max_rows).collect()
+    picked = sorted(hashed_sample(labelled.select(*cols), max_rows, "url", "blocked").collect())
     urls, hosts, paths = ([r[k] for r in picked] for k in range(3))
     y = np.array([float(r[3]) for r in picked])
     n, bad = Counter(map(_suffix, hosts)), Counter(_suffix(h) for h, b in zip(hosts, y, strict=True) if b)
