@@ -21,13 +21,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, parts
+from .common import arrow_map, hashed_sample, parts
 
 #: Bytes of a window.
 STEPS = 64
 #: Units of each direction.
 UNITS = 8
-#: Labelled rows that training sees at most (those with the smallest hash), and windows of each.
+#: Labelled rows that training sees at most (about, those with small hashes), and windows of each.
 TRAIN_ROWS = 2_000
 TRAIN_WINDOWS = 8
 UPDATES = 300
@@ -177,9 +177,9 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_r
     """Fit on at most ``max_rows`` labelled rows, of each ``TRAIN_WINDOWS`` windows spread over the text; None without any."""
     text = F.col(text_col)
     picked = rows.filter(text.isNotNull() & (F.length(text) > 0) & F.col(lang_col).isNotNull()).select(text.alias("t"), F.col(lang_col).alias("l"))
-    picked = picked.orderBy(F.xxhash64("t"), "l").limit(max_rows)
     slices = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)), lambda i: F.substring(F.col("t"), F.lit(1) + F.floor(i * F.length("t") / TRAIN_WINDOWS).cast("int"), F.lit(STEPS)))
-    found = picked.select("l", F.array_distinct(slices)).collect()
+    picked = hashed_sample(picked, max_rows, "t", "l")
+    found = sorted((r[0], r[1]) for r in picked.select("l", F.array_distinct(slices)).collect())
     languages = sorted({r[0] for r in found})
     pairs = [(s.encode()[:STEPS], languages.index(r[0])) for r in found for s in r[1] if s]
     if not pairs:
@@ -212,7 +212,7 @@ def predict(df: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_col
     return arrow_map(src, run, f"id {kind}, text string, held_out boolean, lang_pred string, score double").select(F.col("id").alias(id_col), "held_out", "lang_pred", "score")
 
 
-def keep_known(df: DataFrame, model: BiGru | None, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+def keep_known(df: DataFrame, model: BiGru | None, text_col: str = "text", min_score: float = 0.35) -> DataFrame:
     """The rows, all columns, whose text has a language with a pooled probability of at least ``min_score``."""
     shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
 
