@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, parts
+from .common import arrow_map, hashed_sample, parts
 
 #: Hash buckets of the two multinomials.
 BUCKETS = 1 << 14
-#: Trusted documents at most, those with the smallest hash of their id.
+#: Trusted documents, about, at most: those with small hashes of their id.
 TRUSTED_ROWS = 20_000
 #: Mean log ratio under which a document goes, in nats per n-gram.
 THRESHOLD = -0.2
@@ -87,7 +87,7 @@ def base_counts(text: str, words: list[bytes], raw: bytes, ids: np.ndarray) -> t
 def corpus_counts(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_trusted: int = TRUSTED_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket sums over all documents and over the trusted ones. ``trusted`` has one column, the ids."""
     name = trusted.columns[0]
-    picked = trusted.filter(F.col(name).isNotNull()).distinct().orderBy(F.xxhash64(name), name).limit(max_trusted)
+    picked = hashed_sample(trusted.filter(F.col(name).isNotNull()), max_trusted, name)
     ids = df.sparkSession.sparkContext.broadcast({r[0] for r in picked.collect()})
 
     def count(batches):
