@@ -43,7 +43,7 @@ def make(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_matches_brute_force(spark, seed):
     texts = make(seed)
     got = rows(ld.dedup_lines(docs(spark, texts)))

@@ -24,9 +24,13 @@ from pyspark.sql import types as T
 
 from .common import materialize
 
-COUNTERS = 1 << 15
+COUNTERS = 1 << 17
 #: Rows that are broadcast at most; beyond, both sides of a join are shuffled.
 BROADCAST_ROWS = 500_000
+#: Bits of a key; a word's hash is cut to them, which can only add candidates.
+KEY_BITS = 48
+#: Words that a pair must share in its prefixes, which are longer by this less one.
+SHARED = 3
 #: Lines of one document at most: a line's place is its document's number times this plus its own.
 LINES = 1 << 22
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,16 +81,16 @@ def removed_lines(numbered: DataFrame, text_col: str, threshold: int = 80) -> Da
     mask = F.lit((1 << 56) - 1)
     packed = F.sort_array(F.transform("w", lambda w: F.shiftleft(F.element_at(order, (F.pmod(F.xxhash64(w), F.lit(COUNTERS)) + 1).cast("int")).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(mask))))
     n = F.col("n")
-    prefix = n - F.floor((n * threshold + 99) / 100).cast("int") + 1
+    prefix = F.least(n, n - F.floor((n * threshold + 99) / 100).cast("int") + SHARED)
     lines = lines.select("pos", F.size("w").alias("n"), packed.alias("t"))
-    lines = lines.select("pos", "n", F.xxhash64("t").alias("s1"), F.hash("t", F.lit(7)).alias("s2"), F.when(100 * n >= threshold * (n + 1), F.slice("t", 1, prefix)).alias("keys"))  # fewer words match equal sets only
+    lines = lines.select("pos", "n", F.xxhash64("t").alias("s1"), F.hash("t", F.lit(7)).alias("s2"), F.when(100 * n >= threshold * (n + 1), F.transform(F.slice("t", 1, prefix), lambda k: k.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))).alias("keys"))  # fewer words match equal sets only
     lines = materialize(lines)
 
     firsts = materialize(lines.groupBy("s1", "s2", "n").agg(F.min("pos").alias("cls")))
     reps = materialize(lines.filter("keys is not null").select("pos", "n", "keys").join(firsts.select(F.col("cls").alias("pos")), "pos"))
     keys = reps.select("pos", "n", F.posexplode("keys").alias("i", "key"))
-    lists = materialize(keys.groupBy("key").agg(F.min("pos").alias("lead"), F.min_by("n", "pos").alias("lead_n"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    members = materialize(keys.join(lists, "key").filter("size > 2 or pos != lead"))
+    lists = materialize(keys.groupBy("key").agg(F.min("pos").alias("lead"), F.min_by("n", "pos").alias("lead_n"), F.min_by("i", "pos").alias("lead_i"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    members = materialize(keys.join(lists, "key").filter("pos != lead"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(b): the later lines of the (a, b) pairs that are similar."""
@@ -98,17 +102,23 @@ def removed_lines(numbered: DataFrame, text_col: str, threshold: int = 80) -> Da
         with_b = with_a.join(words.select(F.col("pos").alias("b"), F.col("w").alias("wb")), "b")
         return materialize(with_b.filter(_similar(F.col("wa"), F.col("wb"), threshold)).select("b").distinct())
 
-    fits = 100 * F.least("n", "lead_n") >= threshold * F.greatest("n", "lead_n")
-    gone = verified(members.filter((F.col("pos") != F.col("lead")) & fits).select(F.col("lead").alias("a"), F.col("pos").alias("b")))
-    # of a pair, the smaller set meets by a shorter prefix: n - ceil(2t / (1 + t) n) + 1 words
-    left = members.filter("size > 2 and pos != lead").withColumn("short", F.col("i") <= n - F.ceil(2 * threshold * n / (100 + threshold)))
-    rest = materialize(left.select("key", F.col("pos").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("short").alias("sb")).join(gone, "b", "left_anti"))
-    earlier = materialize(left.select("key", F.col("pos").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("short").alias("sa")))
-    room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # words that the two can still share
-    close = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & ((100 + threshold) * room >= threshold * (F.col("na") + F.col("nb")))
-    smaller = rest.filter("sb").join(earlier, "key").filter(close & (F.col("nb") <= F.col("na")))
-    larger = rest.join(earlier.filter("sa"), "key").filter(close & (F.col("nb") > F.col("na")))
-    gone = gone.union(verified(smaller.select("a", "b").union(larger.select("a", "b"))))
+    def close(n1: str, i1: str, n2: str, i2: str) -> Column:
+        """Sizes are alike, and enough words are left at these places for a pair's first three shared words to stand there."""
+        room = F.least(F.col(n1) - F.col(i1), F.col(n2) - F.col(i2)) + SHARED - 1
+        return (100 * F.least(n1, n2) >= threshold * F.greatest(n1, n2)) & ((100 + threshold) * room >= threshold * (F.col(n1) + F.col(n2)))
+
+    first = members.filter(close("n", "i", "lead_n", "lead_i")).groupBy(F.col("lead").alias("a"), F.col("pos").alias("b")).count()
+    gone = verified(first.filter(F.col("count") >= 2).select("a", "b"))
+    # of a pair, the smaller set meets by a shorter prefix: n - ceil(2t / (1 + t) n) + 3 words; pairs with a list's first line are in the list too
+    every = members.select("key", "pos", "n", "i").union(lists.select("key", F.col("lead").alias("pos"), F.col("lead_n").alias("n"), F.col("lead_i").alias("i")))
+    every = every.withColumn("short", F.col("i") < n - F.ceil(2 * threshold * n / (100 + threshold)) + SHARED)
+    rest = materialize(members.select("key", F.col("pos").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), (F.col("i") < n - F.ceil(2 * threshold * n / (100 + threshold)) + SHARED).alias("sb")).join(gone, "b", "left_anti"))
+    earlier = materialize(every.select("key", F.col("pos").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("short").alias("sa")))
+    before = (F.col("a") < F.col("b")) & close("na", "ia", "nb", "ib")
+    smaller = rest.filter("sb").join(earlier, "key").filter(before & (F.col("nb") <= F.col("na")))
+    larger = rest.join(earlier.filter("sa"), "key").filter(before & (F.col("nb") > F.col("na")))
+    shared = smaller.select("a", "b").union(larger.select("a", "b")).groupBy("a", "b").count()
+    gone = gone.union(verified(shared.filter(F.col("count") >= SHARED).select("a", "b")))
 
     state = materialize(firsts.join(gone.select(F.col("b").alias("cls"), F.lit(True).alias("gone")), "cls", "left"))
     out = lines.select("pos", "s1", "s2", "n").join(state, ["s1", "s2", "n"]).filter("gone or pos != cls")
