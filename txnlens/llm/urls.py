@@ -44,11 +44,12 @@ def path_of(url: str | Column) -> Column:
 
 def rule_column(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """The longest fitting rule as text, and its verdict; both null where none fits."""
-    text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for what, rule_host, rule_path in sorted(rules, key=lambda r: len(r[1] + r[2])):  # longer ones are laid over shorter ones
+    if not rules:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
+    text = verdict = F
+    for what, rule_host, rule_path in sorted(rules, key=lambda r: -len(r[1] + r[2])):  # one flat CASE, longer rules first
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
-        text = F.when(fits, F.lit(rule_host + rule_path)).otherwise(text)
-        verdict = F.when(fits, F.lit(what)).otherwise(verdict)
+        text, verdict = text.when(fits, F.lit(rule_host + rule_path)), verdict.when(fits, F.lit(what))
     return text, verdict
 
 
