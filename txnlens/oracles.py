@@ -163,7 +163,7 @@ SELECT a || '__' || b AS pair, (SELECT count(*) FROM parts x JOIN parts y USING
     "best_threshold_cost": f"WITH {_sweep('true')} SELECT model, threshold, expected_cost FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY expected_cost, rec DESC, threshold) AS k FROM sweep) WHERE k = 1",
     "candidate_ranking": f"WITH {_sweep('true')}, {_auc('s', 'model')}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f DESC, expected_cost, threshold) AS k FROM sweep WHERE rec >= 0.3) WHERE k = 1) SELECT model, threshold, CAST(row_number() OVER (ORDER BY pr_auc DESC, expected_cost, model) AS INTEGER) AS place FROM best JOIN auc USING (model)",
     "rejected_candidates": f"WITH {_sweep('threshold >= 0.44')}, b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY rec DESC, expected_cost, threshold) AS k FROM sweep) SELECT model, round(rec, 6) AS maximum_recall, threshold AS diagnostic_threshold FROM b WHERE k = 1 AND rec < 0.5",
-    "labels_joined": f"WITH {_LABELLED} SELECT feedback_id, event_time, label, label_time FROM j",
+    "labels_joined": f"WITH {_LABELLED} SELECT feedback_id, event_time, coalesce(label, -1) AS label, label_time FROM j",
     "labels_unmatched": f"WITH {_EVENTS} SELECT l.feedback_id, l.label, l.label_time FROM l LEFT JOIN p ON p.feedback_id = l.feedback_id WHERE p.feedback_id IS NULL OR l.label_time < p.event_time",
     "labels_overdue": f"WITH {_LABELLED} SELECT feedback_id, event_time FROM j WHERE event_time < TIMESTAMP '2024-01-25' AND label_time IS NULL",
     "label_conflicts": "WITH s AS (SELECT user_id::VARCHAR AS feedback_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label, event_id AS arrival FROM events), r AS (SELECT *, first_value(label) OVER w AS fl, first_value(arrival) OVER w AS fa FROM s WINDOW w AS (PARTITION BY feedback_id ORDER BY arrival)) SELECT feedback_id, CAST(label AS INTEGER) AS label, arrival, CASE WHEN arrival = fa THEN 'accepted' WHEN label = fl THEN 'duplicate' ELSE 'conflict' END AS outcome FROM r",

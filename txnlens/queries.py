@@ -264,7 +264,8 @@ def _window(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def labels_joined(spark: SparkSession, d: str) -> DataFrame:
-    return monitoring.labelled_events(*_window(spark, d)).select("feedback_id", "event_time", "label", "label_time")
+    """-1 stands for no label yet."""
+    return monitoring.labelled_events(*_window(spark, d)).select("feedback_id", "event_time", F.coalesce("label", F.lit(-1)).alias("label"), "label_time")
 
 
 @query
