@@ -26,17 +26,19 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts
+from .common import bucket_counts, materialize, parts
 from .components import components
 from .quality import Words
 
 #: Hashes that a sketch keeps.
 K = 64
 #: Hash buckets of the rarity counts.
-COUNTERS = 1 << 16
+COUNTERS = 1 << 20
+#: Ids that are broadcast at most (4 MB).
+BROADCAST_IDS = 500_000
 _SIGN = np.uint64(1 << 63)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -92,6 +94,25 @@ def _sketched(words: int, text_at: int):
     return run
 
 
+def _hashes(words: int):
+    def run(batches):
+        known = Words()
+        for batch in parts(batches, 1):
+            known.trim()
+            sets = [shingle_hashes(np.array([known.hashes[known[w]] for w in t.encode().lower().split()], np.uint64), words).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["uid", "h"])
+
+    return run
+
+
+def _own_shingles(docs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(uid, own): how many shingles of each of these documents no other of them has."""
+    sent = F.broadcast(docs) if docs.count() <= BROADCAST_IDS else docs
+    each = texts.join(sent, "uid").select("uid", "text").mapInArrow(_hashes(words), "uid long, h array<long>").select("uid", F.explode("h").alias("h"))
+    alone = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("uid")).filter("c = 1")
+    return materialize(alone.groupBy("uid").agg(F.count(F.lit(1)).alias("own")))
+
+
 def _retained(counts: np.ndarray, threshold: int):
     def run(batches):
         for batch in batches:
@@ -135,8 +156,11 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int,
     shared = F.size(F.array_intersect("sa", "sb"))
     passes = F.when(whole, 100 * shared >= threshold * (F.col("na") + F.col("nb") - shared)).otherwise(F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) >= share_at_least(threshold))
     likely = materialize(sized.filter(passes).select("a", "b"))
-    with_a = likely.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    wanted = materialize(likely.select(F.col("a").alias("uid")).union(likely.select("b")).distinct())
+    # up to a stated number, ids are sent to the texts; beyond, both are shuffled
+    found = materialize(texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "uid"))
+    with_a = likely.join(found.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a")
+    with_b = with_a.join(found.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return materialize(with_b.mapInArrow(_exact(words, threshold), "a long, b long"))
 
 
@@ -152,31 +176,38 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     groups = materialize(rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.min("uid").alias("uid")))
     reps = materialize(rows.select("uid", "n", "sketch").join(groups.select("uid"), "uid"))
 
-    bucket = F.col("v").bitwiseAND(F.lit(COUNTERS - 1))
-    counts = np.zeros(COUNTERS, np.int64)
-    for b, n in reps.select(F.explode("sketch").alias("v")).groupBy(bucket.alias("b")).count().collect():
-        counts[b] = n
+    counts = bucket_counts(reps.select("sketch"), lambda batch: batch.column(0).flatten().to_numpy(), COUNTERS)
     keys = reps.mapInArrow(_retained(counts, threshold), "uid long, n long, keys array<long>").select(F.explode("keys").alias("key"), "uid", "n")
     keys = materialize(keys)
-    lists = materialize(keys.groupBy("key").agg(F.min("uid").alias("lead"), F.max("uid").alias("last"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    lists = materialize(keys.groupBy("key").agg(F.min("uid").alias("lead"), F.max("uid").alias("last"), F.min_by("n", "uid").alias("lead_n"), F.max_by("n", "uid").alias("last_n"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = materialize(keys.join(lists, "key"))
 
-    links = _confirmed(members.filter("uid != lead").select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct(), reps, texts, words, threshold)
+    def fits(other: str) -> Column:
+        return 100 * F.least("n", other) >= threshold * F.greatest("n", other)
+
+    links = _confirmed(members.filter((F.col("uid") != F.col("lead")) & fits("lead_n")).select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct(), reps, texts, words, threshold)
     found = components(links)
     # lists of two are done; of the others, those whose members are not of one component go on
     for last_round in (False, True):
         of = members.filter(f"size > {3 if last_round else 2}").join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
         of = materialize(of)
         split = materialize(of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key"))
+        if split.isEmpty():
+            break
         of = of.join(split, "key")
         if last_round:
+            # a pair shares at most what is not its members' own, which rules most pairs out before they are made
             of = materialize(of.select("key", "uid", "n", "root"))
-            other = of.select("key", *[F.col(c).alias(c + "2") for c in ("uid", "n", "root")])
-            pairs = of.join(other, "key").filter((F.col("uid") < F.col("uid2")) & (F.col("root") != F.col("root2")) & (100 * F.least("n", "n2") >= threshold * F.greatest("n", "n2")))
-            pairs = pairs.select(F.col("uid").alias("a"), F.col("uid2").alias("b"))
+            own = _own_shingles(materialize(of.select("uid").distinct()), texts, words)
+            of = of.join(own, "uid", "left").select("key", "uid", "n", "root", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+            of = materialize(of.filter(100 * F.col("most") >= threshold * F.col("n")))
+            other = of.select("key", *[F.col(c).alias(c + "2") for c in ("uid", "n", "root", "most")])
+            both = F.least("most", "most2")
+            close = (F.col("uid") < F.col("uid2")) & (F.col("root") != F.col("root2")) & fits("n2") & (100 * both >= threshold * (F.col("n") + F.col("n2") - both))
+            pairs = of.alias("x").join(other, "key").filter(close).select(F.col("uid").alias("a"), F.col("uid2").alias("b"))
         else:
             lead_root = of.filter("uid = last").select("key", F.col("root").alias("last_root"))
-            pairs = of.join(materialize(lead_root), "key").filter("root != last_root").select(F.col("last").alias("a"), F.col("uid").alias("b"))
+            pairs = of.join(materialize(lead_root), "key").filter((F.col("root") != F.col("last_root")) & fits("last_n")).select(F.col("last").alias("a"), F.col("uid").alias("b"))
         more = _confirmed(pairs.distinct(), reps, texts, words, threshold)
         if not more.isEmpty():
             links = links.union(more)
@@ -189,7 +220,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; documents are linked at a Jaccard similarity of ``threshold`` percent."""
-    rows, own = classes(df, id_col, text_col, words, threshold)
+    rows, own = classes(df.select(id_col, text_col), id_col, text_col, words, threshold)
     joined = rows.select("id", "n", "h1", "h2").join(own.select("h1", "h2", "component"), ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
