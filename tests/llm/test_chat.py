@@ -34,6 +34,17 @@ def test_equals_the_sql(spark):
     assert sorted(repr(tuple(r[n] for n in names)) for r in run(spark, MESSAGES).values()) == want
 
 
+def test_quotes_of_a_run_of_lines(spark):
+    one = "Alpha one two three four\nbeta\ngamma delta\n\nSecond paragraph\n\nThird  one\nends"
+    quotes = {
+        1: "> Alpha one two three four\n> beta", 2: "> beta\n> gamma delta", 3: "> Second paragraph\n>\n> third one\n> ends", 4: "> gamma delta\n>\n> Second paragraph\n> ", 5: "> beta gamma\n> delta Second\n> paragraph Third one",
+        6: "> Alpha one two three", 7: "> beta\n> Second paragraph", 8: "> ends\n> more", 9: "> two three four\n> beta",
+    }
+    got = run(spark, [(1, 0, "user", one), *[(1, t, "user", f"{q}\n\nown {t}") for t, q in quotes.items()], (2, 1, "user", quotes[2]), (1, 10, "user", "x\nbeta\ngamma delta")])
+    assert {k[1]: r["reply_to"] for k, r in got.items() if k[0] == 1} == {**dict.fromkeys([0, 6, 7, 8, 9, 10]), **dict.fromkeys([1, 2, 3, 4, 5], 0)}
+    assert got[2, 1]["reply_to"] is None and len(got) == 12
+
+
 def test_long_chain(spark):
     data = [(1, 0, "u", "m0")] + [(1, i, "u", f"> m{i - 1}\nm{i}") for i in range(1, 40)]
     assert [run(spark, data)[1, i]["depth"] for i in (0, 1, 39)] == [0, 1, 39]

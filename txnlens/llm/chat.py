@@ -3,8 +3,10 @@
 A message's lines are parsed into quote levels (the number of ``>`` before the text). Adjacent lines of one level form a
 passage. Quoted passages are normalised (markers off, A-Z lower-cased, white space to single spaces, trimmed) and hashed;
 the unquoted text of every message gives the hashes of its whole, its paragraphs and its lines. A quoted passage joins the
-first message of its conversation that says it, if that is an earlier turn; a message replies to what its outermost level
-quotes, of several to the latest turn. Reply chains are resolved by doubling, so a chain of d replies takes log2 d rounds.
+first message of its conversation that says it, if that is an earlier turn. Passages that no such unit matches are looked
+for as runs of whole lines, of any number, over paragraph borders and however the quote wraps them: the first words of a
+passage meet those of each line, and only runs that begin there and have the passage's length are hashed. A message
+replies to what its outermost level quotes, of several to the latest turn. Reply chains are resolved by doubling, so a chain of d replies takes log2 d rounds.
 
 The result has one row a message, as a conversation may hold a third of all rows: ``path`` sorts a conversation in reply
 order (each reply after what it answers), ``depth`` is the number of messages above, ``body`` has no quoted lines and
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 _QUOTE = r"^[ \t]*(?:>[ \t]*)+"
+#: Words at most by which passages and lines meet.
+_FIRST = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,6 +43,32 @@ def _body(text: Column) -> Column:
     return F.regexp_replace(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(_QUOTE)), "\n"), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
+def _first(words: Column, n: Column) -> Column:
+    return F.xxhash64(n, F.array_join(F.slice(words, 1, n), " "))
+
+
+def _runs(msgs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(conv, h, origin): the first turn that says a passage of ``wanted`` as a run of whole lines."""
+    n = F.least(F.size("words"), F.lit(_FIRST))
+    passages = wanted.select("conv", "h", F.length("said").alias("len"), F.split("said", " ").alias("words"))
+    passages = materialize(passages.select("conv", "h", "len", F.size("words").alias("k"), _first(F.col("words"), n).alias("first")).distinct())
+    lines = F.filter(F.transform(F.split(_body(F.col("text")), "\n"), normalised), lambda x: x != "")
+    said = msgs.filter("turn is not null").join(passages.select("conv").distinct(), "conv", "left_semi").select(F.monotonically_increasing_id().alias("row"), "conv", "turn", lines.alias("lines"))
+    said = materialize(said.filter(F.size("lines") > 0))
+    starts = F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.struct(i.alias("i"), F.slice(F.split(F.array_join(F.slice("lines", i, F.lit(_FIRST)), " "), " "), 1, _FIRST).alias("words")))
+    begins = said.select("row", "conv", F.explode(starts).alias("x")).select("row", "conv", "x.i", "x.words")
+    begins = begins.select("row", "conv", "i", F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda n: _first(F.col("words"), n))).alias("first"))
+    asked = begins.join(passages.select("conv", "first", "len", "k").distinct(), ["conv", "first"]).groupBy("row").agg(F.collect_list(F.struct("i", "len", "k")).alias("asked"))
+
+    def run(x: Column) -> Column:
+        text = F.array_join(F.slice("lines", x["i"], x["k"]), "\n")
+        ends = F.substring(text, x["len"] + 1, F.lit(1)).isin("", "\n") & (F.length(text) >= x["len"])
+        return F.when(ends, _hash(F.substring(text, F.lit(1), x["len"])))
+
+    met = said.join(asked, "row").select("conv", "turn", F.explode(F.array_distinct(F.transform("asked", run))).alias("h")).filter("h is not null")
+    return met.groupBy("conv", "h").agg(F.min("turn").alias("origin"))
+
+
 def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conversation, turn, role, reply_to, depth, path, body, formatted) of every message."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -55,7 +85,7 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         return F.when((F.size(acc) > 0) & (last["level"] == x["level"]), grown).otherwise(F.concat(acc, F.array(x)))
 
     passages = quoting.select("conv", "turn", F.explode(F.aggregate(entry, empty, fold)).alias("x")).filter("x.level > 0")
-    passages = passages.select("conv", "turn", F.col("x.level").alias("level"), _hash(F.col("x.text")).alias("h")).filter(F.col("h") != _hash(F.lit(""))).distinct()
+    passages = passages.select("conv", "turn", F.col("x.level").alias("level"), normalised(F.col("x.text")).alias("said"), _hash(F.col("x.text")).alias("h")).filter("said != ''").dropDuplicates(["conv", "turn", "level", "h"])
     wanted = materialize(passages)
 
     replies = None
@@ -63,7 +93,10 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         said = msgs.filter("conv is not null and turn is not null").join(wanted.select("conv").distinct(), "conv", "left_semi").select("conv", "turn", _body(F.col("text")).alias("body"))
         units = F.array_distinct(F.concat(F.array("body"), F.split("body", r"\n[\x20\x09-\x0D]*\n"), F.split("body", "\n")))
         first = said.select("conv", "turn", F.explode(units).alias("u")).select("conv", "turn", _hash(F.col("u")).alias("h")).groupBy("conv", "h").agg(F.min("turn").alias("origin"))
-        linked = wanted.join(first, ["conv", "h"]).filter("origin < turn")
+        linked = materialize(wanted.join(first, ["conv", "h"]).filter("origin < turn").drop("said"))
+        rest = wanted.join(linked, ["conv", "turn", "level", "h"], "left_anti")
+        if not rest.isEmpty():
+            linked = linked.unionByName(rest.join(_runs(msgs, rest), ["conv", "h"]).filter("origin < turn").drop("said"))
         replies = materialize(linked.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), "origin"))["origin"].alias("parent")))
     return _ordered(msgs, replies, conv_col, turn_col, role_col)
 
