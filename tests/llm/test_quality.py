@@ -52,6 +52,13 @@ def test_score_is_the_mean_log_ratio(spark):
     assert math.isclose(got[1]["score"], ratio[q.buckets(h)].mean(), rel_tol=1e-12) and got[0]["score"] > got[2]["score"] > got[1]["score"]
 
 
+def test_all_trusted_documents_count(spark):
+    n = 21_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    _, target = q.corpus_counts(df, df.select("doc_id").union(df.select("doc_id")))
+    assert target.sum() == n
+
+
 def test_edges(spark):
     empty = docs(spark, ["x"]).limit(0)
     none = spark.createDataFrame([], "doc_id long")

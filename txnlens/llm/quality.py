@@ -1,9 +1,9 @@
 """Quality rules: base counts of a text, and the log-likelihood ratio of hashed n-grams between trusted texts and the corpus.
 
 Every text's words and word pairs are hashed into a fixed number of buckets. One scan sums the buckets over the whole
-corpus and over a bounded set of trusted documents; the sums, two numbers a bucket, are all that reaches the driver. A
-second scan scores each document by the mean over its n-grams of log(trusted share / corpus share) and compares that
-with a fixed threshold. Nothing is shuffled but the bucket sums, summed within each task before.
+corpus and over all trusted documents, which a join with the trusted ids marks; the sums, two numbers a bucket, are all
+that reaches the driver. A second scan scores each document by the mean over its n-grams of log(trusted share / corpus
+share) and compares that with a fixed threshold. The bucket sums are summed within each task before they are shuffled.
 
 Defined cases: a null text has no words; a document without words scores 0 and fails the base rule. Rows with a trusted
 id count as trusted each time they occur. Without a trusted document all scores are 0. An empty table gives no rows.
@@ -18,12 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hashed_sample, parts
+from .common import arrow_map, parts
 
 #: Hash buckets of the two multinomials.
 BUCKETS = 1 << 14
-#: Trusted documents, about, at most: those with small hashes of their id.
-TRUSTED_ROWS = 20_000
 #: Mean log ratio under which a document goes, in nats per n-gram.
 THRESHOLD = -0.2
 SYMBOLS = b"#*$%&|<>"
@@ -84,28 +82,27 @@ def base_counts(text: str, words: list[bytes], raw: bytes, ids: np.ndarray) -> t
     return len(words), len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(ids)
 
 
-def corpus_counts(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_trusted: int = TRUSTED_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def corpus_counts(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Bucket sums over all documents and over the trusted ones. ``trusted`` has one column, the ids."""
     name = trusted.columns[0]
-    picked = hashed_sample(trusted.filter(F.col(name).isNotNull()), max_trusted, name)
-    ids = df.sparkSession.sparkContext.broadcast({r[0] for r in picked.collect()})
+    ids = trusted.filter(F.col(name).isNotNull()).select(F.col(name).alias("id")).distinct().withColumn("trusted", F.lit(True))
 
     def count(batches):
         known, sums = Words(), np.zeros((2, BUCKETS), np.int64)
         for batch in parts(batches, 1):
             known.trim()
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 if words:
                     h = np.array([known.hashes[known[w]] for w in words], np.uint64)
                     got = np.bincount(buckets(h), minlength=BUCKETS)
                     sums[0] += got
-                    if key in ids.value:
+                    if mark:
                         sums[1] += got
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], names=["bucket", "n", "t"])
 
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left").select("trusted", "text")
     rows = src.mapInArrow(count, "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n"), F.sum("t")).collect()
     out = np.zeros((2, BUCKETS), np.int64)
     for b, n, t in rows:
@@ -120,9 +117,9 @@ def log_ratio(corpus: np.ndarray, trusted: np.ndarray) -> np.ndarray:
     return np.log((trusted + 1) / (trusted.sum() + len(trusted))) - np.log((corpus + 1) / (corpus.sum() + len(corpus)))
 
 
-def judge_quality(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_trusted: int = TRUSTED_ROWS) -> DataFrame:
+def judge_quality(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) of every row."""
-    ratio = df.sparkSession.sparkContext.broadcast(log_ratio(*corpus_counts(df, trusted, id_col, text_col, max_trusted)))
+    ratio = df.sparkSession.sparkContext.broadcast(log_ratio(*corpus_counts(df, trusted, id_col, text_col)))
     names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     state = {}
 
