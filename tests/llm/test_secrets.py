@@ -43,3 +43,10 @@ def test_edges(spark):
     got = s.find_secrets(df).collect()
     assert len(got) == 2 and {r["spans"] for r in got} == {"assign:0:21"} and {r["n_live"] for r in got} == {1}
     assert s.find_secrets(df.limit(0)).count() == 0
+
+
+def test_a_value_copied_many_times_under_one_owner(spark):
+    df = docs(spark, [f"see {COPIED}"] * (s.MAX_REPOSITORIES + 1) + [f"use {LIVE}"] * s.MAX_REPOSITORIES).withColumn("source", F.lit("one"))
+    got = s.find_secrets(df).collect()
+    assert [sum(r[n] for r in got) for n in ("n_live", "n_copied")] == [s.MAX_REPOSITORIES, s.MAX_REPOSITORIES + 1]
+    assert sum(r["spans"] != "" for r in got) == s.MAX_REPOSITORIES

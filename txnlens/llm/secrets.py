@@ -2,7 +2,7 @@
 
 One narrow scan finds, in every whole text, the base spans and further candidates (long mixed tokens outside base spans)
 and hashes each candidate's value. The hashes are aggregated by distinct repository and owner: a value that few owners
-have is theirs (live-looking), one that many owners have is a copied example. Further candidates become spans only when
+have in few repositories is theirs (live-looking), one that many owners or many repositories have is a copied example. Further candidates become spans only when
 they are live-looking; base spans always stay. The scan's result, which has no texts, is written once to the shared
 folder under row numbers; distinct rows and counts are summed within tasks before they are shuffled, so that a value
 found in a third of all rows costs one row a task.
@@ -25,6 +25,8 @@ from .common import materialize, parts
 KINDS = ("assign", "access", "hex", "owned")
 #: A value that at most so many owners have is owner-specific.
 MAX_OWNERS = 2
+#: A value in more repositories is an example that was copied, under one owner too.
+MAX_REPOSITORIES = 20
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{16,}")  # whole runs: a run's first match is all of it
@@ -64,7 +66,7 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.list_(_SPAN))], names=["row", "id", "owner", "found"])
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied); spans are ``kind:start:end``."""
     kind = df.schema[id_col].dataType.simpleString()
     src = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.col(text_col).alias("text"))
@@ -73,7 +75,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_owner = each.select("value", "owner", "id").distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     # written, so that the join below shuffles both sides and a value of very many rows can be split
     owners = materialize(by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories")))
-    judged = each.join(owners, "value").withColumn("live", F.col("owners") <= max_owners)
+    judged = each.join(owners, "value").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
     per_row = judged.groupBy("row").agg(
         F.collect_list(F.when(F.col("live") & (F.col("kind") == 3), F.struct("start", "kind", "end"))).alias("owned"),
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"),
