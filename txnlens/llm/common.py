@@ -2,35 +2,70 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where that is unset and driver and executors are one process, a folder of our own, removed when the process ends.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = getattr(spark.sparkContext, "_txnlens_shared", None) or tempfile.mkdtemp(prefix="txnlens-")
-        spark.sparkContext._txnlens_shared = at
+        at = getattr(spark.sparkContext, "_txnlens_shared", None)
+        if not at:
+            at = spark.sparkContext._txnlens_shared = tempfile.mkdtemp(prefix="txnlens-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
     return at.rstrip("/")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within it, the shuffle files of a query go when the query ends, for what is left of it is a table or rows of the driver."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return a scan of it: lineage ends there, and lost executors cost no recomputation."""
+    """Write ``df`` as Parquet in the shared folder and return a scan of it: lineage ends there, and lost executors cost no recomputation.
+
+    The query's shuffle files are removed; the table stays until ``forget``, or as long as the shared folder.
+    """
     path = f"{shared_folder(df.sparkSession)}/txnlens-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._txnlens_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and nothing reads any more, through the file system that holds them."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._txnlens_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hashed_sample(df: DataFrame, max_rows: int, *keys: str) -> DataFrame:
@@ -50,21 +85,18 @@ def utf8(name: str | Column) -> Column:
     return F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
 
 
-def parts(batches: Iterable[pa.RecordBatch], text: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterable[pa.RecordBatch], text: int | tuple[int, ...], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each piece stay under ``max_bytes`` (one longer text makes a piece of its own)."""
     for batch in batches:
-        sizes = [len(x) if x is not None else 0 for x in batch.column(text).cast(pa.binary()).to_pylist()] if batch.num_rows > 64 and batch.nbytes > max_bytes else None
-        if sizes is None:
-            if batch.num_rows:
-                yield batch
-            continue
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in ((text,) if isinstance(text, int) else text))
         start = total = 0
-        for i, n in enumerate(sizes):
-            if total and total + n > max_bytes:
+        for i, n in enumerate(sizes.tolist()):
+            if total + n > max_bytes and i > start:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n
-        yield batch.slice(start)
+        if batch.num_rows > start:
+            yield batch.slice(start)
 
 
 def bucket_counts(df: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], counters: int, text: int | None = None) -> np.ndarray:
@@ -90,7 +122,9 @@ def bucket_counts(df: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray],
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "n"])
 
     out = np.zeros((counters // chunk, chunk), np.int64)
-    for k, n in df.mapInArrow(count, "chunk long, n binary").repartition("chunk").mapInArrow(add, "chunk long, n binary").collect():
+    with shuffles_removed(df.sparkSession):
+        sums = df.mapInArrow(count, "chunk long, n binary").repartition("chunk").mapInArrow(add, "chunk long, n binary").collect()
+    for k, n in sums:
         out[k] += np.frombuffer(n, np.int64)
     return out.reshape(-1)
 

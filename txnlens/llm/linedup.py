@@ -1,141 +1,182 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
 A line's set is its distinct words, A-Z lower-cased. Lines with equal sets form one class, which its first line stands
-for. Of each class the rarest words are keys, enough (n - ceil(t n) + 1) that two sets over the threshold share one.
-Rarity is the count of a word's hash bucket, ``COUNTERS`` of them over all words of all documents, on a log scale. Keys
-meet in two steps, neither of which pairs a list with itself at once: each member is first compared with the list's first
-line; only members that are still kept then meet all earlier ones, under the length and positional filters. Every
-candidate pair is verified by exact Jaccard on the words themselves. A line goes if any earlier line is similar enough,
-kept or not; the order is that of the documents' ids, then of the lines.
+for. A class's words are ordered by rarity, the count of a word's hash bucket over all words of all documents on a log
+scale; the rarest n - ceil(t n) + k are its prefix, and two sets over the threshold share k = ``SHARED`` words of their
+prefixes, which for the smaller set are among its first n - ceil(2t / (1 + t) n) + k. A word whose bucket was counted once
+stands in no other line and is no key. Keys meet under the length and positional filters, every pair that meets k times is
+verified by exact Jaccard on the lines' word hashes (64 bits). A line goes if any earlier line is similar enough, kept or not; the order is that of the
+documents' ids, then of the lines.
+
+Bucket counts bound the lists of keys: those that can be longer than ``SHORT_LIST`` classes are joined with their first
+line only, which finds the bulk of any large group of copies in linear work; lines found so meet no earlier ones again.
 
 Defined cases: lines without a word stay, as do null and empty texts. Repeated rows: the later row loses the lines that
-the earlier has. Rows with a null id come last. With ids that are no integers, repeated, null or out of
-[0, 2^40) the rows are numbered by a global sort first. An empty table gives no rows. Extra columns are kept; ``n_lines``
-and ``n_removed`` replace columns of those names.
+the earlier has. Rows with a null id come last. Where ids are no integers, repeated, null, negative or too large to be
+followed by a line's number in 62 bits, the rows are numbered by a global sort first; rows of one id are ordered by a hash
+of all their columns. An empty table gives no rows. Extra columns are kept; ``n_lines`` and ``n_removed`` replace columns
+of those names. A text and a line may be of any length.
 """
 
 from __future__ import annotations
 
-import math
+import functools
+import operator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import forget, materialize, shuffles_removed
 
-COUNTERS = 1 << 17
-#: Rows that are broadcast at most; beyond, both sides of a join are shuffled.
+#: Hash buckets of the word counts (as a power of two).
+BUCKET_BITS = 20
+#: Words that a pair must share in its prefixes.
+SHARED = 2
+#: Classes that a list has at most if it is joined with itself at once: those of levels up to its logarithm.
+SHORT_LIST = 128
+#: Numbers that are broadcast at most (4 MB); beyond, both sides of a join are shuffled.
 BROADCAST_ROWS = 500_000
-#: Bits of a key; a word's hash is cut to them, which can only add candidates.
-KEY_BITS = 48
-#: Words that a pair must share in its prefixes, which are longer by this less one.
-SHARED = 3
-#: Lines of one document at most: a line's place is its document's number times this plus its own.
-LINES = 1 << 22
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACE = " \t\n\x0b\x0c\r"
+_SPACES = r"[\x20\x09-\x0D]+"
+_HASH_BITS = 59
+
+
+def split_words(line: Column) -> Column:
+    """The words, A-Z lower-cased, with empty ones where white space is doubled or at the ends.
+
+    Words stand for themselves only up to a one-to-one code: the bytes of lines beyond ASCII are read as Latin-1, as which
+    lower-casing is fast. It adds 32 to some first bytes of UTF-8 letters, which stay apart by how many others follow.
+    """
+    bytewise = F.decode(line.cast("binary"), "ISO-8859-1")
+    folded = F.lower(F.when(F.octet_length(line) == F.length(line), line).otherwise(bytewise))
+    other_space = functools.reduce(operator.or_, [line.contains(c) for c in _SPACE[1:]])
+    return F.when(other_space, F.split(folded, _SPACES)).otherwise(F.split(folded, " "))  # one character is split without a pattern
+
+
+def word_hashes(line: Column) -> Column:
+    """Hashes of the distinct words of a line."""
+    return F.array_remove(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def words_of(line: Column) -> Column:
-    """Distinct words, A-Z lower-cased."""
-    return F.array_distinct(F.filter(F.split(F.translate(line, _UPPER, _LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+def has_word(line: Column) -> Column:
+    return F.btrim(line, F.lit(_SPACE)) != ""
 
 
-def _numbered(df: DataFrame, id_col: str) -> DataFrame:
-    """``df`` as (doc: a number below 2^40 in id order, row: all columns)."""
+def _numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """``df`` as (doc: a number that follows the order of ids, row: all columns), and how many bits a line's number takes."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    key = F.col(id_col)
-    if isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        odd = df.filter(key.isNull() | (key < 0) | (key >= 1 << 40)).isEmpty() and df.groupBy(id_col).count().filter("count > 1").isEmpty()
-        if odd:
-            return df.select(key.cast("long").alias("doc"), row)
-    n = F.monotonically_increasing_id()  # partition number in the upper 31 of 64 bits
-    packed = F.shiftleft(F.shiftrightunsigned(n, 33), 26) + n.bitwiseAND(F.lit((1 << 33) - 1))
-    fits = (F.shiftrightunsigned(n, 33) < 1 << 14) & (n.bitwiseAND(F.lit((1 << 33) - 1)) < 1 << 26)
-    ordered = df.select(key.alias("k"), row).orderBy(F.col("k").asc_nulls_last(), F.xxhash64("row"))
-    return materialize(ordered.select(F.when(fits, packed).otherwise(F.raise_error(F.lit("too many rows in a partition"))).cast("long").alias("doc"), "row"))
-
-
-def _rarity(text: Column, docs: DataFrame) -> Column:
-    """Bucket's log-scaled word count as an array, one entry for each of COUNTERS buckets."""
-    word = F.explode(F.split(F.translate(text, _UPPER, _LOWER), r"[\x20\x09-\x0D]+")).alias("w")
-    counts = docs.select(word).groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("b")).count().collect()
-    scale = [0] * COUNTERS
-    for b, n in counts:
-        scale[b] = min(126, int(4 * math.log2(n + 1)))
-    return F.split(F.lit(",".join(map(str, scale))), ",").cast("array<int>")  # folded into one literal
-
-
-def _similar(a: Column, b: Column, threshold: int) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return 100 * both >= threshold * (F.size(a) + F.size(b) - both)
-
-
-def removed_lines(numbered: DataFrame, text_col: str, threshold: int = 80) -> DataFrame:
-    """(doc, line_no) of every line that has a similar earlier one."""
-    docs = numbered.select("doc", F.col("row").getField(text_col).alias("text")).filter("text is not null")
-    order = _rarity(F.col("text"), docs)
-    pos = F.when(F.col("line_no") < LINES, F.col("doc") * LINES + F.col("line_no")).otherwise(F.raise_error(F.lit("too many lines in a document"))).cast("long")
-    texts = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(pos.alias("pos"), "line")
-    lines = texts.select("pos", words_of(F.col("line")).alias("w")).filter("size(w) > 0")
-    mask = F.lit((1 << 56) - 1)
-    packed = F.sort_array(F.transform("w", lambda w: F.shiftleft(F.element_at(order, (F.pmod(F.xxhash64(w), F.lit(COUNTERS)) + 1).cast("int")).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(mask))))
-    n = F.col("n")
-    prefix = F.least(n, n - F.floor((n * threshold + 99) / 100).cast("int") + SHARED)
-    lines = lines.select("pos", F.size("w").alias("n"), packed.alias("t"))
-    lines = lines.select("pos", "n", F.xxhash64("t").alias("s1"), F.hash("t", F.lit(7)).alias("s2"), F.when(100 * n >= threshold * (n + 1), F.transform(F.slice("t", 1, prefix), lambda k: k.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))).alias("keys"))  # fewer words match equal sets only
-    lines = materialize(lines)
-
-    firsts = materialize(lines.groupBy("s1", "s2", "n").agg(F.min("pos").alias("cls")))
-    reps = materialize(lines.filter("keys is not null").select("pos", "n", "keys").join(firsts.select(F.col("cls").alias("pos")), "pos"))
-    keys = reps.select("pos", "n", F.posexplode("keys").alias("i", "key"))
-    lists = materialize(keys.groupBy("key").agg(F.min("pos").alias("lead"), F.min_by("n", "pos").alias("lead_n"), F.min_by("i", "pos").alias("lead_i"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    members = materialize(keys.join(lists, "key").filter("pos != lead"))
+    key = F.col(f"`{id_col}`")
+    whole = isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    size = F.max(F.octet_length(f"`{text_col}`"))
+    with shuffles_removed(df.sparkSession):
+        longest, low, high, none = df.agg(size, *([F.min(key), F.max(key)] if whole else [F.lit(-1), F.lit(0)]), F.count_if(key.isNull())).first()
+        bits = (longest or 0).bit_length() + 1  # a text has no more line feeds than bytes
+        if whole and not none and (low is None or low >= 0 and high < 1 << (62 - bits)) and df.groupBy(key).count().filter("count > 1").isEmpty():
+            return df.select(key.cast("long").alias("doc"), row), bits
+    n = F.monotonically_increasing_id()  # the partition's number, then 33 bits that count its rows
+    ordered = materialize(df.select(key.alias("k"), row).orderBy(F.col("k").asc_nulls_last(), F.xxhash64("row")).select(n.alias("n"), "row"))
+    part = F.shiftright("n", 33)
+    before, offsets = 0, []
+    for p, rows in sorted(ordered.groupBy(part.alias("part")).count().collect()):  # a number a partition
+        offsets.append((p, before))
+        before += rows
+    starts = df.sparkSession.createDataFrame(offsets, "part long, start long")
+    joined = ordered.withColumn("part", part).join(F.broadcast(starts), "part")
+    return joined.select((F.col("start") + F.col("n").bitwiseAND(F.lit((1 << 33) - 1))).alias("doc"), "row"), bits
+
+
+def _levels(lines: DataFrame) -> Column:
+    """The buckets' counts on a log scale of 16 steps, 0 for a count of one, as a literal array."""
+    count = F.col("count")
+    fine = F.ceil(F.log2(count))
+    level = F.least(F.lit(15), F.when(fine <= 7, fine).otherwise(7 + F.ceil((F.log2(count) - 7) / 2.5))).cast("long")
+    counts = lines.select(F.explode(split_words(F.col("line"))).alias("w")).filter("w != ''").groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).alias("b")).count()
+    slot = F.call_function("shiftleft", level, (F.col("b").bitwiseAND(F.lit(15)) * 4).cast("int"))
+    packed = np.zeros(1 << (BUCKET_BITS - 4), np.int64)  # 16 levels in a number
+    with shuffles_removed(lines.sparkSession):
+        for b, v in counts.select(F.shiftright("b", 4).alias("b"), slot.alias("v")).groupBy("b").agg(F.bit_or("v")).collect():
+            packed[b] = v
+    table = (packed[:, None] >> np.arange(0, 64, 4)) & 15
+    return F.split(F.lit(",".join(map(str, table.reshape(-1).tolist()))), ",").cast("array<tinyint>")
+
+
+def _close(a: str, b: str, threshold: int) -> Column:
+    """Sizes are alike, and enough words are left at these places if fewer than ``SHARED`` earlier ones are shared."""
+    n = [F.col(f"{x}.n") for x in (a, b)]
+    room = F.least(n[0] - F.col(f"{a}.i"), n[1] - F.col(f"{b}.i")) + (SHARED - 1)
+    return (100 * F.least(*n) >= threshold * F.greatest(*n)) & ((100 + threshold) * room >= threshold * (n[0] + n[1]))
+
+
+def removed_lines(docs: DataFrame, bits: int, threshold: int = 80) -> DataFrame:
+    """(doc, line_no) of every line of the (doc, text) rows that has a similar earlier one."""
+    pos = F.shiftleft("doc", bits) + F.col("line_no")
+    texts = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(has_word(F.col("line"))).select(pos.alias("pos"), "line")
+    table = _levels(texts)
+    mask = F.lit((1 << _HASH_BITS) - 1)
+
+    def packed(h: Column) -> Column:
+        """Level, then hash; a bucket's number is the upper bits of the hash."""
+        level = F.get(table, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int"))
+        return F.shiftleft(level.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(mask))
+
+    n, i = F.col("n"), F.col("i")
+    ceil = lambda a, b: F.floor((a + (b - 1)) / b).cast("int")
+    lines = texts.select("pos", F.sort_array(F.transform(word_hashes(F.col("line")), packed)).alias("t")).select("pos", F.size("t").alias("n"), "t")
+    keys = F.when(100 * n >= threshold * (n + 1), F.slice("t", 1, F.least(n, n - ceil(threshold * n, 100) + SHARED)))  # fewer words match equal sets only
+    lines = materialize(lines.select("pos", "n", F.xxhash64("t").alias("s1"), F.hash("t", F.lit(7)).alias("s2"), keys.alias("keys")))
+
+    same = ["s1", "s2", "n"]
+    firsts = materialize(lines.groupBy(*same).agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
+    copies = materialize(lines.select("pos", *same).join(firsts, same).filter("pos != first").select("pos"))
+    classes = lines.join(firsts, same, "left").filter("(first is null or pos = first) and keys is not null")
+    level = F.shiftright("key", _HASH_BITS)
+    short = i < n - ceil(2 * threshold * n, 100 + threshold) + SHARED
+    posts = materialize(classes.select("pos", "n", F.posexplode("keys").alias("i", "key")).filter(level > 0).select("key", "pos", "n", "i", short.alias("short")))
+    forget(lines, firsts)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(b): the later lines of the (a, b) pairs that are similar."""
-        pairs = materialize(pairs.distinct())
+        """(pos): the later lines of the (a, b) pairs that stand there often enough and are similar."""
+        pairs = materialize(pairs.groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b"))
         wanted = materialize(pairs.select(F.col("a").alias("pos")).union(pairs.select("b")).distinct())
-        words = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "pos").select("pos", words_of(F.col("line")).alias("w"))
-        words = materialize(words)
-        with_a = pairs.join(words.select(F.col("pos").alias("a"), F.col("w").alias("wa")), "a")
-        with_b = with_a.join(words.select(F.col("pos").alias("b"), F.col("w").alias("wb")), "b")
-        return materialize(with_b.filter(_similar(F.col("wa"), F.col("wb"), threshold)).select("b").distinct())
-
-    def close(n1: str, i1: str, n2: str, i2: str) -> Column:
-        """Sizes are alike, and enough words are left at these places for a pair's first three shared words to stand there."""
-        room = F.least(F.col(n1) - F.col(i1), F.col(n2) - F.col(i2)) + SHARED - 1
-        return (100 * F.least(n1, n2) >= threshold * F.greatest(n1, n2)) & ((100 + threshold) * room >= threshold * (F.col(n1) + F.col(n2)))
-
-    first = members.filter(close("n", "i", "lead_n", "lead_i")).groupBy(F.col("lead").alias("a"), F.col("pos").alias("b")).count()
-    gone = verified(first.filter(F.col("count") >= 2).select("a", "b"))
-    # of a pair, the smaller set meets by a shorter prefix: n - ceil(2t / (1 + t) n) + 3 words; pairs with a list's first line are in the list too
-    every = members.select("key", "pos", "n", "i").union(lists.select("key", F.col("lead").alias("pos"), F.col("lead_n").alias("n"), F.col("lead_i").alias("i")))
-    every = every.withColumn("short", F.col("i") < n - F.ceil(2 * threshold * n / (100 + threshold)) + SHARED)
-    rest = materialize(members.select("key", F.col("pos").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), (F.col("i") < n - F.ceil(2 * threshold * n / (100 + threshold)) + SHARED).alias("sb")).join(gone, "b", "left_anti"))
-    earlier = materialize(every.select("key", F.col("pos").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("short").alias("sa")))
-    before = (F.col("a") < F.col("b")) & close("na", "ia", "nb", "ib")
-    smaller = rest.filter("sb").join(earlier, "key").filter(before & (F.col("nb") <= F.col("na")))
-    larger = rest.join(earlier.filter("sa"), "key").filter(before & (F.col("nb") > F.col("na")))
-    shared = smaller.select("a", "b").union(larger.select("a", "b")).groupBy("a", "b").count()
-    gone = gone.union(verified(shared.filter(F.col("count") >= SHARED).select("a", "b")))
-
-    state = materialize(firsts.join(gone.select(F.col("b").alias("cls"), F.lit(True).alias("gone")), "cls", "left"))
-    out = lines.select("pos", "s1", "s2", "n").join(state, ["s1", "s2", "n"]).filter("gone or pos != cls")
-    return out.select(F.floor(F.col("pos") / LINES).cast("long").alias("doc"), F.pmod("pos", F.lit(LINES)).cast("int").alias("line_no"))
+        found = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "pos")
+        words = materialize(found.select("pos", word_hashes(F.col("line")).alias("w")))
+        side = lambda x: words.select(F.col("pos").alias(x), F.col("w").alias("w" + x))
+        both = F.size(F.array_intersect("wa", "wb"))
+        similar = 100 * both >= threshold * (F.size("wa") + F.size("wb") - both)
+        out = materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(similar).select(F.col("b").alias("pos")).distinct())
+        forget(pairs, wanted, words)
+        return out
+
+    long_lists = posts.filter(level > SHORT_LIST.bit_length() - 1)
+    leads = long_lists.groupBy("key").agg(F.min("pos").alias("pos"), F.min_by("n", "pos").alias("n"), F.min_by("i", "pos").alias("i"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    first = long_lists.alias("b").join(leads.alias("a"), F.col("a.key") == F.col("b.key")).filter((F.col("a.pos") < F.col("b.pos")) & _close("a", "b", threshold))
+    gone = verified(first.select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b")))
+
+    known = gone.withColumn("gone", F.lit(True))
+    marked = posts.join(F.broadcast(known) if gone.count() <= BROADCAST_ROWS else known, "pos", "left").withColumn("open", F.col("gone").isNull()).drop("gone")
+    x, y = marked.filter("short").alias("x"), marked.alias("y")  # the smaller set of a pair (of equal ones the earlier), the larger
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.pos") < F.col("y.pos")))
+    later = F.when(F.col("x.pos") < F.col("y.pos"), F.col("y.open")).otherwise(F.col("x.open"))
+    every = x.join(y, (F.col("x.key") == F.col("y.key")) & smaller & later & _close("x", "y", threshold))
+    more = verified(every.select(F.least("x.pos", "y.pos").alias("a"), F.greatest("x.pos", "y.pos").alias("b")))
+    out = materialize(copies.union(gone).union(more).select(F.shiftright("pos", bits).alias("doc"), F.col("pos").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("line_no")))
+    forget(posts, copies, gone, more)
+    return out
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> DataFrame:
     """``df`` with each text less its repeated lines, and ``n_lines`` and ``n_removed`` of it."""
-    numbered = _numbered(df, id_col)
-    gone = removed_lines(numbered, text_col, threshold).groupBy("doc").agg(F.collect_list("line_no").alias("gone"))
-    lines = F.split(F.col("row").getField(text_col), "\n")
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("row").getField(text_col)).otherwise(F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n"))
-    gone = materialize(gone)
-    small = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_ROWS
-    joined = numbered.join(F.broadcast(gone) if small else gone, "doc", "left")
-    own = {text_col: text.alias(text_col), "n_lines": None, "n_removed": None}
+    numbered, bits = _numbered(df, id_col, text_col)
+    text = F.col("row").getField(text_col)
+    removed = removed_lines(numbered.select("doc", text.alias("text")).filter("text is not null"), bits, threshold)
+    gone = removed.groupBy("doc").agg(F.collect_list("line_no").alias("gone"))
+    lines = F.split(text, "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    left = F.get(F.transform(F.array(lines), lambda every: F.array_join(F.transform(stay, lambda k: F.get(every, k)), "\n")), 0)  # the text is split once
+    joined = numbered.join(gone, "doc", "left")
+    own = {text_col: F.when(F.col("gone").isNull(), text).otherwise(left).alias(text_col), "n_lines": None, "n_removed": None}
     cols = [own[c] if c in own else F.col("row").getField(c).alias(c) for c in df.columns if own.get(c, 1) is not None]
     return joined.select(*cols, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
