@@ -112,13 +112,13 @@ def bucket_counts(df: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray],
             sums += np.bincount(values(batch) & (counters - 1), minlength=counters)
         some = sums.reshape(-1, chunk)
         used = np.flatnonzero(some.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([some[k].tobytes() for k in used], pa.binary())], names=["chunk", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([pa.compress(some[k].tobytes(), codec="zstd", asbytes=True) for k in used], pa.binary())], names=["chunk", "n"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(n, np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(pa.decompress(n, 8 * chunk, codec="zstd", asbytes=True), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "n"])
 
     out = np.zeros((counters // chunk, chunk), np.int64)

@@ -7,11 +7,14 @@ runs on one representative a class.
 Inverted lists: of each sketch the rarest values are retained, enough that two sets over the threshold share one. For
 sets that the sketch holds whole this is the exact prefix rule (n - ceil(t n) + 1 values); beyond, two sketches share at
 least K t - 6 sd of their values but for a chance of about 1e-8 a pair at the threshold, and less above it. Rarity comes
-from counts in ``COUNTERS`` hash buckets, a fixed size, summed over all sketches; any order is correct, rare first is fast.
+from counts in ``COUNTERS`` hash buckets, a fixed size, over all sketches, on a log scale; any order is correct, rare
+first is fast.
 
 Overlaps come from the lists without a list's pairs: every member is paired with the list's first member, then, where
 components still differ, with its last; only lists that are then still split are joined with themselves, across components.
-Candidate pairs pass a size filter, then the estimate from the union sketch, then exact Jaccard on the full word shingles.
+Candidate pairs pass a size filter and a bound on the sets' difference: each set has ``PARITIES`` parities, of its shingles
+in as many classes, and two sets differ in at least as many shingles as parities, so that no pair is lost by it. Then come
+the estimate from the union sketch and exact Jaccard on the full word shingles.
 
 Defined cases: a text with fewer words than a shingle has its whole word sequence as one shingle; a null or empty text has
 none, is linked with nothing and is its own component. Repeated rows and equal texts are one component. A null id is
@@ -21,7 +24,9 @@ ignored as a component's smallest id, unless all are null. An empty table gives
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +34,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_counts, materialize, parts
+from .common import bucket_counts, forget, materialize, parts
 from .components import components
 from .quality import Words
 
 #: Hashes that a sketch keeps.
 K = 64
 #: Hash buckets of the rarity counts.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
+#: Bits that bound how far two sets differ.
+PARITIES = 1024
 #: Ids that are broadcast at most (4 MB).
 BROADCAST_IDS = 500_000
+_BITS = [f"p{k}" for k in range(PARITIES // 64)]
 _SIGN = np.uint64(1 << 63)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -72,16 +80,30 @@ def prefix_length(n: np.ndarray, threshold: int, k: int = K) -> np.ndarray:
     return np.where(100 * n < threshold * (k + 1), exact, np.minimum(n, k) - share_at_least(threshold, k) + 1)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each class of hashes by their low bits, whether their number is odd, as PARITIES / 64 numbers."""
+    odd = np.bincount((s & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _alike(a: str, b: str, threshold: int) -> Column:
+    """Sizes and parities of two rows allow a Jaccard similarity of ``threshold``; columns carry the suffixes ``a`` and ``b``."""
+    n, m = F.col("n" + a), F.col("n" + b)
+    apart = functools.reduce(operator.add, [F.bit_count(F.col(p + a).bitwiseXOR(F.col(p + b))) for p in _BITS])
+    return (100 * F.least(n, m) >= threshold * F.greatest(n, m)) & ((100 + threshold) * apart <= (100 - threshold) * (n + m))
+
+
 def _sketched(words: int, text_at: int):
     def run(batches):
         known = Words()
         for batch in parts(batches, text_at):
             known.trim()
-            rows = []
-            for text in batch.column(text_at).to_pylist():
+            rows, bits = [], np.zeros((batch.num_rows, len(_BITS)), np.int64)
+            for k, text in enumerate(batch.column(text_at).to_pylist()):
                 ws = (text or "").encode().lower().split()
                 h = np.array([known.hashes[known[w]] for w in ws], np.uint64)
                 s = shingle_hashes(h, words)
+                bits[k] = parities(s)
                 if len(s):
                     digest = xxhash.xxh3_128_digest(s.tobytes())
                     rows.append((len(s), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), (s[:K] ^ _SIGN).view(np.int64)))
@@ -89,38 +111,19 @@ def _sketched(words: int, text_at: int):
                     rows.append((0, None, None, None))
             cols = list(zip(*rows, strict=True))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], *batch.columns[2:]], names=["uid", "id", "n", "h1", "h2", "sketch", *batch.schema.names[2:]])
-
-    return run
-
-
-def _hashes(words: int):
-    def run(batches):
-        known = Words()
-        for batch in parts(batches, 1):
-            known.trim()
-            sets = [shingle_hashes(np.array([known.hashes[known[w]] for w in t.encode().lower().split()], np.uint64), words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["uid", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], *[pa.array(c) for c in bits.T], *batch.columns[2:]], names=["uid", "id", "n", "h1", "h2", "sketch", *_BITS, *batch.schema.names[2:]])
 
     return run
 
 
-def _own_shingles(docs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(uid, own): how many shingles of each of these documents no other of them has."""
-    sent = F.broadcast(docs) if docs.count() <= BROADCAST_IDS else docs
-    each = texts.join(sent, "uid").select("uid", "text").mapInArrow(_hashes(words), "uid long, h array<long>").select("uid", F.explode("h").alias("h"))
-    alone = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("uid")).filter("c = 1")
-    return materialize(alone.groupBy("uid").agg(F.count(F.lit(1)).alias("own")))
-
-
-def _retained(counts: np.ndarray, threshold: int):
+def _retained(levels: np.ndarray, threshold: int):
     def run(batches):
         for batch in batches:
             out = []
             n = batch.column("n").to_numpy()
             for values, size in zip(batch.column("sketch").to_pylist(), prefix_length(n, threshold).tolist(), strict=True):
                 v = np.array(values, np.int64)
-                out.append(v[np.lexsort((v, counts[v & (COUNTERS - 1)]))[:size]])
+                out.append(v[np.lexsort((v, levels[v & (COUNTERS - 1)]))[:size]])
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("n"), pa.array(out, pa.list_(pa.int64()))], names=["uid", "n", "keys"])
 
     return run
@@ -134,7 +137,7 @@ def _shingles(text: str, words: int) -> set:
 def _exact(words: int, threshold: int):
     def run(batches):
         last: tuple = (None, set())
-        for batch in batches:
+        for batch in parts(batches, (2, 3)):
             keep = []
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if last[0] != ta:
@@ -148,39 +151,44 @@ def _exact(words: int, threshold: int):
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The (a, b) pairs of representatives over the threshold: sizes, then the union sketch, then the full sets."""
-    side = lambda x: reps.select(F.col("uid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
+    """The (a, b) pairs of representatives over the threshold: sizes and parities, then the union sketch, then the full sets."""
+    side = lambda x, *cols: reps.select(F.col("uid").alias(x), *[F.col(c).alias(c + x) for c in cols])
+    alike = materialize(pairs.join(side("a", "n", *_BITS), "a").join(side("b", "n", *_BITS), "b").filter(_alike("a", "b", threshold)).select("a", "b", "na", "nb"))
+    sketches = alike.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
+    union = F.slice(F.array_sort(F.array_union("sketcha", "sketchb")), 1, K)
     whole = F.greatest("na", "nb") <= K
-    shared = F.size(F.array_intersect("sa", "sb"))
-    passes = F.when(whole, 100 * shared >= threshold * (F.col("na") + F.col("nb") - shared)).otherwise(F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) >= share_at_least(threshold))
-    likely = materialize(sized.filter(passes).select("a", "b"))
+    shared = F.size(F.array_intersect("sketcha", "sketchb"))
+    passes = F.when(whole, 100 * shared >= threshold * (F.col("na") + F.col("nb") - shared)).otherwise(F.size(F.array_intersect(union, F.array_intersect("sketcha", "sketchb"))) >= share_at_least(threshold))
+    likely = materialize(sketches.filter(passes).select("a", "b"))
     wanted = materialize(likely.select(F.col("a").alias("uid")).union(likely.select("b")).distinct())
     # up to a stated number, ids are sent to the texts; beyond, both are shuffled
     found = materialize(texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "uid"))
     with_a = likely.join(found.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(found.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return materialize(with_b.mapInArrow(_exact(words, threshold), "a long, b long"))
+    out = materialize(with_b.mapInArrow(_exact(words, threshold), "a long, b long"))
+    forget(alike, likely, wanted, found)
+    return out
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Rows (uid, id, n, h1, h2, sketch, row: all columns) and classes (h1, h2, component, root: the component's number)."""
+    """Rows (uid, id, n, h1, h2, row: all columns) and classes (h1, h2, component, root: the component's number)."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     src = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), row.alias("row"))
     kind = df.schema[id_col].dataType.simpleString()
     fields = src.schema["row"].dataType.simpleString()
-    rows = materialize(src.mapInArrow(_sketched(words, 2), f"uid long, id {kind}, n long, h1 long, h2 long, sketch array<long>, text string, row {fields}").drop("text"))
+    bits = ", ".join(f"{p} long" for p in _BITS)
+    rows = materialize(src.mapInArrow(_sketched(words, 2), f"uid long, id {kind}, n long, h1 long, h2 long, sketch array<long>, {bits}, text string, row {fields}").drop("text"))
     texts = rows.select("uid", F.col("row").getField(text_col).alias("text"))
 
     groups = materialize(rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.min("uid").alias("uid")))
-    reps = materialize(rows.select("uid", "n", "sketch").join(groups.select("uid"), "uid"))
+    reps = materialize(rows.select("uid", "n", "sketch", *_BITS).join(groups.select("uid"), "uid"))
 
     counts = bucket_counts(reps.select("sketch"), lambda batch: batch.column(0).flatten().to_numpy(), COUNTERS)
-    keys = reps.mapInArrow(_retained(counts, threshold), "uid long, n long, keys array<long>").select(F.explode("keys").alias("key"), "uid", "n")
-    keys = materialize(keys)
+    levels = np.ceil(8 * np.log2(counts + 1)).astype(np.uint8)
+    keys = materialize(reps.select("uid", "n", "sketch").mapInArrow(_retained(levels, threshold), "uid long, n long, keys array<long>").select(F.explode("keys").alias("key"), "uid", "n"))
     lists = materialize(keys.groupBy("key").agg(F.min("uid").alias("lead"), F.max("uid").alias("last"), F.min_by("n", "uid").alias("lead_n"), F.max_by("n", "uid").alias("last_n"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = materialize(keys.join(lists, "key"))
+    forget(keys, lists)
 
     def fits(other: str) -> Column:
         return 100 * F.least("n", other) >= threshold * F.greatest("n", other)
@@ -189,33 +197,32 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     found = components(links)
     # lists of two are done; of the others, those whose members are not of one component go on
     for last_round in (False, True):
-        of = members.filter(f"size > {3 if last_round else 2}").join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        of = materialize(of)
+        nodes = found.withColumnRenamed("node", "uid")
+        of = materialize(members.filter(f"size > {3 if last_round else 2}").join(nodes, "uid", "left").withColumn("root", F.coalesce("root", "uid")))
         split = materialize(of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key"))
         if split.isEmpty():
+            forget(of, split)
             break
-        of = of.join(split, "key")
+        still = of.join(split, "key")
         if last_round:
-            # a pair shares at most what is not its members' own, which rules most pairs out before they are made
-            of = materialize(of.select("key", "uid", "n", "root"))
-            own = _own_shingles(materialize(of.select("uid").distinct()), texts, words)
-            of = of.join(own, "uid", "left").select("key", "uid", "n", "root", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
-            of = materialize(of.filter(100 * F.col("most") >= threshold * F.col("n")))
-            other = of.select("key", *[F.col(c).alias(c + "2") for c in ("uid", "n", "root", "most")])
-            both = F.least("most", "most2")
-            close = (F.col("uid") < F.col("uid2")) & (F.col("root") != F.col("root2")) & fits("n2") & (100 * both >= threshold * (F.col("n") + F.col("n2") - both))
-            pairs = of.alias("x").join(other, "key").filter(close).select(F.col("uid").alias("a"), F.col("uid2").alias("b"))
+            still = still.select("key", "uid", "root").join(reps.select("uid", "n", *_BITS), "uid")
+            x, y = (still.select("key", *[F.col(c).alias(c + k) for c in ("uid", "root", "n", *_BITS)]) for k in "ab")
+            across = (F.col("uida") < F.col("uidb")) & (F.col("roota") != F.col("rootb"))
+            pairs = x.join(y, "key").filter(across & _alike("a", "b", threshold)).select(F.col("uida").alias("a"), F.col("uidb").alias("b"))
         else:
-            lead_root = of.filter("uid = last").select("key", F.col("root").alias("last_root"))
-            pairs = of.join(materialize(lead_root), "key").filter((F.col("root") != F.col("last_root")) & fits("last_n")).select(F.col("last").alias("a"), F.col("uid").alias("b"))
+            lasts = still.filter("uid = last").select("key", F.col("root").alias("last_root"))
+            pairs = still.join(lasts, "key").filter((F.col("root") != F.col("last_root")) & fits("last_n")).select(F.col("last").alias("a"), F.col("uid").alias("b"))
         more = _confirmed(pairs.distinct(), reps, texts, words, threshold)
+        forget(of, split)
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
     rooted = groups.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     rooted = materialize(rooted.select("h1", "h2", "first_id", "root"))
     smallest = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component")))
-    return rows, materialize(rooted.join(smallest, "root").select("h1", "h2", "component", "root"))
+    out = materialize(rooted.join(smallest, "root").select("h1", "h2", "component", "root"))
+    forget(groups, reps, members, rooted, smallest)
+    return rows.drop("sketch", *_BITS), out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
