@@ -22,6 +22,8 @@ from .common import arrow_map, parts
 
 #: Hash buckets of the two multinomials.
 BUCKETS = 1 << 14
+#: Trusted ids that are broadcast at most (about 24 MB).
+BROADCAST_IDS = 1_000_000
 #: Mean log ratio under which a document goes, in nats per n-gram.
 THRESHOLD = -0.2
 SYMBOLS = b"#*$%&|<>"
@@ -86,6 +88,7 @@ def corpus_counts(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
     """Bucket sums over all documents and over the trusted ones. ``trusted`` has one column, the ids."""
     name = trusted.columns[0]
     ids = trusted.filter(F.col(name).isNotNull()).select(F.col(name).alias("id")).distinct().withColumn("trusted", F.lit(True))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # beyond, texts are shuffled once
 
     def count(batches):
         known, sums = Words(), np.zeros((2, BUCKETS), np.int64)
