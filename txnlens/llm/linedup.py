@@ -4,12 +4,14 @@ A line's set is its distinct words, A-Z lower-cased. Lines with equal sets form
 for. A class's words are ordered by rarity, the count of a word's hash bucket over all words of all documents on a log
 scale; the rarest n - ceil(t n) + k are its prefix, and two sets over the threshold share k = ``SHARED`` words of their
 prefixes, which for the smaller set are among its first n - ceil(2t / (1 + t) n) + k. A word whose bucket was counted once
-stands in no other line and is no key. Keys meet under the length and positional filters, every pair that meets k times is
-verified by exact Jaccard on the lines' word hashes (64 bits). A line goes if any earlier line is similar enough, kept or not; the order is that of the
+stands in no other line and is no key. Keys meet under the length and positional filters and a bound on the sets'
+difference: each set has 64 parities, of its words in 64 classes, and two sets differ in at least as many words as
+parities. Pairs that meet k times are verified by exact Jaccard on the lines' word hashes (64 bits). A line goes if any earlier line is similar enough, kept or not; the order is that of the
 documents' ids, then of the lines.
 
-Bucket counts bound the lists of keys: those that can be longer than ``SHORT_LIST`` classes are joined with their first
-line only, which finds the bulk of any large group of copies in linear work; lines found so meet no earlier ones again.
+Bucket counts bound the lists of keys. Before lists are joined with themselves, the keys whose lists can be longer than
+``SHORT_LIST`` classes meet the list's first line only, which finds the bulk of any large group of copies in linear work;
+lines found so need no other earlier one and meet only later lines in the full join.
 
 Defined cases: lines without a word stay, as do null and empty texts. Repeated rows: the later row loses the lines that
 the earlier has. Rows with a null id come last. Where ids are no integers, repeated, null, negative or too large to be
@@ -31,10 +33,10 @@ from pyspark.sql import types as T
 from .common import forget, materialize, shuffles_removed
 
 #: Hash buckets of the word counts (as a power of two).
-BUCKET_BITS = 20
+BUCKET_BITS = 22
 #: Words that a pair must share in its prefixes.
 SHARED = 2
-#: Classes that a list has at most if it is joined with itself at once: those of levels up to its logarithm.
+#: Classes beyond which a list's first line is tried before the list is joined with itself.
 SHORT_LIST = 128
 #: Numbers that are broadcast at most (4 MB); beyond, both sides of a join are shuffled.
 BROADCAST_ROWS = 500_000
@@ -88,25 +90,25 @@ def _numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
 
 
 def _levels(lines: DataFrame) -> Column:
-    """The buckets' counts on a log scale of 16 steps, 0 for a count of one, as a literal array."""
+    """The buckets' counts on a log scale of 16 steps, 0 for a count of one, 16 in each number of a literal array."""
     count = F.col("count")
     fine = F.ceil(F.log2(count))
     level = F.least(F.lit(15), F.when(fine <= 7, fine).otherwise(7 + F.ceil((F.log2(count) - 7) / 2.5))).cast("long")
     counts = lines.select(F.explode(split_words(F.col("line"))).alias("w")).filter("w != ''").groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).alias("b")).count()
     slot = F.call_function("shiftleft", level, (F.col("b").bitwiseAND(F.lit(15)) * 4).cast("int"))
-    packed = np.zeros(1 << (BUCKET_BITS - 4), np.int64)  # 16 levels in a number
+    packed = np.zeros(1 << (BUCKET_BITS - 4), np.int64)
     with shuffles_removed(lines.sparkSession):
         for b, v in counts.select(F.shiftright("b", 4).alias("b"), slot.alias("v")).groupBy("b").agg(F.bit_or("v")).collect():
             packed[b] = v
-    table = (packed[:, None] >> np.arange(0, 64, 4)) & 15
-    return F.split(F.lit(",".join(map(str, table.reshape(-1).tolist()))), ",").cast("array<tinyint>")
+    return F.split(F.lit(",".join(map(str, packed.tolist()))), ",").cast("array<long>")
 
 
-def _close(a: str, b: str, threshold: int) -> Column:
-    """Sizes are alike, and enough words are left at these places if fewer than ``SHARED`` earlier ones are shared."""
-    n = [F.col(f"{x}.n") for x in (a, b)]
-    room = F.least(n[0] - F.col(f"{a}.i"), n[1] - F.col(f"{b}.i")) + (SHARED - 1)
-    return (100 * F.least(*n) >= threshold * F.greatest(*n)) & ((100 + threshold) * room >= threshold * (n[0] + n[1]))
+def _fits(a: str, b: str, threshold: int) -> Column:
+    """Sizes are alike, enough words are left at these places if fewer than ``SHARED`` earlier ones are shared, and the parities allow it."""
+    n, i = ([F.col(f"{x}.{c}") for x in (a, b)] for c in ("n", "i"))
+    apart = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+    sizes = 100 * F.least(*n) >= threshold * F.greatest(*n)
+    return sizes & ((100 + threshold) * (F.least(n[0] - i[0], n[1] - i[1]) + SHARED - 1) >= threshold * (n[0] + n[1])) & ((100 + threshold) * apart <= (100 - threshold) * (n[0] + n[1]))
 
 
 def removed_lines(docs: DataFrame, bits: int, threshold: int = 80) -> DataFrame:
@@ -118,27 +120,29 @@ def removed_lines(docs: DataFrame, bits: int, threshold: int = 80) -> DataFrame:
 
     def packed(h: Column) -> Column:
         """Level, then hash; a bucket's number is the upper bits of the hash."""
-        level = F.get(table, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int"))
-        return F.shiftleft(level.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(mask))
+        some = F.get(table, F.shiftrightunsigned(h, 68 - BUCKET_BITS).cast("int"))
+        at = F.shiftrightunsigned(h, 62 - BUCKET_BITS).bitwiseAND(F.lit(60)).cast("int")
+        return F.shiftleft(F.call_function("shiftrightunsigned", some, at).bitwiseAND(F.lit(15)), _HASH_BITS).bitwiseOR(h.bitwiseAND(mask))
 
     n, i = F.col("n"), F.col("i")
     ceil = lambda a, b: F.floor((a + (b - 1)) / b).cast("int")
     lines = texts.select("pos", F.sort_array(F.transform(word_hashes(F.col("line")), packed)).alias("t")).select("pos", F.size("t").alias("n"), "t")
     keys = F.when(100 * n >= threshold * (n + 1), F.slice("t", 1, F.least(n, n - ceil(threshold * n, 100) + SHARED)))  # fewer words match equal sets only
-    lines = materialize(lines.select("pos", "n", F.xxhash64("t").alias("s1"), F.hash("t", F.lit(7)).alias("s2"), keys.alias("keys")))
+    parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+    lines = materialize(lines.select("pos", "n", F.xxhash64("t").alias("s1"), F.hash("t", F.lit(7)).alias("s2"), parity.alias("parity"), keys.alias("keys")))
 
     same = ["s1", "s2", "n"]
     firsts = materialize(lines.groupBy(*same).agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
     copies = materialize(lines.select("pos", *same).join(firsts, same).filter("pos != first").select("pos"))
     classes = lines.join(firsts, same, "left").filter("(first is null or pos = first) and keys is not null")
     level = F.shiftright("key", _HASH_BITS)
-    short = i < n - ceil(2 * threshold * n, 100 + threshold) + SHARED
-    posts = materialize(classes.select("pos", "n", F.posexplode("keys").alias("i", "key")).filter(level > 0).select("key", "pos", "n", "i", short.alias("short")))
+    at = F.shiftleft(n.cast("long"), 32).bitwiseOR(i.cast("long"))
+    posts = materialize(classes.select("pos", "n", "parity", F.posexplode("keys").alias("i", "key")).filter(level > 0).select("key", "pos", "parity", at.alias("at")))
     forget(lines, firsts)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(pos): the later lines of the (a, b) pairs that stand there often enough and are similar."""
-        pairs = materialize(pairs.groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b"))
+        """(pos): the later lines of the (a, b) pairs that are similar."""
+        pairs = materialize(pairs)
         wanted = materialize(pairs.select(F.col("a").alias("pos")).union(pairs.select("b")).distinct())
         found = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "pos")
         words = materialize(found.select("pos", word_hashes(F.col("line")).alias("w")))
@@ -149,18 +153,25 @@ def removed_lines(docs: DataFrame, bits: int, threshold: int = 80) -> DataFrame:
         forget(pairs, wanted, words)
         return out
 
-    long_lists = posts.filter(level > SHORT_LIST.bit_length() - 1)
-    leads = long_lists.groupBy("key").agg(F.min("pos").alias("pos"), F.min_by("n", "pos").alias("n"), F.min_by("i", "pos").alias("i"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    first = long_lists.alias("b").join(leads.alias("a"), F.col("a.key") == F.col("b.key")).filter((F.col("a.pos") < F.col("b.pos")) & _close("a", "b", threshold))
-    gone = verified(first.select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b")))
+    def unpacked(table: DataFrame, *more: str) -> DataFrame:
+        return table.select("key", "pos", "parity", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("i"), *more)
 
-    known = gone.withColumn("gone", F.lit(True))
-    marked = posts.join(F.broadcast(known) if gone.count() <= BROADCAST_ROWS else known, "pos", "left").withColumn("open", F.col("gone").isNull()).drop("gone")
-    x, y = marked.filter("short").alias("x"), marked.alias("y")  # the smaller set of a pair (of equal ones the earlier), the larger
+    long_lists = posts.filter(level > SHORT_LIST.bit_length() - 1)
+    leads = long_lists.groupBy("key").agg(F.min("pos").alias("pos"), F.min_by("parity", "pos").alias("parity"), F.min_by("at", "pos").alias("at"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    first = unpacked(long_lists).alias("b").join(unpacked(leads).alias("a"), (F.col("a.key") == F.col("b.key")) & (F.col("a.pos") < F.col("b.pos")) & _fits("a", "b", threshold))
+    gone = verified(first.select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b")).distinct())
+
+    closed = gone.withColumn("closed", F.lit(True))
+    marked = posts.join(F.broadcast(closed) if gone.count() <= BROADCAST_ROWS else closed, "pos", "left")
+    marked = unpacked(marked, F.col("closed").isNull().alias("open"))
+    x, y = marked.alias("x"), marked.alias("y")  # the smaller set of a pair (of equal ones the earlier), the larger
+    prefix = F.col("x.i") < F.col("x.n") - ceil(2 * threshold * F.col("x.n"), 100 + threshold) + SHARED
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.pos") < F.col("y.pos")))
     later = F.when(F.col("x.pos") < F.col("y.pos"), F.col("y.open")).otherwise(F.col("x.open"))
-    every = x.join(y, (F.col("x.key") == F.col("y.key")) & smaller & later & _close("x", "y", threshold))
-    more = verified(every.select(F.least("x.pos", "y.pos").alias("a"), F.greatest("x.pos", "y.pos").alias("b")))
+    # one CASE, so that both sides stay the same and are shuffled once
+    every = x.join(y, (F.col("x.key") == F.col("y.key")) & F.when(~(smaller & prefix), False).when(~later, False).otherwise(_fits("x", "y", threshold)))
+    met = every.groupBy(F.least("x.pos", "y.pos").alias("a"), F.greatest("x.pos", "y.pos").alias("b")).count()
+    more = verified(met.filter(F.col("count") >= SHARED).select("a", "b"))
     out = materialize(copies.union(gone).union(more).select(F.shiftright("pos", bits).alias("doc"), F.col("pos").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("line_no")))
     forget(posts, copies, gone, more)
     return out
