@@ -32,6 +32,15 @@ def test_lower_ranks_that_merges_create_go_first():
     assert bpe.Bpe(ranks, r"\S+").replay([b"abcbcabc", b"xyx"]) == [[256, 257, 256], [258, 120]]
 
 
+def test_generations_of_the_store(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "STORE_WORDS", 20)
+    own, rng = bpe.Bpe(bpe.read_ranks(PATH), PATTERN), random.Random(5)
+    for _ in range(60):
+        texts = [" ".join(f"w{min(rng.randrange(9), rng.randrange(500))}x" for _ in range(rng.randrange(30))) for _ in range(3)]
+        assert own.ids(texts) == [",".join(map(str, reference.encode_ordinary(t))) for t in texts]
+        assert len(own.store) + len(own.older) <= 2 * (20 + 2 * 90)
+
+
 def test_digests_and_round_trip(spark, reference):
     got = rows(bpe.digests(docs(spark, TEXTS), PATH, PATTERN))
     for i, t in enumerate(TEXTS):

@@ -3,8 +3,10 @@
 The texts of a batch are cut into words by the tokenizer's pattern; each distinct word that no earlier batch of the
 worker has seen enters one replay: an inverted index from the rank of a mergeable pair to the positions where the pair
 stands applies merges in rank order over all those words together, and after a merge only the two touched neighbours are
-looked at again. Equal words are encoded once; a worker's store of encoded words is emptied when it holds
-``STORE_WORDS``, so memory is bounded by that and by one batch.
+looked at again. A worker keeps encoded words in two generations of ``STORE_WORDS``: when the younger is full it becomes the
+older, whose words come back as they are met, so that common words are replayed once and memory is bounded by twice that and
+by one batch. One index over the whole corpus would have to send every text its words' ids: a broadcast that grows with the
+vocabulary, or a shuffle of every text and its distinct words.
 
 Defined cases: a null text is empty; an empty text has no ids (the digest of an empty string). Bytes that form no
 vocabulary entry cannot occur, as every single byte has an id. Repeated rows are encoded alike. Extra columns are
@@ -25,8 +27,8 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, parts
 
-#: Distinct words that a worker keeps encoded at most.
-STORE_WORDS = 300_000
+#: Encoded words that a generation of a worker's store holds at most, besides one batch's.
+STORE_WORDS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,24 +37,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class _Pairs(dict):
-    """Rank of the pair ``a << 20 | b``, -1 if the two do not merge; filled as asked."""
-
-    def __init__(self, ranks: dict[bytes, int], token: dict[int, bytes]):
-        self.ranks, self.token = ranks, token
-
-    def __missing__(self, pair: int) -> int:
-        self[pair] = rank = self.ranks.get(self.token[pair >> 20] + self.token[pair & 0xFFFFF], -1)
-        return rank
+def mergeable(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of each pair of tokens ``a << 20 | b`` that merge: every way to cut a token into two others."""
+    out = {}
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            a, b = ranks.get(token[:k]), ranks.get(token[k:])
+            if a is not None and b is not None:
+                out[a << 20 | b] = rank
+    return out
 
 
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.token = ranks, {v: k for k, v in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.pairs = _Pairs(ranks, self.token)
+        self.pairs = mergeable(ranks)
         self.byte = [ranks[bytes([b])] for b in range(256)]
         self.store: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word: all merges of all words, lowest rank first, leftmost first within a rank."""
@@ -60,7 +63,7 @@ class Bpe:
         nxt: list[int] = []
         prv: list[int] = []
         starts = []
-        byte, pairs = self.byte, self.pairs
+        byte, rank = self.byte, self.pairs.get
         for w in words:
             at, n = len(tok), len(w)
             starts.append(at)
@@ -70,7 +73,7 @@ class Bpe:
             nxt[-1], prv[at] = -1, -1
         index: dict[int, list[int]] = {}
         for p, q in enumerate(nxt):
-            if q >= 0 and (r := pairs[tok[p] << 20 | tok[q]]) >= 0:
+            if q >= 0 and (r := rank(tok[p] << 20 | tok[q])) is not None:
                 if r in index:
                     index[r].append(p)
                 else:
@@ -80,31 +83,32 @@ class Bpe:
         while todo:
             r = todo[0]
             at = index[r]
-            while at:
-                p = heappop(at)
+            at.sort()  # a merge makes no pair of its own rank, so nothing joins the list meanwhile
+            for done, p in enumerate(at, 1):
                 q = nxt[p]
-                if q < 0 or tok[p] < 0 or pairs[tok[p] << 20 | tok[q]] != r:
+                if q < 0 or (a := tok[p]) < 0 or rank(a << 20 | tok[q]) != r:
                     continue  # one of the two has been merged since
                 tok[p], tok[q] = r, -1
                 nxt[p] = after = nxt[q]
                 low = r
                 if after >= 0:
                     prv[after] = p
-                    if (new := pairs[r << 20 | tok[after]]) >= 0:
+                    if (new := rank(r << 20 | tok[after])) is not None:
                         if new in index:
-                            heappush(index[new], p)
+                            index[new].append(p)
                         else:
                             index[new] = [p]
                             heappush(todo, new)
                         low = min(low, new)
-                if (before := prv[p]) >= 0 and (new := pairs[tok[before] << 20 | r]) >= 0:
+                if (before := prv[p]) >= 0 and (new := rank(tok[before] << 20 | r)) is not None:
                     if new in index:
-                        heappush(index[new], before)
+                        index[new].append(before)
                     else:
                         index[new] = [before]
                         heappush(todo, new)
                     low = min(low, new)
                 if low < r:
+                    index[r] = at[done:]
                     break  # a lower rank came up and goes first
             else:
                 del index[r]
@@ -121,9 +125,15 @@ class Bpe:
     def learn(self, texts: list[list[str]]) -> None:
         """Have every word of the split texts in the store."""
         if len(self.store) > STORE_WORDS:
-            self.store.clear()
-        store, ranks, token = self.store, self.ranks, self.token
-        new = [w for w in set().union(*texts) if w not in store]
+            self.store, self.older = {}, self.store
+        store, older, ranks, token = self.store, self.older, self.ranks, self.token
+        new = []
+        for w in set().union(*texts):
+            if w not in store:
+                if w in older:
+                    store[w] = older[w]
+                else:
+                    new.append(w)
         raw = [w.encode() for w in new]
         whole = [ranks.get(b) for b in raw]
         rest = iter(self.replay([b for b, r in zip(raw, whole, strict=True) if r is None]))
