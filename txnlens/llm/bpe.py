@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, parts
+from .common import arrow_map, kept, parts
 
 #: Encoded words that a generation of a worker's store holds at most, besides one batch's.
 STORE_WORDS = 400_000
@@ -54,8 +54,10 @@ class Bpe:
         self.split = regex.compile(pattern).findall
         self.pairs = mergeable(ranks)
         self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.store: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}
+        self.bytes_of = {str(v): k for k, v in ranks.items()}
+        #: word to its ids as decimals joined by commas
+        self.store: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word: all merges of all words, lowest rank first, leftmost first within a rank."""
@@ -126,7 +128,7 @@ class Bpe:
         """Have every word of the split texts in the store."""
         if len(self.store) > STORE_WORDS:
             self.store, self.older = {}, self.store
-        store, older, ranks, token = self.store, self.older, self.ranks, self.token
+        store, older, ranks = self.store, self.older, self.ranks
         new = []
         for w in set().union(*texts):
             if w not in store:
@@ -138,14 +140,13 @@ class Bpe:
         whole = [ranks.get(b) for b in raw]
         rest = iter(self.replay([b for b, r in zip(raw, whole, strict=True) if r is None]))
         for w, r in zip(new, whole, strict=True):
-            ids = next(rest) if r is None else [r]
-            store[w] = (",".join(map(str, ids)), b"".join([token[i] for i in ids]))
+            store[w] = ",".join(map(str, next(rest))) if r is None else str(r)
 
     def ids(self, texts: list[str]) -> list[str]:
         """Each text's ids as decimals joined by commas."""
         words = [self.split(t) for t in texts]
         self.learn(words)
-        return [",".join([self.store[w][0] for w in ws]) for ws in words]
+        return [",".join(map(self.store.__getitem__, ws)) for ws in words]
 
     def encode(self, text: str) -> list[int]:
         joined = self.ids([text])[0]
@@ -155,13 +156,8 @@ class Bpe:
         return b"".join([self.token[i] for i in ids])
 
 
-_made: dict[tuple[str, str], Bpe] = {}
-
-
 def _bpe(path: str, pattern: str) -> Bpe:
-    if (path, pattern) not in _made:
-        _made[path, pattern] = Bpe(read_ranks(path), pattern)
-    return _made[path, pattern]
+    return kept((path, pattern), lambda: Bpe(read_ranks(path), pattern))
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +169,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[int(i) for i in j.split(",")] if j else [] for j in joined], pa.list_(pa.int32()))], names=["id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return arrow_map(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids array<int>", max_bytes=1 << 20).withColumnRenamed("id", id_col)
+    return arrow_map(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids array<int>", max_bytes=1 << 20, keeps=True).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -189,14 +185,11 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
 
 
 def _digest(bpe: Bpe, texts: list[str]) -> list[tuple[int, str, str]]:
-    words = [bpe.split(t) for t in texts]
-    bpe.learn(words)
-    store, out = bpe.store, []
-    for ws in words:
-        found = [store[w] for w in ws]
-        joined = ",".join([f[0] for f in found])
-        decoded = hashlib.sha256(b"".join([f[1] for f in found])).hexdigest()
-        out.append((joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), decoded))
+    out = []
+    for joined in bpe.ids(texts):
+        ids = joined.split(",") if joined else []
+        decoded = b"".join(map(bpe.bytes_of.__getitem__, ids))
+        out.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
     return out
 
 
@@ -210,7 +203,7 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
 
     kind = df.schema[id_col].dataType.simpleString()
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return arrow_map(src, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", max_bytes=1 << 20).withColumnRenamed("id", id_col)
+    return arrow_map(src, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", max_bytes=1 << 20, keeps=True).withColumnRenamed("id", id_col)
 
 
 def tokenized(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -220,7 +213,7 @@ def tokenized(df: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     at = keep.index(text_col)
 
     def run(batches):
-        for batch in parts(batches, at, 1 << 20):
+        for batch in parts(batches, at, 1 << 20, keeps=True):
             rows = _digest(_bpe(path, pattern), [t or "" for t in batch.column(at).to_pylist()])
             n, ids, decoded = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[*keep, *own])

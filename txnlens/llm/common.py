@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the queries that operators run themselves: what is left of each is a table or rows of the driver, so that
+#: its shuffle files can go when it ends; Arrow batches hold bytes, not rows, of a bounded number.
+_OWN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,14 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Within it, the shuffle files of a query go when the query ends, for what is left of it is a table or rows of the driver."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def own_query(spark: SparkSession):
+    """Within it, queries run under the settings above."""
+    before = {k: spark.conf.get(k) for k in _OWN}
+    for k, v in _OWN.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -53,7 +57,7 @@ def materialize(df: DataFrame) -> DataFrame:
     The query's shuffle files are removed; the table stays until ``forget``, or as long as the shared folder.
     """
     path = f"{shared_folder(df.sparkSession)}/txnlens-{uuid.uuid4().hex}"
-    with shuffles_removed(df.sparkSession):
+    with own_query(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._txnlens_path = path
@@ -85,8 +89,24 @@ def utf8(name: str | Column) -> Column:
     return F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
 
 
-def parts(batches: Iterable[pa.RecordBatch], text: int | tuple[int, ...], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the texts of each piece stay under ``max_bytes`` (one longer text makes a piece of its own)."""
+_kept: dict = {}
+
+
+def kept[T](key: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task under ``key``, until an operator that keeps something else, or nothing, runs there."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def parts(batches: Iterable[pa.RecordBatch], text: int | tuple[int, ...], max_bytes: int = 4 << 20, keeps: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that the texts of each piece stay under ``max_bytes`` (one longer text makes a piece of its own).
+
+    Unless the operator ``keeps`` something itself, what another left in the worker is dropped.
+    """
+    if not keeps:
+        _kept.clear()
     for batch in batches:
         sizes = sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in ((text,) if isinstance(text, int) else text))
         start = total = 0
@@ -122,18 +142,18 @@ def bucket_counts(df: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray],
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "n"])
 
     out = np.zeros((counters // chunk, chunk), np.int64)
-    with shuffles_removed(df.sparkSession):
+    with own_query(df.sparkSession):
         sums = df.mapInArrow(count, "chunk long, n binary").repartition("chunk").mapInArrow(add, "chunk long, n binary").collect()
     for k, n in sums:
         out[k] += np.frombuffer(n, np.int64)
     return out.reshape(-1)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, text: int = 1, max_bytes: int = 4 << 20) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, text: int = 1, max_bytes: int = 4 << 20, keeps: bool = False) -> DataFrame:
     """``mapInArrow`` over pieces of bounded text size; ``text`` is the position of the text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in parts(batches, text, max_bytes):
+        for piece in parts(batches, text, max_bytes, keeps):
             yield from fn(piece)
 
     return df.mapInArrow(run, schema)

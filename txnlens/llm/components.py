@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, shuffles_removed
+from .common import forget, materialize, own_query
 
 
 def _stamp(edges: DataFrame) -> tuple:
-    with shuffles_removed(edges.sparkSession):
+    with own_query(edges.sparkSession):
         return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
 
 

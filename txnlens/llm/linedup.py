@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, materialize, shuffles_removed
+from .common import forget, materialize, own_query
 
 #: Hash buckets of the word counts (as a power of two).
 BUCKET_BITS = 22
@@ -72,7 +72,7 @@ def _numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     key = F.col(f"`{id_col}`")
     whole = isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     size = F.max(F.octet_length(f"`{text_col}`"))
-    with shuffles_removed(df.sparkSession):
+    with own_query(df.sparkSession):
         longest, low, high, none = df.agg(size, *([F.min(key), F.max(key)] if whole else [F.lit(-1), F.lit(0)]), F.count_if(key.isNull())).first()
         bits = (longest or 0).bit_length() + 1  # a text has no more line feeds than bytes
         if whole and not none and (low is None or low >= 0 and high < 1 << (62 - bits)) and df.groupBy(key).count().filter("count > 1").isEmpty():
@@ -97,7 +97,7 @@ def _levels(lines: DataFrame) -> Column:
     counts = lines.select(F.explode(split_words(F.col("line"))).alias("w")).filter("w != ''").groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).alias("b")).count()
     slot = F.call_function("shiftleft", level, (F.col("b").bitwiseAND(F.lit(15)) * 4).cast("int"))
     packed = np.zeros(1 << (BUCKET_BITS - 4), np.int64)
-    with shuffles_removed(lines.sparkSession):
+    with own_query(lines.sparkSession):
         for b, v in counts.select(F.shiftright("b", 4).alias("b"), slot.alias("v")).groupBy("b").agg(F.bit_or("v")).collect():
             packed[b] = v
     return F.split(F.lit(",".join(map(str, packed.tolist()))), ",").cast("array<long>")

@@ -45,7 +45,7 @@ class Words(dict):
         return n
 
     def trim(self) -> None:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
             self.hashes.clear()
 
