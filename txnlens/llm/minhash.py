@@ -237,6 +237,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows, all columns, with one row of each component: that of the smallest id. Rows without a shingle stay."""
     rows, own = classes(df, id_col, text_col, words, threshold)
     joined = rows.filter("n > 0").select("uid", "id", "h1", "h2").join(own.select("h1", "h2", "root"), ["h1", "h2"])
-    first = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("x")).select(F.col("x.uid").alias("uid"))
-    stay = materialize(first.union(rows.filter("n = 0").select("uid")))
-    return rows.select("uid", "row").join(stay, "uid").select("row.*")
+    first = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("x")).select("root", F.col("x.uid").alias("first"))
+    gone = materialize(joined.join(first, "root").filter("uid != first").select("uid"))
+    # up to a stated number, ids are sent to the rows; beyond, both are shuffled
+    return rows.select("uid", "row").join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "uid", "left_anti").select("row.*")
