@@ -100,7 +100,7 @@ def test_contract_rejects(columns, what):
 def test_validation_counts(spark, transactions):
     df = spark.createDataFrame([("short-id", T0, "INVALID_TYPE", "A", "M", -100.0, 1.0, 1.0, 1.0, 1.0, 2, 0)], CANONICAL)
     r = validation.validate_canonical(df).first()
-    assert (r["invalid_transaction_id_count"], r["invalid_amount_count"], r["invalid_label_count"], r["invalid_transaction_type_count"], r["is_valid"]) == (1, 1, 1, 1, False)
+    assert (r["invalid_transaction_id_count"], r["invalid_amount_count"], r["invalid_fraud_label_count"], r["invalid_transaction_type_count"], r["is_valid"]) == (1, 1, 1, 1, False)
     good = transactions((T0, "PAYMENT", 100, 1000, 900, 500, 600, 0))
     assert validation.validate_canonical(good).first()["is_valid"]
     r = validation.validate_canonical(good.union(good)).first()
@@ -110,13 +110,13 @@ def test_validation_counts(spark, transactions):
 
 def test_domain_validation(transactions):
     r = validation.validate_domain(transactions((T0, "PAYMENT", 100, 1000, 950, 0, 100, 0), (T0, "PAYMENT", 100, 1000, -50, 0, 100, 0))).first()
-    assert (r["negative_balance_count"], r["inconsistent_origin_balance_count"]) == (1, 2)
+    assert (r["negative_balance_count"], r["origin_balance_mismatch_count"]) == (1, 2)
 
 
 def test_raw_validation_sees_null_labels_as_nulls(spark):
     rows = [(1, "PAYMENT", -1.0, "C", 1.0, 1.0, "M", 1.0, 1.0, None, 0), (-1, "X", 1.0, "C", 1.0, 1.0, "M", 1.0, 1.0, 3, 0)]
     r = validation.validate_raw(spark.createDataFrame(rows, RAW)).first()
-    assert r.asDict() == {"row_count": 2, "null_count": 1, "invalid_amount_count": 1, "invalid_step_count": 1, "invalid_type_count": 1, "invalid_label_count": 1}
+    assert r.asDict() == {"row_count": 2, "null_count": 1, "invalid_amount_count": 1, "invalid_step_count": 1, "invalid_type_count": 1, "invalid_fraud_label_count": 1, "invalid_flagged_fraud_count": 0}
 
 
 def test_infinity_and_nan_are_invalid_numbers(spark):

@@ -159,3 +159,9 @@ def test_training_run(spark, tmp_path):
     out = pipeline.run_training(spark, str(tmp_path), cfg, incumbent, logistic_regression={"max_iter": 20}, random_forest={"trees": 5, "depth": 4})
     assert out["test"]["recall"] > 0.8 and out["gate"]["status"] == "rejected" and "test.rows" in out["gate"]["failed_checks"]
     assert pipeline.model_card(out)["model"] == out["model"]
+
+
+@pytest.mark.parametrize("files", [1, 3, 5])
+def test_parquet_file_count(spark, tmp_path, files):
+    sinks.write_parquet(spark.range(100), str(tmp_path / "t"), files)
+    assert len(list((tmp_path / "t").glob("part-*"))) == files and spark.read.parquet(str(tmp_path / "t")).count() == 100

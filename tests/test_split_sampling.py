@@ -82,6 +82,14 @@ def test_caps(spark, monkeypatch):
         sampling.cap_rows(df, "is_fraud", 0, 42)
 
 
+def test_samples_of_repeated_keys_are_exact(spark):
+    df = spark.createDataFrame([(f"t{i % 10}", int(i == 0)) for i in range(30)], "transaction_id string, is_fraud int")
+    for n in (1, 10, 29):
+        assert sampling.first_by_hash(df, n, 42).count() == n
+    out, summary = sampling.keep_positives(df, "is_fraud", 10, 42)
+    assert out.count() == 10 == summary.sampled_row_count and out.filter("is_fraud = 1").count() == 1
+
+
 @pytest.mark.parametrize("n,k", [(100, 7), (100, 99), (10, 10), (97, 13)])
 def test_strided(spark, n, k):
     df = spark.range(n).select(F.col("id").cast("int").alias("v"))

@@ -45,9 +45,14 @@ def _require(df: DataFrame, target: str, key: str, max_rows: int) -> None:
 
 
 def first_by_hash(df: DataFrame, n: int, seed: int, key: str = "transaction_id") -> DataFrame:
-    """The n rows with the smallest hash; rows of one key, which hash alike, go in together only as far as n allows by key."""
+    """The n rows with the smallest hash, exactly; of rows whose key hashes to the cut, those first by all columns."""
     h = sampling_hash(seed, key)
-    return df.filter(h <= kth_text(df, h, n))
+    cut = kth_text(df, h, n)
+    below, upto = df.agg(F.count_if(h < cut), F.count_if(h <= cut)).first()
+    if upto == n:
+        return df.filter(h <= cut)
+    tied = df.filter(h == cut)
+    return df.filter(h < cut).unionByName(tied.orderBy(F.xxhash64(*tied.columns), *[c for c, t in tied.dtypes if not t.startswith("map")]).limit(n - below))
 
 
 def first_by_rank(df: DataFrame, n: int, seed: int, key: str = "transaction_id") -> DataFrame:

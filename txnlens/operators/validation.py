@@ -20,17 +20,17 @@ def _count(condition: Column) -> Column:
 
 
 def validate_raw(raw: DataFrame) -> DataFrame:
-    """Row count, rows with nulls, negative amounts and steps, unknown types, labels other than 0 and 1 (nulls too)."""
+    """Row count, rows with nulls, negative amounts and steps, unknown types, and either label other than 0 and 1."""
     if missing := sorted(set(RAW.names) - set(raw.columns)):
         raise ValueError(f"raw columns are missing: {missing}")
-    labels = (~F.col("isFraud").isin(0, 1)) | (~F.col("isFlaggedFraud").isin(0, 1))
     return raw.agg(
         F.count(F.lit(1)).alias("row_count"),
         _count(rules.any_null(RAW.names)).alias("null_count"),
         _count(F.col("amount") < 0).alias("invalid_amount_count"),
         _count(F.col("step") < 0).alias("invalid_step_count"),
         _count(rules.unknown_type("type")).alias("invalid_type_count"),
-        _count(labels).alias("invalid_label_count"),
+        _count(~F.col("isFraud").isin(0, 1)).alias("invalid_fraud_label_count"),
+        _count(~F.col("isFlaggedFraud").isin(0, 1)).alias("invalid_flagged_fraud_count"),
     )
 
 
@@ -45,11 +45,11 @@ def validate_canonical(df: DataFrame) -> DataFrame:
     The duplicate count needs its own shuffle on the key; both aggregates are single rows that meet without a join key.
     """
     require_schema(df, CANONICAL)
-    labels = (~F.col("is_fraud").isin(0, 1)) | (~F.col("is_flagged_fraud").isin(0, 1))
     # rows of one key first: the key is hashed once and all counts follow from the groups
     flags = {
         "null_count": rules.any_null(_REQUIRED), "invalid_transaction_id_count": F.length("transaction_id") != 64, "invalid_amount_count": F.col("amount") < 0,
-        "invalid_transaction_type_count": rules.unknown_type(), "invalid_label_count": labels, "null_balance_count": rules.any_null(rules.BALANCES),
+        "invalid_transaction_type_count": rules.unknown_type(), "invalid_fraud_label_count": ~F.col("is_fraud").isin(0, 1),
+        "invalid_flagged_fraud_count": ~F.col("is_flagged_fraud").isin(0, 1), "null_balance_count": rules.any_null(rules.BALANCES),
     }
     keyed = df.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"), *[_count(c).alias(k) for k, c in flags.items()])
     total = keyed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in flags], _count(F.col("n") > 1).alias("duplicate_transaction_id_count"))
@@ -61,8 +61,8 @@ def validate_domain(df: DataFrame) -> DataFrame:
     """One row with the number of rows that break each balance rule."""
     return df.agg(
         _count(rules.negative_balance()).alias("negative_balance_count"),
-        _count(rules.origin_inconsistent()).alias("inconsistent_origin_balance_count"),
-        _count(rules.destination_inconsistent()).alias("inconsistent_destination_balance_count"),
+        _count(rules.origin_inconsistent()).alias("origin_balance_mismatch_count"),
+        _count(rules.destination_inconsistent()).alias("destination_balance_mismatch_count"),
     )
 
 

@@ -120,13 +120,13 @@ ORACLE_SQL: dict[str, str] = {
     "model_dataset": f"""WITH {_CANON} SELECT transaction_id, transaction_type, amount, origin_balance_before, destination_balance_before, is_fraud, {_AMOUNT}, {_TYPES}, {_CALENDAR},
   CAST(origin_balance_before = 0 AS INTEGER) AS is_zero_origin_balance_before, CAST(destination_balance_before = 0 AS INTEGER) AS is_zero_destination_balance_before FROM canon""",
     "raw_validation": f"""WITH {_RAW} SELECT count(*) AS row_count, count(*) FILTER (step IS NULL OR type IS NULL OR amount IS NULL OR "nameOrig" IS NULL OR "nameDest" IS NULL OR "oldbalanceOrg" IS NULL OR "newbalanceOrig" IS NULL OR "oldbalanceDest" IS NULL OR "newbalanceDest" IS NULL OR "isFraud" IS NULL OR "isFlaggedFraud" IS NULL) AS null_count,
-  count(*) FILTER (amount < 0) AS invalid_amount_count, count(*) FILTER (step < 0) AS invalid_step_count, count(*) FILTER (type NOT IN ('CASH_IN', 'CASH_OUT', 'DEBIT', 'PAYMENT', 'TRANSFER')) AS invalid_type_count, count(*) FILTER ("isFraud" NOT IN (0, 1) OR "isFlaggedFraud" NOT IN (0, 1)) AS invalid_label_count FROM raw""",
+  count(*) FILTER (amount < 0) AS invalid_amount_count, count(*) FILTER (step < 0) AS invalid_step_count, count(*) FILTER (type NOT IN ('CASH_IN', 'CASH_OUT', 'DEBIT', 'PAYMENT', 'TRANSFER')) AS invalid_type_count, count(*) FILTER ("isFraud" NOT IN (0, 1)) AS invalid_fraud_label_count, count(*) FILTER ("isFlaggedFraud" NOT IN (0, 1)) AS invalid_flagged_fraud_count FROM raw""",
     "canonical_validation": f"""WITH {_CANON}, x AS (SELECT count(*) AS row_count, count(*) FILTER (transaction_id IS NULL OR "timestamp" IS NULL OR transaction_type IS NULL OR amount IS NULL OR is_fraud IS NULL OR is_flagged_fraud IS NULL OR origin_account_id IS NULL OR destination_account_id IS NULL) AS null_count,
   count(*) FILTER (length(transaction_id) <> 64) AS invalid_transaction_id_count, count(*) FILTER (amount < 0) AS invalid_amount_count, count(*) FILTER (transaction_type NOT IN ('CASH_IN', 'CASH_OUT', 'DEBIT', 'PAYMENT', 'TRANSFER')) AS invalid_transaction_type_count,
-  count(*) FILTER (is_fraud NOT IN (0, 1) OR is_flagged_fraud NOT IN (0, 1)) AS invalid_label_count, count(*) FILTER (origin_balance_before IS NULL OR origin_balance_after IS NULL OR destination_balance_before IS NULL OR destination_balance_after IS NULL) AS null_balance_count FROM canon),
+  count(*) FILTER (is_fraud NOT IN (0, 1)) AS invalid_fraud_label_count, count(*) FILTER (is_flagged_fraud NOT IN (0, 1)) AS invalid_flagged_fraud_count, count(*) FILTER (origin_balance_before IS NULL OR origin_balance_after IS NULL OR destination_balance_before IS NULL OR destination_balance_after IS NULL) AS null_balance_count FROM canon),
 d AS (SELECT count(*) AS duplicate_transaction_id_count FROM (SELECT transaction_id FROM canon GROUP BY 1 HAVING count(*) > 1))
-SELECT *, row_count > 0 AND null_count + invalid_transaction_id_count + invalid_amount_count + invalid_transaction_type_count + invalid_label_count + duplicate_transaction_id_count = 0 AS is_valid FROM x, d""",
-    "domain_validation": f"WITH {_CANON} SELECT count(*) FILTER (negative) AS negative_balance_count, count(*) FILTER (origin_bad) AS inconsistent_origin_balance_count, count(*) FILTER (destination_bad) AS inconsistent_destination_balance_count FROM ruled",
+SELECT *, row_count > 0 AND null_count + invalid_transaction_id_count + invalid_amount_count + invalid_transaction_type_count + invalid_fraud_label_count + invalid_flagged_fraud_count + duplicate_transaction_id_count = 0 AS is_valid FROM x, d""",
+    "domain_validation": f"WITH {_CANON} SELECT count(*) FILTER (negative) AS negative_balance_count, count(*) FILTER (origin_bad) AS origin_balance_mismatch_count, count(*) FILTER (destination_bad) AS destination_balance_mismatch_count FROM ruled",
     "negative_balances": _violations("negative"),
     "origin_inconsistent": _violations("origin_bad"),
     "destination_inconsistent": _violations("destination_bad"),

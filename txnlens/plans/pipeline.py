@@ -26,7 +26,7 @@ def run_etl(spark: SparkSession, config: DataConfig) -> dict:
         raw_result = validation.require_valid(validation.validate_raw(raw))
         rows = canonical.canonicalize(raw, config.base_time)
         checked = validation.require_valid(validation.validate_canonical(rows), allowed=("null_balance_count",))
-        domain = validation.require_valid(validation.validate_domain(rows), allowed=("inconsistent_origin_balance_count", "inconsistent_destination_balance_count"))
+        domain = validation.require_valid(validation.validate_domain(rows), allowed=("origin_balance_mismatch_count", "destination_balance_mismatch_count"))
         sinks.write_parquet(rows, f"{out}/canonical", config.output_files)
     finally:
         raw.unpersist()

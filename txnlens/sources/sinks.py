@@ -15,10 +15,10 @@ from ..operators.monitoring import settle_labels
 
 
 def write_parquet(df: DataFrame, path: str, files: int = 8, mode: str = "overwrite") -> None:
-    """Write about ``files`` files: rows are rebalanced, which unlike coalesce leaves the stages above at full width."""
+    """Write ``files`` files, fewer only if there are fewer rows: rows are dealt out anew, which unlike coalesce leaves the stages above at full width."""
     if files < 1:
         raise ValueError("at least one output file is needed")
-    df.hint("rebalance").write.mode(mode).parquet(path) if files > 1 else df.coalesce(1).write.mode(mode).parquet(path)
+    df.repartition(files).write.mode(mode).parquet(path)
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
