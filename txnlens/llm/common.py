@@ -111,7 +111,7 @@ def parts(batches: Iterable[pa.RecordBatch], text: int | tuple[int, ...], max_by
         sizes = sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in ((text,) if isinstance(text, int) else text))
         start = total = 0
         for i, n in enumerate(sizes.tolist()):
-            if total + n > max_bytes and i > start:
+            if n and total + n > max_bytes and i > start:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n
