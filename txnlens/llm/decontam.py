@@ -6,8 +6,9 @@ string and LF steps are exact. The index holds the Burrows-Wheeler transform as
 text positions of sampled suffixes. All distinct benchmark windows are searched backwards together, one word of each at a
 time; the rows of those that remain are walked to the next sampled position; the located spans are merged.
 
-The benchmark reaches the workers in blocks of ``BLOCK_WORDS`` words, one narrow scan a block, so what is broadcast stays
-bounded for any benchmark. Nothing is shuffled.
+The benchmark reaches the workers in blocks of ``BLOCK_WORDS`` words, each a step of one narrow scan; the driver reads one
+block at a time, and after ``BLOCKS`` of them the rows so far are written to the shared folder and their broadcasts go, so
+that what is broadcast stays bounded for any benchmark. Nothing is shuffled.
 
 Defined cases: a null or empty text has no words and no hit. An item without words has no window. Windows never cross the
 end of a document. Rows of one id are judged one by one; items that share an id count once; an item without an id can hit
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, suffix_array
+from .common import forget, materialize, parts, suffix_array
 
 WINDOW = 13
 #: Benchmark words in one broadcast at most, unless one item is longer.
 BLOCK_WORDS = 500_000
+#: Blocks that are broadcast at once at most.
+BLOCKS = 4
 #: Words of a shard at most.
 SHARD_WORDS = 1 << 20
 #: Every so many text positions a suffix keeps its position.
@@ -212,11 +215,13 @@ def find_spans(
     none = F.array()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), none.cast("array<long>").alias("starts"), none.cast("array<long>").alias("ends"), none.cast("array<string>").alias("items"))
     schema = out.schema
-    every = list(blocks(items, item_id_col, item_text_col, block_words))
-    for k, block in enumerate(every):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    coming, held, written = blocks(items, item_id_col, item_text_col, block_words), [], None
+    block, k = next(coming), 0
+    while block is not None:
+        shared, following = docs.sparkSession.sparkContext.broadcast(block), next(coming, None)
+        held.append(shared)
 
-        def run(batches, shared=shared, last=k == len(every) - 1, first=k == 0):
+        def run(batches, shared=shared, last=following is None, first=k == 0):
             bench = Benchmark(shared.value, window)
             for batch in parts(batches, 1):
                 texts = batch.column(1).to_pylist()
@@ -230,6 +235,14 @@ def find_spans(
                 yield pa.RecordBatch.from_arrays([batch.column(0), text, *cols], names=["id", "text", "n_words", "starts", "ends", "items"])
 
         out = out.mapInArrow(run, schema)
+        block, k = following, k + 1
+        if block is not None and k % BLOCKS == 0:
+            before, written = written, materialize(out)
+            out = written
+            if before is not None:
+                forget(before)
+            while held:
+                held.pop().destroy()
     return out.select(F.col("id").alias(id_col), "n_words", "starts", "ends", F.sort_array(F.array_distinct("items")).alias("items"))
 
 
