@@ -61,3 +61,9 @@ def test_edges(spark):
 def test_native_plan(spark):
     plan = chat.link_quotes(spark.createDataFrame(MESSAGES, SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_turns_below_zero_and_turns_that_are_no_numbers(spark):
+    df = spark.createDataFrame([("c", t, "user", f"text {t}") for t in ("-10", "-1", "0", "2", "11", "x", None)], "conv_id string, turn string, role string, text string")
+    out = chat.link_quotes(df).orderBy("path").collect()
+    assert [r["turn"] for r in out if r["turn"] is not None] == [-10, -1, 0, 2, 11] and sum(r["turn"] is None for r in out) == 2

@@ -13,7 +13,8 @@ order (each reply after what it answers), ``depth`` is the number of messages ab
 ``formatted`` adds the role.
 
 Defined cases: a null text is empty. A message that quotes nothing known replies to nothing and starts a thread. Repeated
-(conversation, turn) rows share a place and stay one row each; a null conversation id or turn is never linked. An empty
+(conversation, turn) rows share a place and stay one row each; a null conversation id or turn is never linked, and a turn that
+is no whole number is null. An empty
 table gives no rows. Extra columns are ignored.
 """
 
@@ -72,7 +73,7 @@ def _runs(msgs: DataFrame, wanted: DataFrame) -> DataFrame:
 def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conversation, turn, role, reply_to, depth, path, body, formatted) of every message."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    msgs = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), text.alias("text"))
+    msgs = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).try_cast("long").alias("turn"), F.col(role_col).alias("role"), text.alias("text"))
     quoting = msgs.filter(F.col("text").contains(">") & F.col("conv").isNotNull() & F.col("turn").isNotNull())
     level = lambda x: F.length(F.regexp_extract(x, _QUOTE, 0)) - F.length(F.translate(F.regexp_extract(x, _QUOTE, 0), ">", ""))
     # runs of lines of one level, as an array of (level, text), by one fold over a message's own lines
@@ -102,7 +103,11 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
 
 def _ordered(msgs: DataFrame, replies: DataFrame | None, conv_col: str, turn_col: str, role_col: str) -> DataFrame:
-    pad = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
+    def pad(c: str) -> Column:
+        """The number as text that sorts alike: negative ones begin with a minus, which sorts before digits, and count up from the least."""
+        t = F.col(c)
+        return F.when(t < 0, F.concat(F.lit("-"), F.lpad((t + F.lit((1 << 63) - 1)).cast("string"), 19, "0"))).otherwise(F.lpad(t.cast("string"), 19, "0"))
+
     if replies is None:
         placed = msgs.withColumn("reply_to", F.lit(None).cast("long")).withColumn("depth", F.lit(0).cast("long")).withColumn("path", pad("turn"))
     else:
