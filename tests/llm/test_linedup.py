@@ -62,3 +62,16 @@ def test_edges(spark):
     assert set(out.columns) == set(df.columns) | {"n_removed"} and sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(0, ""), (0, "a b c"), (1, "d e f")]
     named = docs(spark, ["a b c", "a b c"]).withColumn("doc_id", F.when(F.col("doc_id") == 1, F.lit("k")))
     assert {(r["doc_id"], r["text"]) for r in ld.dedup_lines(named).collect()} == {("k", "a b c"), (None, "")}
+
+
+def test_long_lines_many_lines_and_long_lists(spark, monkeypatch):
+    rng = random.Random(9)
+    v = [f"v{i}" for i in range(3000)]
+    long = [rng.choices(v, k=2500) for _ in range(3)]
+    near = [" ".join([*line[:-40], *rng.choices(v, k=40)]) for line in long]
+    many = "\n".join(f"k{i % 700} a{i % 350} b c d e" for i in range(4000))
+    texts = [" ".join(long[0]), "\n".join([*near, " ".join(long[1])]), many, many + "\nunlike all others here", None, ""]
+    monkeypatch.setattr(ld, "SHORT_LIST", 8)
+    monkeypatch.setattr(ld, "BROADCAST_ROWS", 0)  # both sides are shuffled
+    got = rows(ld.dedup_lines(docs(spark, texts)))
+    assert [(got[i]["text"], got[i]["n_lines"], got[i]["n_removed"]) for i in range(len(texts))] == brute(texts)
