@@ -1,4 +1,12 @@
-"""A training-data pipeline of five stages over the documents table; each stage works on what the one before kept."""
+"""A training-data pipeline of five stages over the documents table; each stage works on what the one before kept.
+
+Defined cases: a document with a null, empty or letterless text has no language and goes in the first stage; a text of any
+length is judged whole. Line dedup keeps every document, one whose lines all repeat with an empty text. Repeated rows stay
+until near dedup, which keeps the one with the smallest id, of equal ids the first read; ties of scores go to the first
+language in order. Nulls in other columns pass through. An empty table gives no rows. Columns beside those of documents are
+kept but for ``n_lines`` and ``n_removed``, which are not returned, and ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``,
+which the last stage sets.
+"""
 
 from __future__ import annotations
 
