@@ -91,3 +91,40 @@ def test_drift(spark):
     a, b = spark.range(100).selectExpr("cast(id as double) as x"), spark.range(100).selectExpr("cast(id + 50 as double) as x")
     assert drift.ks(a, a, ["x"]).first()["ks"] == 0 and drift.ks(a, b, ["x"]).first()["ks"] == pytest.approx(0.5)
     assert drift.psi(a, a, ["x"]).first()["psi"] == pytest.approx(0) and drift.psi(a, b, ["x"]).first()["psi"] > 0.25
+
+
+def test_ranges_change_nothing(spark):
+    """Ranking and KS over many ranges equal all pairs and the plain gaps, with null groups and skewed values."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(400).select(
+        F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("model"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).cast("int").alias("label"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(97)) / 97).alias("score")
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        got = {r["model"]: r for r in ev.ranking_metrics(df).collect()}
+        gap = drift.ks(df.filter("model = 1"), df.filter("model = 2"), ["score"]).first()["ks"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    rows = df.collect()
+    assert set(got) == {None, 1, 2, 3}
+    for m, r in got.items():
+        pos, neg = ([x["score"] for x in rows if x["model"] == m and x["label"] == y] for y in (1, 0))
+        auc = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg)
+        ap = sum(sum(p >= s for p in pos) / sum(p >= s for p in pos + neg) for s in pos) / len(pos)
+        assert r["roc_auc"] == pytest.approx(auc) and r["pr_auc"] == pytest.approx(ap)
+    one, two = ([x["score"] for x in rows if x["model"] == m] for m in (1, 2))
+    assert gap == pytest.approx(max(abs(sum(v <= x for v in one) / len(one) - sum(v <= x for v in two) / len(two)) for x in one + two))
+
+
+def test_place(spark):
+    from pyspark.sql import functions as F
+
+    from txnlens.operators.buckets import cut_points, place
+
+    df = spark.createDataFrame([(None,), (-1.0,), (0.0,), (0.5,), (1.0,), (7.0,), (float("nan"),)], "x double")
+    for cuts in ([], [0.0], [0.0, 0.5, 1.0], [0.0, 0.25, 0.5, 0.75, 1.0]):
+        got = [r[0] for r in df.select(place(F.col("x"), cuts)).collect()]
+        assert got == [0, *[sum(c <= x for c in cuts) for x in (-1.0, 0.0, 0.5, 1.0, 7.0)], len(cuts)]
+    assert cut_points(df.limit(0), [F.col("x")], 8) == [[]]

@@ -77,10 +77,24 @@ def test_later_rows_do_not_leak(spark):
     assert behaviours(spark, ROWS)["tx-003"] == behaviours(spark, changed)["tx-003"]
 
 
-def test_one_window_one_exchange(spark):
-    df = spark.createDataFrame(ROWS, "transaction_id string, timestamp timestamp, origin_account_id string, destination_account_id string, amount double")
-    plan = windows.add_behavior_features(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and plan.count("Window [") == 1
+def test_windows_equal_frames(spark):
+    """Against the plain frames: dense seconds, gaps beyond 30 days, null keys and amounts, one account with a third of all rows."""
+    from pyspark.sql import functions as F
+
+    h = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+    second = F.when(h(1, 3) == 0, h(2, 4000)).otherwise(h(3, 100) * 86400 + h(4, 3) * 3600 + h(5, 3))
+    df = spark.range(900).select(
+        F.col("id").alias("transaction_id"), F.timestamp_seconds(second + 1767225600 + h(6, 2) / 2).alias("timestamp"), F.nullif(F.when(h(7, 3) == 0, 1).otherwise(h(8, 9)), F.lit(5)).alias("origin_account_id"),
+        F.nullif(h(9, 6), F.lit(3)).cast("string").alias("destination_account_id"), F.nullif(h(10, 50) / 4, F.lit(2.0)).alias("amount"), F.lit("x").alias("a"), F.lit("y").alias("_row"),
+    )
+    got, expected = (sorted(map(tuple, f(df).collect())) for f in (windows.add_behavior_features, windows.add_behavior_features_by_window))
+    assert got == expected and windows.add_behavior_features(df).columns == windows.add_behavior_features_by_window(df).columns
+    assert max(r[-1] for r in got) == 5 and windows.add_behavior_features(df.limit(0)).count() == 0
+
+
+def test_rows_without_a_time_have_zeros(spark):
+    got = behaviours(spark, [("a", None, "A", "D", 1.0), ("b", T0, "A", "D", 2.0), ("c", T0 + timedelta(minutes=1), "A", "D", 4.0)])
+    assert got == {"a": (0, 0, 0.0, 0), "b": (0, 0, 0.0, 0), "c": (1, 1, 2.0, 1)}
 
 
 def test_features_have_the_schema_and_the_contract(transactions):

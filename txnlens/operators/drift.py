@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .buckets import cut_points, place
+
 
 def _long(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, value, side) of both frames; side 1 is current. Nulls are left out."""
@@ -40,8 +42,23 @@ def psi(reference: DataFrame, current: DataFrame, columns: Sequence[str], edges:
 
 
 def ks(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, ks): the largest gap between the two distribution functions, over distinct values."""
-    counts = _long(reference, current, columns).groupBy("feature", "value").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
-    up, whole = Window.partitionBy("feature").orderBy("value"), Window.partitionBy("feature")
-    gap = F.abs(F.try_divide(F.sum("r").over(up), F.sum("r").over(whole).cast("double")) - F.try_divide(F.sum("c").over(up), F.sum("c").over(whole).cast("double")))
-    return counts.select("feature", gap.alias("gap")).groupBy("feature").agg(F.max("gap").alias("ks"))
+    """(feature, ks): the largest gap between the two distribution functions, over distinct values.
+
+    Each feature's values are cut into ranges; counts run within a range, and the ranges' totals give what lies below it.
+    """
+    number = [F.col(c).cast("double").alias(c) for c in columns]
+    both = reference.select(*number).unionByName(current.select(*number))
+    cuts = dict(zip(columns, cut_points(both, [F.col(c) for c in columns]), strict=True))
+    at = F.lit(None).cast("int")
+    for c in columns:
+        at = F.when(F.col("feature") == c, place(F.col("value"), cuts[c])).otherwise(at)
+    counts = _long(reference, current, columns).groupBy("feature", "value").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c")).withColumn("range", at)
+    keys = ["feature", "range"]
+    lower, whole = Window.partitionBy("feature").orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("feature")  # a row a range
+    sums = counts.groupBy(*keys).agg(F.sum("r").alias("sr"), F.sum("c").alias("sc"))
+    below = lambda c: F.coalesce(F.sum(c).over(lower), F.lit(0))
+    ranges = sums.select(*keys, below("sr").alias("br"), below("sc").alias("bc"), F.sum("sr").over(whole).cast("double").alias("nr"), F.sum("sc").over(whole).cast("double").alias("nc"))
+    up = Window.partitionBy(*keys).orderBy("value")
+    running = counts.select(*keys, F.sum("r").over(up).alias("ur"), F.sum("c").over(up).alias("uc")).join(ranges, keys)
+    gap = F.abs(F.try_divide(F.col("br") + F.col("ur"), F.col("nr")) - F.try_divide(F.col("bc") + F.col("uc"), F.col("nc")))
+    return running.groupBy("feature").agg(F.max(gap).alias("ks"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .buckets import cut_points, place, same
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -34,17 +36,28 @@ def confusion(df: DataFrame, threshold: float | Column, label: str = "label", sc
 
 
 def _curve(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
-    """Per distinct score: rows, positives, and both summed over this and higher scores, plus the group's totals."""
+    """Per distinct score: rows, positives, and both summed over this and higher scores, plus the group's totals.
+
+    A group's scores are cut into ranges; sums run within a range, and the ranges' totals give what lies above it.
+    """
+    (cuts,) = cut_points(df, [F.col(score)])
     g = df.groupBy(*by, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("tp"))
-    down = Window.partitionBy(*by).orderBy(F.col("s").desc())
-    all_of = Window.partitionBy(*by)
-    return g.select(*by, "s", "n", "tp", F.sum("n").over(down).alias("cn"), F.sum("tp").over(down).alias("ctp"), F.sum("tp").over(all_of).alias("pos"), F.sum("n").over(all_of).alias("tot"))
+    g = g.withColumn("range", place(F.col("s"), cuts))
+    keys = [*by, "range"]
+    higher, whole = Window.partitionBy(*by).orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)  # a row a range
+    sums = g.groupBy(*keys).agg(F.sum("n").alias("rn"), F.sum("tp").alias("rtp"))
+    above = lambda c: F.coalesce(F.sum(c).over(higher), F.lit(0))
+    ranges = sums.select(*keys, above("rn").alias("an"), above("rtp").alias("atp"), F.sum("rtp").over(whole).alias("pos"), F.sum("rn").over(whole).alias("tot"))
+    down = Window.partitionBy(*keys).orderBy(F.col("s").desc())
+    c = g.select(*keys, "n", "tp", F.sum("n").over(down).alias("cn"), F.sum("tp").over(down).alias("ctp"))
+    joined = c.alias("c").join(ranges.alias("r"), same("c", "r", keys))
+    return joined.select(*[F.col(f"c.`{k}`").alias(k) for k in by], "n", "tp", (F.col("cn") + F.col("an")).alias("cn"), (F.col("ctp") + F.col("atp")).alias("ctp"), "pos", "tot")
 
 
 def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ("model",)) -> DataFrame:
     """ROC-AUC (ties count half) and PR-AUC as average precision, null if a class is missing.
 
-    The rows are first summed by distinct score, so what is ordered is the number of distinct scores of a group.
+    The rows are first summed by distinct score; a task orders the distinct scores of one range of one group.
     """
     c = _curve(df, label, score, by)
     neg = F.col("n") - F.col("tp")

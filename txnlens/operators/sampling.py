@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .buckets import cut_points, place
 from .ranks import kth_text
 
 
@@ -112,19 +114,20 @@ def sample_split(df: DataFrame, split: str, target: str, max_rows: int | None, s
 
 
 def strided(df: DataFrame, max_rows: int, *order: str) -> DataFrame:
-    """``max_rows`` rows at equal strides of the order: row int(i * n / max_rows) for each i.
+    """``max_rows`` rows at equal strides of the order: row int(i * n / max_rows) for each i. The first column is a number or a time.
 
-    Row numbers come from range partitions: each partition's count is gathered, and a row's number is its place in its
-    partition plus the counts before; no partition holds all rows.
+    The order is cut into ranges of the first column. Each range's count is gathered, and a row's number is its place in
+    its range plus the counts before. A row's range follows from its value alone, so that a repeated task finds the same.
     """
     n = df.count()
     if n <= max_rows:
         return df
-    ranked = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    sizes = {r[0]: r[1] for r in ranked.groupBy("_p").count().collect()}
+    first = F.unix_micros(F.col(order[0]).cast("timestamp")) if isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(order[0])
+    (cuts,) = cut_points(df, [first])
+    ranked = df.withColumn("_p", place(first, cuts))
     before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
+    for p, rows in sorted(ranked.groupBy("_p").count().collect()):  # a number a range
+        before[p], total = total, total + rows
     offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair]), F.col("_p").cast("long"))
     number = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + offset
     i = F.ceil(F.col("_n") * max_rows / F.lit(n))  # the only i whose stride can start at this row
