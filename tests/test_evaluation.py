@@ -128,3 +128,24 @@ def test_place(spark):
         got = [r[0] for r in df.select(place(F.col("x"), cuts)).collect()]
         assert got == [0, *[sum(c <= x for c in cuts) for x in (-1.0, 0.0, 0.5, 1.0, 7.0)], len(cuts)]
     assert cut_points(df.limit(0), [F.col("x")], 8) == [[]]
+
+
+def test_chi_square(spark):
+    a = spark.createDataFrame([(x,) for x in ["p"] * 30 + ["q"] * 20 + [None] * 10], "k string")
+    b = spark.createDataFrame([(x,) for x in ["p"] * 10 + ["q"] * 25 + ["new"] * 5], "k string")
+    cells = [(30, 10), (20, 25), (10, 0), (0, 5)]
+    expected = sum((n - (r + c) * side / 100) ** 2 / ((r + c) * side / 100) for r, c in cells for n, side in ((r, 60), (c, 40)))
+    r = drift.chi_square(a, b, ["k"]).first()
+    assert r["chi_square"] == pytest.approx(expected) and r["degrees"] == 3
+    assert drift.chi_square(a, a, ["k"]).first()["chi_square"] == pytest.approx(0) and drift.chi_square(a, b.limit(0), ["k"]).first()["chi_square"] is None
+    assert drift.chi_square(a.limit(0), b.limit(0), ["k"]).count() == 0
+
+
+def test_imbalance_policies(spark):
+    from txnlens.operators import ml
+
+    df = scored(spark, [0, 0, 0, 1], [0.1] * 4)
+    weights = lambda policy: {r["label"]: r["weight"] for r in ml.weighted(df, "label", policy).collect()}
+    assert weights("scale_pos_weight") == {0: 1.0, 1: 3.0} and weights("class_weights") == {0: pytest.approx(2 / 3), 1: 2.0}
+    with pytest.raises(ValueError):
+        weights("other")

@@ -1,4 +1,4 @@
-"""Drift of current against reference rows: population stability index and Kolmogorov-Smirnov distance per numeric column."""
+"""Drift of current against reference rows: population stability index and Kolmogorov-Smirnov distance per numeric column, chi-square per categorical column."""
 
 from __future__ import annotations
 
@@ -62,3 +62,17 @@ def ks(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> Data
     running = counts.select(*keys, F.sum("r").over(up).alias("ur"), F.sum("c").over(up).alias("uc")).join(ranges, keys)
     gap = F.abs(F.try_divide(F.col("br") + F.col("ur"), F.col("nr")) - F.try_divide(F.col("bc") + F.col("uc"), F.col("nc")))
     return running.groupBy("feature").agg(F.max(gap).alias("ks"))
+
+
+def chi_square(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, chi_square, degrees) of the 2 x categories table of counts; null is a category. Null if a side has no rows.
+
+    The statistic is N^2 / (R C) (sum of r^2 / (r + c) - R^2 / N), so one sum over the categories is enough.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])).alias("x")
+    side = lambda df, s: df.select(pairs, F.lit(s).alias("side"))
+    counts = side(reference, 0).unionByName(side(current, 1)).groupBy("x.feature", "x.value").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
+    r, c = F.col("r").cast("double"), F.col("c").cast("double")
+    sums = counts.groupBy("feature").agg(F.sum(r).alias("nr"), F.sum(c).alias("nc"), F.sum(r * r / (r + c)).alias("q"), (F.count(F.lit(1)) - 1).alias("degrees"))
+    n = F.col("nr") + F.col("nc")
+    return sums.select("feature", F.try_divide(n * n * (F.col("q") - F.col("nr") * F.col("nr") / n), F.col("nr") * F.col("nc")).alias("chi_square"), "degrees")

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .buckets import cut_points, place, same
 
 
+#: How classes of unequal size are weighted in training.
+IMBALANCE = ("none", "class_weights", "scale_pos_weight")
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 

@@ -11,38 +11,43 @@ from pyspark.sql import functions as F
 LATENCY_BUCKETS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0)
 
 
+def _window(ts: str, window: str, step: str | None) -> Column:
+    """Windows of a length, one every ``step``; without a step they don't overlap."""
+    return F.window(ts, window, step) if step else F.window(ts, window)
+
+
 def increases(samples: DataFrame, by: Sequence[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """Counter samples with ``delta`` to the sample before of their series; after a reset the value itself, 0 for a first sample."""
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(ts))
     return samples.withColumn("delta", F.when(before.isNull(), 0.0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before))
 
 
-def counter_rate(samples: DataFrame, by: Sequence[str], window: str = "5 minutes", ts: str = "ts") -> DataFrame:
-    """(window_start, by, increase, per second) of each tumbling window."""
-    w = F.window(ts, window)
+def counter_rate(samples: DataFrame, by: Sequence[str], window: str = "5 minutes", ts: str = "ts", step: str | None = None) -> DataFrame:
+    """(window_start, by, increase, per second) of each window, tumbling or one every ``step``."""
+    w = _window(ts, window, step)
     seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
     out = increases(samples, by, ts).groupBy(w.alias("w"), *by).agg(F.sum("delta").alias("increase"))
     return out.select(F.col("w.start").alias("window_start"), *by, "increase", (F.col("increase") / seconds).alias("rate"))
 
 
-def event_rate(events: DataFrame, by: Sequence[str] = (), window: str = "5 minutes", ts: str = "ts") -> DataFrame:
+def event_rate(events: DataFrame, by: Sequence[str] = (), window: str = "5 minutes", ts: str = "ts", step: str | None = None) -> DataFrame:
     """(window_start, by, requests, per second) of rows that each are one event."""
-    w = F.window(ts, window)
+    w = _window(ts, window, step)
     seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
     return events.groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("requests")).select(F.col("w.start").alias("window_start"), *by, "requests", (F.col("requests") / seconds).alias("rate"))
 
 
-def error_ratio(events: DataFrame, is_error: Column, window: str = "5 minutes", ts: str = "ts", floor: float = 1e-9, limit: float = 0.02) -> DataFrame:
+def error_ratio(events: DataFrame, is_error: Column, window: str = "5 minutes", ts: str = "ts", floor: float = 1e-9, limit: float = 0.02, step: str | None = None) -> DataFrame:
     """(window_start, requests, errors, ratio, firing): errors a request, the denominator clamped from below."""
-    out = events.groupBy(F.window(ts, window).alias("w")).agg(F.count(F.lit(1)).alias("requests"), F.count_if(is_error).alias("errors"))
+    out = events.groupBy(_window(ts, window, step).alias("w")).agg(F.count(F.lit(1)).alias("requests"), F.count_if(is_error).alias("errors"))
     ratio = F.col("errors") / F.greatest(F.col("requests").cast("double"), F.lit(floor))
     return out.select(F.col("w.start").alias("window_start"), "requests", "errors", ratio.alias("ratio"), (ratio > limit).alias("firing"))
 
 
-def histogram_quantile(events: DataFrame, value: str, q: float = 0.95, buckets: Sequence[float] = LATENCY_BUCKETS, window: str = "5 minutes", ts: str = "ts") -> DataFrame:
+def histogram_quantile(events: DataFrame, value: str, q: float = 0.95, buckets: Sequence[float] = LATENCY_BUCKETS, window: str = "5 minutes", ts: str = "ts", step: str | None = None) -> DataFrame:
     """(window_start, requests, quantile): linear within the bucket that holds rank q n; beyond the last bound, that bound."""
     counts = [F.count_if(F.col(value) <= b).alias(f"le{i}") for i, b in enumerate(buckets)]
-    out = events.groupBy(F.window(ts, window).alias("w")).agg(F.count(F.lit(1)).alias("requests"), *counts)
+    out = events.groupBy(_window(ts, window, step).alias("w")).agg(F.count(F.lit(1)).alias("requests"), *counts)
     rank, quantile = q * F.col("requests"), F.lit(float(buckets[-1]))
     for i in range(len(buckets) - 1, -1, -1):
         low, below = (buckets[i - 1], F.col(f"le{i - 1}")) if i else (0.0, F.lit(0))

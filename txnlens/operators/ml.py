@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..plans.contract import MODEL_FEATURES, TARGET
-from .evaluation import class_weights
+from .evaluation import IMBALANCE, class_weights
 
 MODELS = ("logistic_regression", "random_forest", "gradient_boosting")
 
@@ -61,15 +61,18 @@ def classifier(name: str, seed: int = 42, weight: str | None = "weight", **param
     raise ValueError(f"unknown model {name}; one of {MODELS}")
 
 
-def weighted(df: DataFrame, target: str = TARGET) -> DataFrame:
-    """``weight`` of each row: n / (2 n_c) of its class."""
+def weighted(df: DataFrame, target: str = TARGET, imbalance: str = "class_weights") -> DataFrame:
+    """``weight`` of each row: n / (2 n_c) of its class, or, as ``scale_pos_weight``, negatives a positive for positives and 1 for negatives."""
+    if imbalance not in IMBALANCE[1:]:
+        raise ValueError(f"unknown imbalance policy {imbalance}; one of {IMBALANCE}")
     row = class_weights(df, target).first()
-    return df.withColumn("weight", F.when(F.col(target) == 1, F.lit(row["positive_weight"])).otherwise(F.lit(row["negative_weight"])))
+    positive, negative = (row["positive_weight"], row["negative_weight"]) if imbalance == "class_weights" else (row["scale_pos_weight"], 1.0)
+    return df.withColumn("weight", F.when(F.col(target) == 1, F.lit(positive)).otherwise(F.lit(negative)))
 
 
-def train(df: DataFrame, name: str, columns: Sequence[str] = MODEL_FEATURES, target: str = TARGET, balanced: bool = True, seed: int = 42, **params) -> PipelineModel:
-    rows = as_doubles(weighted(df, target) if balanced else df, columns).withColumn("target", F.col(target).cast("double"))
-    return Pipeline(stages=[*preprocessing(rows, columns), classifier(name, seed, "weight" if balanced else None, **params)]).fit(rows)
+def train(df: DataFrame, name: str, columns: Sequence[str] = MODEL_FEATURES, target: str = TARGET, imbalance: str = "class_weights", seed: int = 42, **params) -> PipelineModel:
+    rows = as_doubles(df if imbalance == "none" else weighted(df, target, imbalance), columns).withColumn("target", F.col(target).cast("double"))
+    return Pipeline(stages=[*preprocessing(rows, columns), classifier(name, seed, None if imbalance == "none" else "weight", **params)]).fit(rows)
 
 
 def score(model: PipelineModel, df: DataFrame, columns: Sequence[str] = MODEL_FEATURES, output: str = "risk_score") -> DataFrame:

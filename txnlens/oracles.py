@@ -150,6 +150,24 @@ SELECT a || '__' || b AS pair, (SELECT count(*) FROM parts x JOIN parts y USING
     "split_summary": f"""WITH {_ORDERS} SELECT count(*) AS row_count, count(*) FILTER (is_fraud = 1) AS positive_count, count(*) FILTER (is_fraud = 0) AS negative_count, min("timestamp") AS min_timestamp, max("timestamp") AS max_timestamp FROM o""",
     "sample_keep_positives": f"WITH {_HASHED}, r AS (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY h) AS k FROM hashed) SELECT transaction_id, is_fraud FROM r WHERE is_fraud = 1 OR k <= n // 2 - p",
     "sample_exact": f"WITH {_HASHED}, r AS (SELECT *, row_number() OVER (ORDER BY h) AS k FROM hashed) SELECT transaction_id FROM r WHERE k <= n // 3",
+    "split_validation": f"WITH {_SPLIT} SELECT count(*) AS total_row_count, count(*) FILTER (is_fraud NOT IN (0, 1)) AS invalid_target_count, count(*) - count(DISTINCT transaction_id) AS duplicate_transaction_id_count, count(*) FILTER (split = 'train') AS train_row_count, count(*) FILTER (split = 'validation') AS validation_row_count, count(*) FILTER (split = 'test') AS test_row_count FROM parts",
+    "sample_dispatch": f"""WITH {_SPLIT}, h AS (SELECT *, sha256(transaction_id || '||42') AS h, count(*) OVER (PARTITION BY split) AS sn, sum(is_fraud) OVER (PARTITION BY split) AS p FROM parts),
+r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY h) AS i, row_number() OVER (PARTITION BY split, is_fraud ORDER BY h) AS j FROM h)
+SELECT transaction_id, split FROM r WHERE split = 'test' OR split = 'validation' AND i <= n // 20 OR split = 'train' AND (sn <= n // 2 OR is_fraud = 1 OR j <= n // 2 - p)""",
+    "imbalance_weights": f"""WITH {_SCORES}, c AS (SELECT label, count(*) AS row_count FROM s GROUP BY label), t AS (SELECT sum(row_count)::DOUBLE AS n, max(CASE WHEN label = 1 THEN row_count END)::DOUBLE AS p FROM c)
+SELECT 'class_weights' AS policy, label, row_count, round(n / (2.0::DOUBLE * row_count), 6) AS weight FROM c, t UNION ALL SELECT 'scale_pos_weight', label, row_count, round(CASE WHEN label = 1 THEN (n - p) / p ELSE 1.0::DOUBLE END, 6) FROM c, t""",
+    "event_contract": """WITH e AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'x' || event_id ELSE printf('%08x-0000-4000-8000-%012x', event_id, event_id) END AS feedback_id, ts, value / 400.0::DOUBLE AS risk, event_id % 41 - 1 AS latency,
+  '{' || CASE WHEN event_id % 31 = 0 THEN '' ELSE '"amount":' || CASE WHEN event_id % 23 = 0 THEN '"much"' ELSE event_id::VARCHAR END || ',' END || '"transaction_type":"' || CASE WHEN event_id % 29 = 0 THEN 'X' ELSE 'PAYMENT' END || '"}' AS j FROM events),
+f AS (SELECT *, json_extract_string(j, '$.amount') AS amount, json_extract_string(j, '$.transaction_type') AS kind FROM e)
+SELECT event_id, concat_ws(',', CASE WHEN event_id % 13 = 0 THEN 'schema_version' END, CASE WHEN NOT regexp_full_match(feedback_id, '[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}') THEN 'feedback_id' END, CASE WHEN event_id % 17 = 0 OR ts IS NULL THEN 'event_time' END,
+  CASE WHEN event_id % 19 = 0 THEN 'model_name' END, CASE WHEN amount IS NULL OR kind IS NULL THEN 'features' END, CASE WHEN amount IS NOT NULL AND TRY_CAST(amount AS DOUBLE) IS NULL THEN 'feature_values' END,
+  CASE WHEN kind NOT IN ('CASH_IN', 'CASH_OUT', 'DEBIT', 'PAYMENT', 'TRANSFER') THEN 'transaction_type' END, CASE WHEN risk IS NULL OR NOT risk BETWEEN 0 AND 1 THEN 'risk_score' END, CASE WHEN event_id % 37 = 0 THEN 'decision' END, CASE WHEN latency < 0 THEN 'latency_seconds' END) AS errors FROM f""",
+    "label_contract": f"""WITH {_EVENTS} SELECT feedback_id, label_time, concat_ws(',', CASE WHEN feedback_id LIKE '%3' THEN 'schema_version' END, CASE WHEN feedback_id LIKE '%7' THEN 'label' END, CASE WHEN label_time > TIMESTAMP '2024-02-01 00:05:00' THEN 'label_time' END) AS errors FROM l""",
+    "categorical_drift": """WITH e AS (SELECT 'event_type' AS feature, event_type AS v, ts >= '2024-01-16' AS cur FROM events UNION ALL SELECT 'user_id', user_id::VARCHAR, ts >= '2024-01-16' FROM events),
+g AS (SELECT feature, v, count(*) FILTER (NOT cur) AS r, count(*) FILTER (cur) AS c FROM e GROUP BY feature, v), t AS (SELECT feature, sum(r)::DOUBLE AS nr, sum(c)::DOUBLE AS nc, count(*) - 1 AS degrees FROM g GROUP BY feature)
+SELECT feature, round(sum(power(r - (r + c) * nr / (nr + nc), 2) / ((r + c) * nr / (nr + nc)) + power(c - (r + c) * nc / (nr + nc), 2) / ((r + c) * nc / (nr + nc))), 6) AS chi_square, degrees FROM g JOIN t USING (feature) GROUP BY feature, degrees""",
+    "rate_5m_sliding": "WITH w AS (SELECT time_bucket(INTERVAL '1 minute', ts) - to_minutes(k) AS window_start, event_type FROM events, (SELECT unnest(range(5)) AS k)) SELECT window_start, event_type, count(*) AS requests, round(count(*) / 300.0::DOUBLE, 6) AS rate FROM w GROUP BY 1, 2",
+    "error_ratio_sliding": "WITH w AS (SELECT time_bucket(INTERVAL '15 minutes', ts) - to_minutes(15 * k) AS window_start, event_type = 'error' AS bad FROM events, (SELECT unnest(range(4)) AS k)) SELECT window_start, count(*) AS requests, count(*) FILTER (bad) AS errors, round(count(*) FILTER (bad) / count(*)::DOUBLE, 6) AS ratio, count(*) FILTER (bad) / count(*)::DOUBLE > 0.02 AS firing FROM w GROUP BY 1",
     "class_counts": f"WITH {_ORDERS} SELECT count(*) AS row_count, count(*) FILTER (is_fraud = 1) AS positive_count FROM o",
     "strided_sample": "WITH r AS (SELECT event_id::VARCHAR AS feedback_id, row_number() OVER (ORDER BY ts, event_id::VARCHAR) - 1 AS k, count(*) OVER () AS n FROM events) SELECT feedback_id FROM r WHERE k IN (SELECT CAST(floor(i * (SELECT count(*) FROM events) / 777.0::DOUBLE) AS BIGINT) FROM (SELECT unnest(range(0, 777)) AS i))",
     "kth_row": f"""WITH {_ORDERS} SELECT "timestamp", transaction_id FROM (SELECT *, row_number() OVER (ORDER BY "timestamp", transaction_id) AS k, count(*) OVER () AS n FROM o) WHERE k = n // 2""",

@@ -69,7 +69,7 @@ def run_training(spark: SparkSession, folder: str, config: ModelConfig, incumben
     for name, df in data.splits.items():
         limit, strategy = (config.max_train_rows, config.train_strategy) if name == "train" else (config.max_evaluation_rows, config.evaluation_strategy)
         frames[name], summaries[name] = sampling.sample_split(df, name, config.target, limit, config.seed, strategy)
-    models = {m: ml.train(frames["train"], m, target=config.target, balanced=config.imbalance == "class_weights", seed=config.seed, **params.get(m, {})) for m in config.models}
+    models = {m: ml.train(frames["train"], m, target=config.target, imbalance=config.imbalance, seed=config.seed, **params.get(m, {})) for m in config.models}
     predicted = evaluation.check_scores(ml.predictions(models, frames["validation"], config.target)).persist()
     sweep, ranked = evaluate_models(predicted, config)
     best = ranked.filter("place = 1").first()

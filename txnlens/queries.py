@@ -165,6 +165,33 @@ def split_summary(spark: SparkSession, d: str) -> DataFrame:
     return summary(_orders(spark, d), time="timestamp")
 
 
+@query
+def split_validation(spark: SparkSession, d: str) -> DataFrame:
+    """What the check of a split finds, with the split chosen by its configured strategy; one row."""
+    df = _orders(spark, d)
+    found = split.validate_splits(df, split.chronological_split(df, *RATIOS))
+    counts = {"total_row_count": found["total_row_count"], "invalid_target_count": found["invalid_target_count"], "duplicate_transaction_id_count": found["duplicate_transaction_id_count"]}
+    counts |= {f"{name}_row_count": s["row_count"] for name, s in found["splits"].items()}
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in counts.items()])
+
+
+@query
+def sample_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Each split's sample by its configured strategy."""
+    df = _orders(spark, d)
+    parts = split.split_exact(df, *RATIOS)
+    ways = {"train": (df.count() // 2, "negative_sampling"), "validation": (df.count() // 20, "exact"), "test": (None, "full")}
+    return split.tagged({n: sampling.sample_split(parts[n], n, "is_fraud", most, 42, way)[0] for n, (most, way) in ways.items()}).select("transaction_id", "split")
+
+
+@query
+def imbalance_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and weight of each class under each policy that weights."""
+    df = td.scores(spark, d)
+    each = [ml.weighted(df, "label", p).groupBy("label").agg(F.count(F.lit(1)).alias("row_count"), F.max("weight").alias("weight")).select(F.lit(p).alias("policy"), "*") for p in evaluation.IMBALANCE[1:]]
+    return _rounded(each[0].unionByName(each[1]), "weight")
+
+
 @query
 def sample_keep_positives(spark: SparkSession, d: str) -> DataFrame:
     df = _orders(spark, d)
@@ -314,6 +341,17 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.decide(td.prediction_events(spark, d), 0.25).select("feedback_id", "decision")
 
 
+@query
+def event_contract(spark: SparkSession, d: str) -> DataFrame:
+    """The rules that each event breaks."""
+    return monitoring.event_errors(td.contract_events(spark, d), ("amount", "transaction_type")).select("event_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query
+def label_contract(spark: SparkSession, d: str) -> DataFrame:
+    return monitoring.label_errors(td.contract_labels(spark, d), td.AS_OF).select("feedback_id", "label_time", F.array_join("errors", ",").alias("errors"))
+
+
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = td.table(spark, d, "events", "ts", "value", "user_id")
     return e.filter("ts < '2024-01-16'"), e.filter("ts >= '2024-01-16'")
@@ -330,6 +368,12 @@ def ks_drift(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(drift.ks(*_halves(spark, d), ["value", "user_id"]), "ks")
 
 
+@query
+def categorical_drift(spark: SparkSession, d: str) -> DataFrame:
+    e = td.table(spark, d, "events", "ts", "event_type", "user_id")
+    return _rounded(drift.chi_square(e.filter("ts < '2024-01-16'"), e.filter("ts >= '2024-01-16'"), ["event_type", "user_id"]), "chi_square")
+
+
 @query
 def quality_gate_checks(spark: SparkSession, d: str) -> DataFrame:
     """Beta as the candidate against alpha as the incumbent."""
@@ -347,6 +391,18 @@ def rate_5m(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.event_rate(td.table(spark, d, "events", "ts", "event_type"), ("event_type",)), "rate")
 
 
+@query
+def rate_5m_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """The rate over five minutes at every minute."""
+    return _rounded(metrics.event_rate(td.table(spark, d, "events", "ts", "event_type"), ("event_type",), step="1 minute"), "rate")
+
+
+@query
+def error_ratio_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """The ratio over an hour at every quarter of an hour."""
+    return _rounded(metrics.error_ratio(td.table(spark, d, "events", "ts", "event_type"), F.col("event_type") == "error", "1 hour", step="15 minutes"), "ratio")
+
+
 @query
 def error_ratio(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.error_ratio(td.table(spark, d, "events", "ts", "event_type"), F.col("event_type") == "error", "1 hour"), "ratio")

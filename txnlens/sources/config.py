@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, fields
 from typing import Any, TypeVar
 
+from ..operators.evaluation import IMBALANCE
 from ..operators.gates import GatePolicy
 from ..operators.split import check_ratios
 from ..session import SparkSettings
@@ -55,8 +56,8 @@ class ModelConfig:
     def __post_init__(self) -> None:
         if not self.models:
             raise ValueError("at least one model is needed")
-        if self.imbalance not in ("none", "class_weights"):
-            raise ValueError("imbalance must be 'none' or 'class_weights'")
+        if self.imbalance not in IMBALANCE:
+            raise ValueError(f"imbalance must be one of {IMBALANCE}")
         if self.threshold_strategy not in ("metric", "business_cost"):
             raise ValueError("threshold_strategy must be 'metric' or 'business_cost'")
 

@@ -59,6 +59,28 @@ def prediction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def contract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as full prediction records with two features; fixed parts break one rule each."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "value")
+    each = lambda k: F.col("event_id") % k == 0
+    number = F.when(each(23), '"much"').otherwise(F.col("event_id").cast("string"))
+    amount = F.when(each(31), "").otherwise(F.concat(F.lit('"amount":'), number, F.lit(",")))
+    features = F.concat(F.lit("{"), amount, F.lit('"transaction_type":"'), F.when(each(29), "X").otherwise("PAYMENT"), F.lit('"}'))
+    uuid = F.format_string("%08x-0000-4000-8000-%012x", "event_id", "event_id")
+    return e.select(
+        F.col("event_id"), F.when(each(11), F.concat(F.lit("x"), "event_id")).otherwise(uuid).alias("feedback_id"), F.when(each(13), "prediction-event-v0").otherwise("prediction-event-v1").alias("schema_version"),
+        F.when(~each(17), F.col("ts")).alias("event_time"), F.when(each(19), "").otherwise("risk").alias("model_name"), F.lit("v1").alias("model_version"), F.lit("pre-transaction-v1").alias("feature_contract_version"),
+        features.alias("features_json"), (F.col("value") / 400.0).alias("risk_score"), F.lit(0.25).alias("decision_threshold"), F.when(each(37), "maybe").otherwise("review").alias("decision"),
+        (F.col("event_id") % 41 - 1).cast("double").alias("latency_seconds"),
+    )
+
+
+def contract_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delayed labels with a version; fixed parts have another version or a label beyond 1."""
+    labels = delayed_labels(spark, sf_dir)
+    return labels.withColumns({"schema_version": F.when(F.col("feedback_id").endswith("3"), "delayed-label-v0").otherwise("delayed-label-v1"), "label": F.when(F.col("feedback_id").endswith("7"), 2).otherwise(F.col("label"))})
+
+
 def delayed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the events get a label, some before the event; some labels are of no event."""
     e = table(spark, sf_dir, "events", "event_id", "ts")
