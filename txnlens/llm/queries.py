@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, linedup, minhash, pages, quality, secrets, urls
+from . import bpe, chat, decontam, langid, linedup, minhash, pages, phrases, quality, secrets, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_quotes(_table(spark, sf_dir, "conversations"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash": op2_minhash,
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language": op9_language,
     "op10_chat": op10_chat,
+    "op13_collocations": op13_collocations,
 }
 
 #: The contract of op2 over the whole table: shingles, pairs by shared shingles, closure.
@@ -112,4 +117,4 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_minhash": _OP2, "op3_decontaminate": _OP3, "op4_line_dedup": linedup.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash": _OP2, "op3_decontaminate": _OP3, "op4_line_dedup": linedup.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL, "op13_collocations": phrases.ORACLE_SQL}
