@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, linedup, minhash, pages, phrases, quality, secrets, trie, urls
+from . import ann, bpe, chat, decontam, langid, linedup, minhash, pages, phrases, quality, secrets, trie, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_chat": op10_chat,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_graph_neighbours": op12_graph_neighbours,
     "op13_collocations": op13_collocations,
 }
 
@@ -122,4 +127,4 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_minhash": _OP2, "op3_decontaminate": _OP3, "op4_line_dedup": linedup.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL, "op11_prefix_trie": trie.ORACLE_SQL, "op13_collocations": phrases.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash": _OP2, "op3_decontaminate": _OP3, "op4_line_dedup": linedup.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL, "op11_prefix_trie": trie.ORACLE_SQL, "op12_graph_neighbours": ann.ORACLE_SQL, "op13_collocations": phrases.ORACLE_SQL}
