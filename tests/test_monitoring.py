@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -81,5 +82,37 @@ def test_counters_and_quantiles(spark):
     r = metrics.histogram_quantile(e, "v", 0.95).first()
     assert r["requests"] == 20 and abs(r["quantile"] - 0.75) < 1e-9
     assert metrics.histogram_quantile(e.withColumn("v", F.lit(9.0)), "v").first()["quantile"] == 5.0
-    firing = metrics.error_ratio(e, F.col("bad"), "10 seconds")
-    assert [(r["errors"], r["ratio"], r["alert"]) for r in metrics.sustained(firing, 2).orderBy("window_start").collect()] == [(1, 0.1, False), (1, 0.1, True)]
+    ratios = metrics.error_ratio(e, F.col("bad"), "10 seconds").select("errors", "ratio").collect()
+    assert [tuple(r) for r in ratios] == [(1, 0.1), (1, 0.1)]
+
+
+def test_alerts_hold_over_midnight_and_not_over_gaps(spark):
+    at = lambda m: datetime(2026, 1, 1, 23, 40) + timedelta(minutes=m)
+    flags = {0: True, 5: True, 10: False, 15: True, 20: True, 25: True, 30: None, 35: True, 45: True, 50: True, 55: True, 2885: True}
+    rows = [(s, at(m), f) for s in "ab" for m, f in flags.items()]
+    got = metrics.alert_states(spark.createDataFrame(rows, "s string, window_start timestamp, firing boolean"), "10 minutes", "5 minutes", ["s"])
+    want = {0: (0, "pending"), 5: (0, "pending"), 10: (None, "inactive"), 15: (15, "pending"), 20: (15, "pending"), 25: (15, "firing"), 30: (None, "inactive"), 35: (35, "pending"), 45: (45, "pending"), 50: (45, "pending"), 55: (45, "firing"), 2885: (2885, "pending")}
+    assert {(r["s"], r["window_start"]): (r["active_since"], r["state"]) for r in got.collect()} == {(s, at(m)): (None if a is None else at(a), st) for s in "ab" for m, (a, st) in want.items()}
+    whole_days = [(at(5 * i), True) for i in range(1000)]  # an alert of several days
+    got = metrics.alert_states(spark.createDataFrame(whole_days, "window_start timestamp, firing boolean"), "10 minutes", "5 minutes")
+    assert got.filter(F.col("active_since") == at(0)).count() == 1000 and got.filter("state = 'firing'").count() == 998
+
+
+def test_overlapping_windows_come_from_panes(spark):
+    rng = random.Random(1)
+    rows = [("ab"[rng.random() < 0.5], datetime(2026, 1, 1) + timedelta(seconds=rng.randrange(4000)), float(rng.randrange(9))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "s string, ts timestamp, value double")
+    panes = metrics.windowed(df, ["s"], {"n": F.count(F.lit(1)), "v": F.sum("value")}, "5 minutes", "ts", "1 minute")
+    assert "Expand" not in panes._jdf.queryExecution().executedPlan().toString()
+    copies = df.groupBy(F.window("ts", "5 minutes", "1 minute").alias("w"), "s").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v")).select("w.start", "s", "n", "v")
+    assert sorted(map(tuple, panes.collect())) == sorted(map(tuple, copies.collect()))
+    uneven = metrics.windowed(df, ["s"], {"n": F.count(F.lit(1))}, "5 minutes", "ts", "2 minutes")
+    assert uneven.agg(F.sum("n")).first()[0] > 600
+
+
+def test_extrapolated_rate_by_hand(spark):
+    at = lambda s: datetime(2026, 1, 1) + timedelta(seconds=s)
+    rows = [("a", at(30 + 60 * i), 100.0 + 6 * i) for i in range(5)] + [("b", at(100), 1.0), ("b", at(130), 2.0), ("b", at(160), 0.5)] + [("c", at(10), 7.0), ("d", at(290), 1.0), ("d", at(310), 4.0), ("d", at(340), 5.0)]
+    got = {(r["s"], r["window_start"]): (r["samples"], round(r["increase"], 9)) for r in metrics.extrapolated_rate(spark.createDataFrame(rows, "s string, ts timestamp, value double"), ["s"]).collect()}
+    # a: 24 in 240 s, borders 30 s away. b: 1.5 in 60 s, 15 s before and after; from zero it takes 40 s. d: the sample before the window is not of it
+    assert got == {("a", at(0)): (5, 30.0), ("b", at(0)): (3, 1.5 * 90 / 60), ("d", at(300)): (2, round(55 / 30, 9))}

@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 
@@ -7,7 +7,7 @@ from txnlens.operators import dataset, lineage, ml
 from txnlens.operators.split import SPLITS
 from txnlens.plans import pipeline
 from txnlens.schemas import RAW
-from txnlens.sources import config, readers, registry, sinks
+from txnlens.sources import config, event_store, readers, registry, sinks
 
 CSV = """step,type,amount,nameOrig,oldbalanceOrg,newbalanceOrig,nameDest,oldbalanceDest,newbalanceDest,isFraud,isFlaggedFraud
 1,PAYMENT,100.0,C001,1000.0,900.0,M001,500.0,600.0,0,0
@@ -70,13 +70,37 @@ def test_idempotent_events_and_labels(spark, tmp_path):
     t = datetime(2026, 1, 1)
     events = spark.createDataFrame([("a", t, 1.0), ("a", t, 1.0), ("b", t, 2.0)], "feedback_id string, event_time timestamp, risk_score double")
     for _ in range(2):
-        sinks.append_events(events, f"{tmp_path}/events")
+        event_store.append(events, f"{tmp_path}/events")
     assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/events").select("feedback_id").collect()) == ["a", "b"]
     label = lambda y: spark.createDataFrame([("a", y, t)], "feedback_id string, label int, stored_at timestamp")
     assert [sinks.submit_labels(label(y), f"{tmp_path}/labels").first()["outcome"] for y in (1, 1, 0)] == ["accepted", "duplicate", "conflict"]
     assert [r["label"] for r in spark.read.parquet(f"{tmp_path}/labels").collect()] == [1]
-    sinks.purge(spark, f"{tmp_path}/events", "event_time", datetime(2026, 3, 1), 30, f"{tmp_path}/later")
-    assert spark.read.parquet(f"{tmp_path}/later").count() == 0
+    event_store.purge(spark, f"{tmp_path}/events", datetime(2026, 3, 1), 30, events)
+    assert event_store.stored_days(spark, f"{tmp_path}/events") == []
+
+
+def test_event_store_reads_and_replaces_only_the_days_of_a_batch(spark, tmp_path):
+    schema, path = "feedback_id string, event_time timestamp, risk_score double", f"{tmp_path}/events"
+    at = lambda d, h=0: datetime(2026, 1, d, h)
+    days = [spark.createDataFrame([(f"d{d}-{i}", at(d, i), float(i)) for i in range(4)], schema) for d in range(1, 6)]
+    for df in days:
+        event_store.append(df, path)
+    again = spark.createDataFrame([("d2-0", at(2), 0.0), ("d2-9", at(2, 9), 9.0), ("d2-9", at(2, 10), 8.0), ("d3-1", at(3, 1), 1.0), (None, at(3), 1.0), ("lost", None, 1.0)], schema)
+    new = event_store.unseen(again, path)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "2026-01-02" in plan.replace("20455", "2026-01-02") and len(set(new.inputFiles())) > 0
+    assert sorted((r["feedback_id"] or "", r["risk_score"]) for r in new.collect()) == [("", 1.0), ("d2-9", 9.0)]
+    files = lambda d: sorted(p.name for p in (tmp_path / "events" / f"day=2026-01-0{d}").glob("*.parquet"))
+    before = {d: files(d) for d in range(1, 6)}
+    event_store.append(again, path)
+    event_store.append(again, path)
+    assert [files(d) == before[d] for d in range(1, 6)] == [True, False, False, True, True]
+    event_store.compact(spark, path, [date(2026, 1, 2)], again)
+    assert len(files(2)) == 1 and files(4) == before[4]
+    event_store.purge(spark, path, datetime(2026, 2, 2, 2), 30, again)  # the cutoff is on the third, at two
+    left = sorted((r["day"].day, r["feedback_id"]) for r in event_store.read(spark, path, again).collect())
+    assert left == [(3, "d3-2"), (3, "d3-3"), *[(d, f"d{d}-{i}") for d in (4, 5) for i in range(4)]] and files(5) == before[5]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["events"]  # nothing staged is left
 
 
 def test_json_round_trip_and_exposition(spark, tmp_path):

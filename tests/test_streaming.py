@@ -2,7 +2,6 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from txnlens.operators import windows
 from txnlens.streaming import events as st
 
 T0 = datetime(2026, 1, 1)
@@ -32,24 +31,6 @@ def test_dedupe_and_idempotent_sink(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
 
 
-def test_label_settlement(spark, tmp_path):
-    schema, path = "feedback_id string, label int, label_time timestamp", f"{tmp_path}/in"
-    put(spark, path, [("a", 1, T0), ("a", 1, T0 + timedelta(1)), ("a", 0, T0 + timedelta(2)), ("b", 0, T0)], schema)
-    got = drain(st.settle_label_stream(st.read_stream(spark, path, spark.read.parquet(path).schema)), "settle")
-    assert sorted((r["feedback_id"], r["outcome"]) for r in got) == [("a", "accepted"), ("a", "conflict"), ("a", "duplicate"), ("b", "accepted")]
-
-
-def test_velocity_equals_the_batch_windows(spark, tmp_path):
-    schema, path = "transaction_id string, origin_account_id string, destination_account_id string, timestamp timestamp, amount double", f"{tmp_path}/in"
-    rows = [(str(i), f"A{i % 2}", "D", T0 + timedelta(hours=i * 5), float(i)) for i in range(12)]
-    put(spark, path, rows[:6], schema)
-    put(spark, path, rows[6:], schema)
-    batch = windows.add_behavior_features(spark.createDataFrame(rows, schema))
-    want = {(r["origin_account_id"], r["timestamp"]): (r["transactions_last_24h"], r["amount_sum_last_24h"]) for r in batch.collect()}
-    got = drain(st.velocity(st.read_stream(spark, path, spark.read.parquet(path).schema)), "velocity")
-    assert {(r["account"], r["timestamp"]): (r["transactions"], r["amount_sum"]) for r in got} == want
-
-
 def test_delayed_join_and_rate(spark, tmp_path):
     put(spark, f"{tmp_path}/e", [("a", T0, 0.9), ("b", T0, 0.1)], EVENTS)
     put(spark, f"{tmp_path}/l", [("a", 1, T0 + timedelta(days=1)), ("b", 1, T0 + timedelta(days=30))], "feedback_id string, label int, label_time timestamp")

@@ -168,6 +168,21 @@ g AS (SELECT feature, v, count(*) FILTER (NOT cur) AS r, count(*) FILTER (cur) A
 SELECT feature, round(sum(power(r - (r + c) * nr / (nr + nc), 2) / ((r + c) * nr / (nr + nc)) + power(c - (r + c) * nc / (nr + nc), 2) / ((r + c) * nc / (nr + nc))), 6) AS chi_square, degrees FROM g JOIN t USING (feature) GROUP BY feature, degrees""",
     "rate_5m_sliding": "WITH w AS (SELECT time_bucket(INTERVAL '1 minute', ts) - to_minutes(k) AS window_start, event_type FROM events, (SELECT unnest(range(5)) AS k)) SELECT window_start, event_type, count(*) AS requests, round(count(*) / 300.0::DOUBLE, 6) AS rate FROM w GROUP BY 1, 2",
     "error_ratio_sliding": "WITH w AS (SELECT time_bucket(INTERVAL '15 minutes', ts) - to_minutes(15 * k) AS window_start, event_type = 'error' AS bad FROM events, (SELECT unnest(range(4)) AS k)) SELECT window_start, count(*) AS requests, count(*) FILTER (bad) AS errors, round(count(*) FILTER (bad) / count(*)::DOUBLE, 6) AS ratio, count(*) FILTER (bad) / count(*)::DOUBLE > 0.02 AS firing FROM w GROUP BY 1",
+    "alert_states": """WITH w AS (SELECT time_bucket(INTERVAL '15 minutes', ts) - to_minutes(15 * k) AS window_start, event_type = 'error' AS bad FROM events, (SELECT unnest(range(4)) AS k)),
+r AS (SELECT window_start, count(*) FILTER (bad) / count(*)::DOUBLE > 0.2 AS firing FROM w GROUP BY 1),
+p AS (SELECT *, lag(window_start) OVER (ORDER BY window_start) AS b, lag(firing) OVER (ORDER BY window_start) AS bf FROM r),
+g AS (SELECT *, sum(CASE WHEN firing AND bf AND b = window_start - INTERVAL 15 MINUTE THEN 0 ELSE 1 END) OVER (ORDER BY window_start) AS island FROM p),
+s AS (SELECT *, min(window_start) OVER (PARTITION BY island) AS since FROM g)
+SELECT window_start, firing, CASE WHEN firing THEN since ELSE TIMESTAMP '1970-01-01' END AS active_since, CASE WHEN NOT firing THEN 'inactive' WHEN window_start - since >= INTERVAL 30 MINUTE THEN 'firing' ELSE 'pending' END AS state FROM s""",
+    "rate_extrapolated": """WITH x AS (SELECT ts, user_id, (event_id % 1000)::DOUBLE AS v, lag((event_id % 1000)::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id % 1000) AS b FROM events),
+d AS (SELECT *, CASE WHEN b IS NULL THEN 0.0::DOUBLE WHEN v < b THEN v ELSE v - b END AS delta FROM x),
+w AS (SELECT time_bucket(INTERVAL '6 hours', ts) - to_hours(6 * k) AS window_start, * FROM d, (SELECT unnest(range(4)) AS k)),
+n AS (SELECT *, row_number() OVER (PARTITION BY window_start, user_id ORDER BY ts, v) AS i FROM w),
+a AS (SELECT window_start, user_id, count(*) AS samples, sum(CASE WHEN i > 1 THEN delta ELSE 0.0::DOUBLE END) AS inc, max(CASE WHEN i = 1 THEN v END) AS v0, epoch_us(min(ts)) / 1e6::DOUBLE AS f, epoch_us(max(ts)) / 1e6::DOUBLE AS t, epoch_us(window_start) / 1e6::DOUBLE AS s FROM n GROUP BY window_start, user_id),
+m AS (SELECT *, t - f AS cov, (t - f) / (samples - 1) AS mean FROM a WHERE samples > 1 AND t > f),
+e AS (SELECT *, CASE WHEN f - s >= 1.1::DOUBLE * mean THEN mean / 2 ELSE f - s END AS g0, CASE WHEN s + 86400 - t >= 1.1::DOUBLE * mean THEN mean / 2 ELSE s + 86400 - t END AS g1 FROM m),
+z AS (SELECT *, inc * (cov + CASE WHEN inc > 0 AND v0 >= 0 THEN least(g0, cov * v0 / inc) ELSE g0 END + g1) / cov AS y FROM e)
+SELECT window_start, user_id, samples, round(y, 6) AS increase, round(y / 86400, 6) AS rate FROM z""",
     "class_counts": f"WITH {_ORDERS} SELECT count(*) AS row_count, count(*) FILTER (is_fraud = 1) AS positive_count FROM o",
     "strided_sample": "WITH r AS (SELECT event_id::VARCHAR AS feedback_id, row_number() OVER (ORDER BY ts, event_id::VARCHAR) - 1 AS k, count(*) OVER () AS n FROM events) SELECT feedback_id FROM r WHERE k IN (SELECT CAST(floor(i * (SELECT count(*) FROM events) / 777.0::DOUBLE) AS BIGINT) FROM (SELECT unnest(range(0, 777)) AS i))",
     "kth_row": f"""WITH {_ORDERS} SELECT "timestamp", transaction_id FROM (SELECT *, row_number() OVER (ORDER BY "timestamp", transaction_id) AS k, count(*) OVER () AS n FROM o) WHERE k = n // 2""",

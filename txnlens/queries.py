@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -421,6 +422,20 @@ def counter_increase(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.counter_rate(samples, ("user_id",), "1 day"), "rate").select("window_start", "user_id", "increase", "rate")
 
 
+@query
+def rate_extrapolated(spark: SparkSession, d: str) -> DataFrame:
+    """The same counters' rate of a day at every six hours, from the day's own samples."""
+    samples = td.table(spark, d, "events", "event_id", "ts", "user_id").select("ts", "user_id", (F.col("event_id") % 1000).cast("double").alias("value"))
+    return _rounded(metrics.extrapolated_rate(samples, ("user_id",), "1 day", step="6 hours"), "increase", "rate")
+
+
+@query
+def alert_states(spark: SparkSession, d: str) -> DataFrame:
+    """The error ratio's alert, with half an hour to hold, at every quarter of an hour."""
+    ratio = metrics.error_ratio(td.table(spark, d, "events", "ts", "event_type"), F.col("event_type") == "error", "1 hour", step="15 minutes", limit=0.2)
+    return metrics.alert_states(ratio, "30 minutes", "15 minutes").select("window_start", "firing", F.coalesce("active_since", F.lit(datetime(1970, 1, 1))).alias("active_since"), "state")
+
+
 def _model_rows(spark: SparkSession, d: str) -> DataFrame:
     return canonical.model_dataset(_canonical(spark, d).withColumns(fx.row_features()))
 

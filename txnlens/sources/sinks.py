@@ -1,11 +1,10 @@
-"""Sinks: Parquet, idempotent events, first-write-wins labels, retention, and JSON replaced atomically."""
+"""Sinks: Parquet, first-write-wins labels, JSON replaced atomically, metrics text; events are in ``event_store``."""
 
 from __future__ import annotations
 
 import json
 import os
 import tempfile
-from datetime import datetime, timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +27,6 @@ def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path) if there else like.limit(0)
 
 
-def append_events(events: DataFrame, path: str, key: str = "feedback_id") -> None:
-    """Append events whose key is new; the first of equal keys in a batch by event time is kept."""
-    known = read_or_empty(events.sparkSession, path, events).select(key)
-    first = events.groupBy(key).agg(F.min(F.struct("event_time", *[c for c in events.columns if c not in (key, "event_time")])).alias("x"))
-    new = first.select(key, "x.*").select(*events.columns).join(known, key, "left_anti").select(*events.columns)
-    new.write.mode("append").parquet(path)
-
-
 def submit_labels(labels: DataFrame, path: str, order: str = "stored_at") -> DataFrame:
     """Write the labels that are first for their id; each submission with its outcome: accepted, duplicate or conflict.
 
@@ -51,11 +42,6 @@ def submit_labels(labels: DataFrame, path: str, order: str = "stored_at") -> Dat
     return settled
 
 
-def purge(spark: SparkSession, path: str, time: str, as_of: datetime, days: int, to: str) -> None:
-    """Write the rows of ``path`` that are within the retention to another folder."""
-    spark.read.parquet(path).filter(F.col(time) >= F.lit(as_of - timedelta(days=days))).write.mode("overwrite").parquet(to)
-
-
 def write_json(value: object, path: str | Path) -> None:
     """Write a small JSON file whole or not at all."""
     path = Path(path)

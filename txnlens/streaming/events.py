@@ -1,19 +1,16 @@
-"""Structured Streaming: idempotent events, labels that are first or in conflict, the delayed join, account velocity, scoring."""
+"""Structured Streaming: idempotent events, the delayed join, windowed rates, scoring; operators with keyed state are in ``state``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators import ml, monitoring
-from ..sources import sinks
+from ..sources import event_store
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 10) -> DataFrame:
@@ -33,45 +30,6 @@ def join_labels(events: DataFrame, labels: DataFrame, grace: str = "7 days", lat
     return e.join(y, within, "leftOuter").drop("label_id")
 
 
-def settle_label_stream(labels: DataFrame) -> DataFrame:
-    """(feedback_id, label, label_time, outcome): accepted, duplicate or conflict, by the first label of each id."""
-
-    def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("label_time", kind="stable")
-        outcomes = []
-        for label in rows["label"]:
-            if not state.exists:
-                state.update((int(label),))
-                outcomes.append("accepted")
-            else:
-                outcomes.append("duplicate" if state.get[0] == int(label) else "conflict")
-        yield rows.assign(feedback_id=key[0], outcome=outcomes)[["feedback_id", "label", "label_time", "outcome"]]
-
-    return labels.select("feedback_id", "label", "label_time").groupBy("feedback_id").applyInPandasWithState(settle, "feedback_id string, label int, label_time timestamp, outcome string", "label int", "append", GroupStateTimeout.NoTimeout)
-
-
-def velocity(transactions: DataFrame, seconds: int = 86400) -> DataFrame:
-    """(account, timestamp, amount, transactions, amount_sum): what each account did in the whole seconds before.
-
-    State is the account's transactions of the last ``seconds``; older ones are dropped as time goes on.
-    """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, amounts = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(list(batches)).sort_values("timestamp", kind="stable")
-        at = (rows["timestamp"].astype("datetime64[us]").astype("int64") // 1_000_000).tolist()
-        new = rows["amount"].tolist()
-        times, amounts = times + at, amounts + new
-        seen = [[a for t, a in zip(times, amounts, strict=True) if now - seconds <= t <= now - 1] for now in at]
-        last = max(times)
-        keep = [(t, a) for t, a in zip(times, amounts, strict=True) if t > last - seconds - 1]
-        state.update(([t for t, _ in keep], [a for _, a in keep]))
-        yield pd.DataFrame({"account": key[0], "timestamp": rows["timestamp"], "amount": rows["amount"], "transactions": [len(s) for s in seen], "amount_sum": [float(sum(s)) for s in seen]})
-
-    src = transactions.select(F.col("origin_account_id").alias("account"), "timestamp", "amount")
-    return src.groupBy("account").applyInPandasWithState(update, "account string, timestamp timestamp, amount double, transactions long, amount_sum double", "times array<long>, amounts array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
 def windowed_rate(events: DataFrame, is_error: Column, window: str = "5 minutes", lateness: str = "10 minutes", ts: str = "event_time") -> DataFrame:
     """Requests and errors of each window once it is closed."""
     return events.withWatermark(ts, lateness).groupBy(F.window(ts, window)).agg(F.count(F.lit(1)).alias("requests"), F.count_if(is_error).alias("errors")).select(F.col("window.start").alias("window_start"), "requests", "errors")
@@ -82,8 +40,8 @@ def score_stream(transactions: DataFrame, model: PipelineModel, threshold: float
 
 
 def write_events(events: DataFrame, path: str, checkpoint: str):
-    """A started query that appends new events; a batch that is run again adds nothing."""
-    return events.writeStream.foreachBatch(lambda df, _: sinks.append_events(df, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """A started query that appends new events to the store by day; a batch that is run again adds nothing."""
+    return events.writeStream.foreachBatch(lambda df, _: event_store.append(df, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def retention_filter(df: DataFrame, time: str, days: int) -> DataFrame:
