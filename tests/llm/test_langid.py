@@ -62,3 +62,10 @@ def test_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None, "s", 0)], DOCS)
     assert g.train(df) is None and g.predict(df, None).first()["lang_pred"] == "und"
     assert g.predict(df.limit(0), None).count() == 0
+
+
+def test_rare_languages_are_in_the_sample(spark):
+    rows = spark.range(30_000).select(F.concat(F.lit("t"), "id").alias("t"), F.when(F.col("id") % 3000 == 7, "xx").when(F.col("id") == 1, "yy").otherwise("en").alias("l"))
+    found = {r["l"]: r["count"] for r in g._sample(rows, 1000).groupBy("l").count().collect()}
+    assert found["xx"] == 10 and found["yy"] == 1 and 850 < found["en"] < 1150
+    assert g._sample(rows, 40_000).count() == 30_000 and g._sample(rows.limit(0), 5).count() == 0

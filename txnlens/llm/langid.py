@@ -4,10 +4,10 @@ A text's UTF-8 bytes are read in consecutive windows of ``STEPS`` bytes. In each
 and one backwards; at every position their two states give a probability for each language, so every byte of a whole text
 is labelled. A document's probabilities are the means over its positions. Gates are piecewise linear and the candidate
 state is softsign, which cost a fraction of exponentials. Training is backpropagation through time with Adam on windows of
-a bounded sample of labelled rows; the fitted arrays (about 50 KB) are broadcast and one narrow scan predicts.
+a bounded sample of labelled rows, which holds every language; the fitted arrays (about 50 KB) are broadcast and one narrow scan predicts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. Repeated rows get equal results. Without a
-single row to learn from, every text is ``und``. A row whose id is null counts as held out. Extra columns are ignored by
+single row to learn from, every text is ``und``; of equal probabilities the first language in order counts. A row whose id is null counts as held out. Extra columns are ignored by
 ``predict`` and kept by ``keep_known``.
 """
 
@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hashed_sample, parts
+from .common import arrow_map, parts
 
 #: Bytes of a window.
 STEPS = 64
@@ -30,6 +30,8 @@ UNITS = 8
 #: Labelled rows that training sees at most (about, those with small hashes), and windows of each.
 TRAIN_ROWS = 2_000
 TRAIN_WINDOWS = 8
+#: Rows that training sees, about, of a language too rare for the sample.
+LANGUAGE_ROWS = 100
 UPDATES = 300
 BATCH = 256
 UNKNOWN = "und"
@@ -174,11 +176,15 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = TRAIN_ROWS, units: int = UNITS, updates: int = UPDATES, seed: int = 7) -> BiGru | None:
-    """Fit on at most ``max_rows`` labelled rows, of each ``TRAIN_WINDOWS`` windows spread over the text; None without any."""
+    """Fit on about ``max_rows`` labelled rows, of each ``TRAIN_WINDOWS`` windows spread over the text; None without any.
+
+    Every language with a labelled text is learned: of one that the sample would hold fewer than ``LANGUAGE_ROWS`` rows of,
+    about that many are taken, or all it has.
+    """
     text = F.col(text_col)
     picked = rows.filter(text.isNotNull() & (F.length(text) > 0) & F.col(lang_col).isNotNull()).select(text.alias("t"), F.col(lang_col).alias("l"))
     slices = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)), lambda i: F.substring(F.col("t"), F.lit(1) + F.floor(i * F.length("t") / TRAIN_WINDOWS).cast("int"), F.lit(STEPS)))
-    picked = hashed_sample(picked, max_rows, "t", "l")
+    picked = _sample(picked, max_rows)
     found = sorted((r[0], r[1]) for r in picked.select("l", F.array_distinct(slices)).collect())
     languages = sorted({r[0] for r in found})
     pairs = [(s.encode()[:STEPS], languages.index(r[0])) for r in found for s in r[1] if s]
@@ -188,6 +194,19 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_r
     return BiGru.new(languages, units, seed).fit(x, np.array([p[1] for p in pairs]), updates, seed)
 
 
+def _sample(picked: DataFrame, max_rows: int) -> DataFrame:
+    """Distinct rows of (t, l) whose hash is under their language's threshold, which follows from the counts of all languages."""
+    counts = {r[0]: r[1] for r in picked.groupBy("l").count().collect()}
+    total, end = sum(counts.values()), (1 << 63) - 1
+    cuts = {lang: min(end, -(1 << 63) + (1 << 64) * max(max_rows * n, LANGUAGE_ROWS * total) // (n * total)) for lang, n in counts.items()}
+    if total <= max_rows or not cuts:
+        cuts = dict.fromkeys(cuts, end)
+    cut = F.lit(end)
+    for lang, c in sorted(cuts.items()):
+        cut = F.when(F.col("l") == lang, F.lit(c)).otherwise(cut)
+    return picked.withColumn("_h", F.xxhash64("t", "l")).filter(F.col("_h") <= cut).dropDuplicates(["_h"]).drop("_h")
+
+
 def judge(model: BiGru | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and score of each text."""
     known = [i for i, t in enumerate(texts) if t and model and _letter.search(t)]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -27,6 +28,8 @@ from .common import hashed_sample, utf8
 Rule = tuple[str, str, str]
 #: Labelled URLs that the trees are fitted on, about, at most: those with small hashes.
 TRAIN_ROWS = 20_000
+#: Parts of the training rows; a row's suffix statistics come from the others.
+FOLDS = 5
 
 FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "host_digits", "entropy", "params", "query_length", "hyphens", "labels", "fragment", "secure", "suffix_rate", "suffix_count")
 
@@ -155,9 +158,21 @@ def fit(labelled: DataFrame, max_rows: int = TRAIN_ROWS) -> tuple[Boosted, dict[
     picked = sorted(hashed_sample(labelled.select(*cols), max_rows, "url", "blocked").collect())
     urls, hosts, paths = ([r[k] for r in picked] for k in range(3))
     y = np.array([float(r[3]) for r in picked])
+    fold = np.array([zlib.crc32((u or "").encode("utf-8", "surrogatepass")) % FOLDS for u in urls], int)
+    x = np.zeros((0, 0))
+    for k in range(FOLDS):  # a row's own label is not in what it is told about its suffix
+        own = np.flatnonzero(fold == k)
+        others = _rates([hosts[i] for i in np.flatnonzero(fold != k)], y[fold != k])
+        part = lexical([urls[i] for i in own], [hosts[i] for i in own], [paths[i] for i in own], others)
+        x = x if x.size else np.zeros((len(y), part.shape[1]))
+        x[own] = part
+    return Boosted().fit(x, y), _rates(hosts, y)
+
+
+def _rates(hosts: list[str], y: np.ndarray) -> dict[str, tuple[float, float]]:
+    """Of each suffix: the smoothed share of blocked rows, and its rows."""
     n, bad = Counter(map(_suffix, hosts)), Counter(_suffix(h) for h, b in zip(hosts, y, strict=True) if b)
-    suffixes = {s: ((bad[s] + 1) / (k + 2), float(k)) for s, k in n.most_common(4096)}
-    return Boosted().fit(lexical(urls, hosts, paths, suffixes), y), suffixes
+    return {s: ((bad[s] + 1) / (k + 2), float(k)) for s, k in n.items()}
 
 
 def judge_urls(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", max_train_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
@@ -175,8 +190,11 @@ def judge_urls(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_co
     def judge(batches):
         for batch in batches:
             c = batch.to_pydict()
-            score = model.predict(lexical(c["url"], c["host"], c["path"], suffixes)) if batch.num_rows else np.zeros(0)
             decided = [r is not None for r in c["rule"]]
+            free = [i for i, d in enumerate(decided) if not d]
+            score = np.zeros(batch.num_rows)
+            if free:
+                score[free] = model.predict(lexical(*[[c[k][i] for i in free] for k in ("url", "host", "path")], suffixes))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), batch.column("host"), batch.column("path"), batch.column("rule"),
