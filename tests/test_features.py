@@ -87,11 +87,20 @@ def test_windows_equal_frames(spark):
         F.col("id").alias("transaction_id"), F.timestamp_seconds(second + 1767225600 + h(6, 2) / 2).alias("timestamp"), F.nullif(F.when(h(7, 3) == 0, 1).otherwise(h(8, 9)), F.lit(5)).alias("origin_account_id"),
         F.nullif(h(9, 6), F.lit(3)).cast("string").alias("destination_account_id"), F.nullif(h(10, 50) / 4, F.lit(2.0)).alias("amount"), F.lit("x").alias("a"), F.lit("y").alias("_row"),
     )
-    got, expected = (sorted(map(tuple, f(df).collect())) for f in (windows.add_behavior_features, windows.add_behavior_features_by_window))
-    assert got == expected and windows.add_behavior_features(df).columns == windows.add_behavior_features_by_window(df).columns
+    split = lambda d: windows.add_behavior_features(d, hot_rows=0)
+    got, expected, mixed = (sorted(map(tuple, f(df).collect()), key=str) for f in (split, windows.add_behavior_features_by_window, lambda d: windows.add_behavior_features(d, hot_rows=80)))
+    sizes = sorted(r["count"] for r in df.groupBy("origin_account_id").count().collect())
+    assert got == expected == mixed and sizes[0] <= 80 < sizes[-1] and windows.add_behavior_features(df).columns == windows.add_behavior_features_by_window(df).columns
     assert max(r[-1] for r in got) == 5 and windows.add_behavior_features(df.limit(0)).count() == 0
 
 
+def test_only_hot_accounts_are_split(spark):
+    rows = [(str(i), T0 + timedelta(seconds=i), "hot" if i % 3 else f"A{i}", "D", 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "transaction_id string, timestamp timestamp, origin_account_id string, destination_account_id string, amount double")
+    plan = lambda n: windows.add_behavior_features(df, hot_rows=n)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(40) and "Union" in plan(39)  # the hot account has 40 rows
+
+
 def test_rows_without_a_time_have_zeros(spark):
     got = behaviours(spark, [("a", None, "A", "D", 1.0), ("b", T0, "A", "D", 2.0), ("c", T0 + timedelta(minutes=1), "A", "D", 4.0)])
     assert got == {"a": (0, 0, 0.0, 0), "b": (0, 0, 0.0, 0), "c": (1, 1, 2.0, 1)}

@@ -84,6 +84,13 @@ def segment_performance(labelled: DataFrame) -> DataFrame:
     return joined.select(*SEGMENT, status.alias("status"), F.coalesce("row_count", F.lit(0)).alias("labeled_count"), *[F.when(status == "computed", F.col(m)).alias(m) for m in metrics])
 
 
+def segment_calibration(labelled: DataFrame, bins: int = 10) -> DataFrame:
+    """Calibration bins of each segment whose labelled rows have both classes, empty bins with zeros."""
+    rows = labelled.filter("label is not null").select(*SEGMENT, "label", F.col("risk_score").alias("score"))
+    both = rows.groupBy(*SEGMENT).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).filter("p > 0 and n > 0").select(*SEGMENT)
+    return evaluation.calibration_bins(rows, bins, by=SEGMENT).join(both, list(SEGMENT), "left_semi")
+
+
 def event_errors(events: DataFrame, features: tuple[str, ...]) -> DataFrame:
     """Events with the list of contract rules that they break (``errors``), for quarantine; ``features_json`` is parsed once."""
     from ..schemas import TRANSACTION_TYPES

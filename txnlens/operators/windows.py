@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .buckets import same
 
 HOUR, DAY, MONTH = 3600, 86400, 2592000
+#: Rows of an account that one task still orders, and walks its frames for, well.
+HOT_ROWS = 10_000
+#: Accounts above that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ACCOUNTS = 100_000
 
 
 def _recent(seconds: DataFrame) -> DataFrame:
@@ -49,13 +53,11 @@ def _partners(seconds: DataFrame, times: DataFrame) -> DataFrame:
     return within.alias("w").join(start.alias("s"), same("w", "s", ["a", "day"])).select("w.a", "w.t", (F.col("w.c") + F.col("s.start")).alias("u"))
 
 
-def add_behavior_features(df: DataFrame, origin: str = "origin_account_id", time: str = "timestamp", amount: str = "amount", destination: str = "destination_account_id") -> DataFrame:
-    """Counts over an hour and a day, the day's sum and 30 days' distinct destinations, per origin.
+def _split_accounts(df: DataFrame, origin: str = "origin_account_id", time: str = "timestamp", amount: str = "amount", destination: str = "destination_account_id") -> DataFrame:
+    """The features of accounts of any number of rows, by seconds and days.
 
-    Frames end one second before the row, which leaves out the row itself and every row of its second. Rows are first
-    summed by account and second; an account with very many rows is spread over its days, and the rows meet their
-    features by account and second. Null origins are one account, null amounts and destinations add nothing, and a row
-    without a time counts nowhere and has zeros.
+    Rows are first summed by account and second; an account with very many rows is spread over its days, and the rows meet
+    their features by account and second.
     """
     rows = df.select(F.col(f"`{origin}`").alias("a"), F.unix_timestamp(f"`{time}`").alias("t"), F.col(f"`{amount}`").alias("v"), F.col(f"`{destination}`").alias("p")).filter("t is not null")
     seconds = rows.groupBy("a", "t").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).cast("double").alias("v"))
@@ -68,15 +70,37 @@ def add_behavior_features(df: DataFrame, origin: str = "origin_account_id", time
     return joined.select(*[F.col("_row").getField(c).alias(c) for c in df.columns if c not in features], *[got(c, kind, name) for name, (c, kind) in features.items()])
 
 
+def add_behavior_features(df: DataFrame, origin: str = "origin_account_id", time: str = "timestamp", amount: str = "amount", destination: str = "destination_account_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Counts over an hour and a day, the day's sum and 30 days' distinct destinations, per origin.
+
+    Frames end one second before the row, which leaves out the row itself and every row of its second. Null origins are one
+    account, null amounts and destinations add nothing, and a row without a time counts nowhere and has zeros.
+
+    One aggregate finds the accounts of more than ``hot_rows`` rows, of which there are at most the table's rows divided by
+    that number. They take several tasks each, by seconds and days; the others one window. Both give the same features, up
+    to the rounding of sums, so where the border lies decides only the plan.
+    """
+    hot = df.groupBy(F.col(f"`{origin}`").alias("_a")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select("_a", F.lit(True).alias("_hot"))
+    hot = hot.persist()
+    n = hot.count()
+    names = (origin, time, amount, destination)
+    if not n:
+        hot.unpersist()
+        return add_behavior_features_by_window(df, *names)
+    small = F.broadcast(hot) if n <= BROADCAST_ACCOUNTS else hot
+    marked = df.join(small, F.col(f"`{origin}`").eqNullSafe(F.col("_a")), "left").drop("_a")
+    few, many = marked.filter("_hot is null").drop("_hot"), marked.filter("_hot").drop("_hot")
+    return add_behavior_features_by_window(few, *names).unionByName(_split_accounts(many, *names))
+
+
 def add_behavior_features_by_window(df: DataFrame, origin: str = "origin_account_id", time: str = "timestamp", amount: str = "amount", destination: str = "destination_account_id") -> DataFrame:
-    """The same by four frames of one window: one exchange, but an account is one task and each row walks its frames. For comparison."""
-    by = Window.partitionBy(origin).orderBy(F.unix_timestamp(time))
+    """The same by four frames of one window: one exchange, but an account is one task and each row walks its frames."""
+    by = Window.partitionBy(F.col(f"`{origin}`")).orderBy(F.unix_timestamp(F.col(f"`{time}`")))
     last = lambda seconds: by.rangeBetween(-seconds, -1)
-    return df.withColumns(
-        {
-            "transactions_last_1h": F.count(F.lit(1)).over(last(HOUR)).cast("int"),
-            "transactions_last_24h": F.count(F.lit(1)).over(last(DAY)).cast("int"),
-            "amount_sum_last_24h": F.coalesce(F.sum(amount).over(last(DAY)), F.lit(0.0)),
-            "unique_destinations_last_30d": F.size(F.collect_set(destination).over(last(MONTH))),
-        }
-    )
+    timed = lambda c, zero: F.when(F.col(f"`{time}`").isNotNull(), c).otherwise(zero)
+    total = F.coalesce(F.sum(F.col(f"`{amount}`")).over(last(DAY)), F.lit(0)).cast("double")
+    features = {
+        "transactions_last_1h": timed(F.count(F.lit(1)).over(last(HOUR)), F.lit(0)).cast("int"), "transactions_last_24h": timed(F.count(F.lit(1)).over(last(DAY)), F.lit(0)).cast("int"),
+        "amount_sum_last_24h": timed(total, F.lit(0.0)), "unique_destinations_last_30d": timed(F.size(F.collect_set(F.col(f"`{destination}`")).over(last(MONTH))), F.lit(0)).cast("int"),
+    }
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in features], *[c.alias(n) for n, c in features.items()])

@@ -108,6 +108,27 @@ def _histogram() -> str:
     return f"WITH h AS (SELECT date_trunc('hour', ts) AS window_start, count(*) AS requests, 0.95::DOUBLE * count(*) AS q, {counts} FROM events GROUP BY 1) SELECT window_start, requests, round(CASE {cases} ELSE 5.0::DOUBLE END, 6) AS quantile FROM h"
 
 
+_SUMMED = ["amount", "amount_log", "origin_balance_before", "amount_to_origin_balance_ratio", "destination_balance_before", "amount_to_destination_balance_ratio", "is_zero_origin_balance_before",
+  "is_zero_destination_balance_before", "transaction_hour", "transaction_day_of_week", "is_cash_in", "is_cash_out", "is_debit", "is_payment", "is_transfer", "risk_score"]
+
+
+def _newton(steps: int = 6) -> str:
+    """Newton steps of a logistic curve with one feature: the two-by-two system written out."""
+    out = ["b0 AS (SELECT DISTINCT model, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS ll FROM s)"]
+    for k in range(1, steps + 1):
+        out.append(f"""p{k} AS (SELECT s.model, a, b, score AS x, label AS y, a + b * score AS z, 1 / (1 + exp(-(a + b * score))) AS p FROM s JOIN b{k - 1} ON b{k - 1}.model = s.model),
+g{k} AS (SELECT model, max(a) AS a, max(b) AS b, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11, sum(y * z - ln(1 + exp(z))) AS ll FROM p{k} GROUP BY model),
+b{k} AS (SELECT model, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b, ll FROM g{k})""")
+    return ",\n".join(out)
+
+
+def _content(name: str, columns: list[str]) -> str:
+    cell = lambda c: f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    row = f"sha256({" || ',' || ".join(map(cell, sorted(columns)))})"
+    number = lambda at: f"list_reduce(list_prepend(0::HUGEINT, list_transform(range({at}, {at} + 15), lambda i: (strpos('0123456789abcdef', h[i]) - 1)::HUGEINT)), lambda a, b: a * 16 + b)"
+    return f"SELECT '{name}' AS name, count(*) AS row_count, sum({number(1)})::VARCHAR AS low, sum({number(16)})::VARCHAR AS high FROM (SELECT {row} AS h FROM {name})"
+
+
 ORACLE_SQL: dict[str, str] = {
     "behavior_features": f"SELECT event_id AS transaction_id, ts AS \"timestamp\", user_id AS origin_account_id, event_type AS destination_account_id, value AS amount, {_behavior('user_id', 'ts', 'value', 'event_type')} FROM events",
     "raw_transactions": f"WITH {_RAW} SELECT * FROM raw",
@@ -168,6 +189,18 @@ g AS (SELECT feature, v, count(*) FILTER (NOT cur) AS r, count(*) FILTER (cur) A
 SELECT feature, round(sum(power(r - (r + c) * nr / (nr + nc), 2) / ((r + c) * nr / (nr + nc)) + power(c - (r + c) * nc / (nr + nc), 2) / ((r + c) * nc / (nr + nc))), 6) AS chi_square, degrees FROM g JOIN t USING (feature) GROUP BY feature, degrees""",
     "rate_5m_sliding": "WITH w AS (SELECT time_bucket(INTERVAL '1 minute', ts) - to_minutes(k) AS window_start, event_type FROM events, (SELECT unnest(range(5)) AS k)) SELECT window_start, event_type, count(*) AS requests, round(count(*) / 300.0::DOUBLE, 6) AS rate FROM w GROUP BY 1, 2",
     "error_ratio_sliding": "WITH w AS (SELECT time_bucket(INTERVAL '15 minutes', ts) - to_minutes(15 * k) AS window_start, event_type = 'error' AS bad FROM events, (SELECT unnest(range(4)) AS k)) SELECT window_start, count(*) AS requests, count(*) FILTER (bad) AS errors, round(count(*) FILTER (bad) / count(*)::DOUBLE, 6) AS ratio, count(*) FILTER (bad) / count(*)::DOUBLE > 0.02 AS firing FROM w GROUP BY 1",
+    "logistic_newton": f"WITH {_SCORES}, {_newton()} SELECT model, round(a, 6) AS intercept, round(b, 6) AS coefficient, round(ll, 3) AS log_likelihood FROM b6",
+    "calibrated_scores": f"WITH {_SCORES}, {_newton()} SELECT round(1 / (1 + exp(-(a + b * score))), 6) AS chance, label, count(*) AS row_count FROM s JOIN b6 ON b6.model = s.model WHERE s.model = 'alpha' GROUP BY 1, 2",
+    "table_fingerprint": _content("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]) + " UNION ALL " + _content("events", ["event_id", "user_id", "event_type"]),
+    "segment_calibration": f"""WITH {_LABELLED}, y AS (SELECT {_SEG}, label, risk_score AS score FROM j WHERE label IS NOT NULL), b AS (SELECT {_SEG} FROM y GROUP BY ALL HAVING count(DISTINCT label) = 2),
+edges AS (SELECT i AS bin, i * 0.1::DOUBLE AS lower, CASE WHEN i = 9 THEN 1.0::DOUBLE ELSE (i + 1) * 0.1::DOUBLE END AS upper FROM (SELECT unnest(range(0, 10)) AS i))
+SELECT b.model_name, b.model_version, b.feature_contract_version, CAST(bin AS INTEGER) AS bin, round(lower, 6) AS lower, round(upper, 6) AS upper, count(score) AS row_count, round(coalesce(avg(score), 0), 6) AS mean_predicted_probability, round(coalesce(avg(label), 0), 6) AS observed_positive_rate
+FROM b CROSS JOIN edges LEFT JOIN y ON y.model_name = b.model_name AND y.model_version = b.model_version AND y.feature_contract_version = b.feature_contract_version AND score >= lower AND (score < upper OR bin = 9 AND score <= upper)
+GROUP BY b.model_name, b.model_version, b.feature_contract_version, bin, lower, upper""",
+    "data_summary": f"""WITH {_CANON}, f AS (SELECT *, least(amount / 1e6::DOUBLE, 1.0::DOUBLE) AS risk_score, {_AMOUNT}, {_TYPES}, {_CALENDAR}, CAST(origin_balance_before = 0 AS INTEGER) AS is_zero_origin_balance_before, CAST(destination_balance_before = 0 AS INTEGER) AS is_zero_destination_balance_before
+  FROM canon WHERE "timestamp" >= TIMESTAMP '2030-01-01' AND "timestamp" < TIMESTAMP '2032-01-01'),
+l AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(\"timestamp\" AS DATE) AS day, {c}::DOUBLE AS v, {c}::DOUBLE IS NULL AS lost FROM f" for c in _SUMMED)} UNION ALL SELECT 'transaction_type', CAST("timestamp" AS DATE), NULL, transaction_type IS NULL FROM f)
+SELECT feature, count(DISTINCT day) AS day_count, count(*) AS row_count, count(*) FILTER (lost) AS null_count, round(min(v), 5) AS minimum, round(max(v), 5) AS maximum, round(avg(v), 5) AS mean, CASE WHEN avg(v) IS NOT NULL THEN round(sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0)), 5) END AS deviation FROM l GROUP BY feature""",
     "alert_states": """WITH w AS (SELECT time_bucket(INTERVAL '15 minutes', ts) - to_minutes(15 * k) AS window_start, event_type = 'error' AS bad FROM events, (SELECT unnest(range(4)) AS k)),
 r AS (SELECT window_start, count(*) FILTER (bad) / count(*)::DOUBLE > 0.2 AS firing FROM w GROUP BY 1),
 p AS (SELECT *, lag(window_start) OVER (ORDER BY window_start) AS b, lag(firing) OVER (ORDER BY window_start) AS bf FROM r),

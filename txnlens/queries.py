@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import features as fx
 from .functions import rules
-from .operators import canonical, drift, evaluation, gates, metrics, ml, monitoring, profiling, ranks, sampling, split, validation, windows
-from .plans.contract import MODEL_DATASET, MODEL_FEATURES
+from .operators import canonical, drift, evaluation, fingerprint, gates, logistic, metrics, ml, monitoring, profiling, ranks, sampling, split, summary, validation, windows
+from .plans.contract import CATEGORICAL_FEATURES, MODEL_DATASET, MODEL_FEATURES
 from .sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,6 +375,55 @@ def categorical_drift(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(drift.chi_square(e.filter("ts < '2024-01-16'"), e.filter("ts >= '2024-01-16'"), ["event_type", "user_id"]), "chi_square")
 
 
+def _summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of two years of days, of the contract's features and the amount's share of a million."""
+    rows = _canonical(spark, d).withColumns(fx.row_features()).withColumn("risk_score", F.least(F.col("amount") / 1e6, F.lit(1.0)))
+    numeric = [*[c for c in MODEL_FEATURES if c not in CATEGORICAL_FEATURES], "risk_score"]
+    return summary.merge_summaries(summary.daily_summary(rows, "timestamp", numeric, CATEGORICAL_FEATURES), date(2030, 1, 1), date(2031, 12, 31))
+
+
+@query
+def data_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What is exact in the summaries: days, counts, nulls, range, mean and deviation."""
+    return _rounded(_summaries(spark, d).drop("distinct_estimate", "quantiles"), "minimum", "maximum", "mean", "deviation", places=5)
+
+
+@query
+def data_summary_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """What is estimated in them: distinct values and quantiles."""
+    return _summaries(spark, d).select("feature", "distinct_estimate", "quantiles")
+
+
+@query
+def logistic_newton(spark: SparkSession, d: str) -> DataFrame:
+    """Each model's scores calibrated by a logistic curve, six Newton steps: its two numbers and the likelihood before the last step."""
+    rows = td.scores(spark, d)
+    fits = {m: logistic.fit(rows.filter(F.col("model") == m), ["score"], "label", steps=6) for m in ("alpha", "beta")}
+    return spark.createDataFrame([(m, round(f.intercept, 6), round(f.coefficients[0], 6), round(f.log_likelihood, 3)) for m, f in fits.items()], "model string, intercept double, coefficient double, log_likelihood double")
+
+
+@query
+def calibrated_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every event's chance by the curve that is fitted to alpha's scores."""
+    alpha = td.scores(spark, d).filter("model = 'alpha'")
+    fitted = logistic.fit(alpha, ["score"], "label", steps=6)
+    return fitted.score(alpha, "chance").groupBy(F.round("chance", 6).alias("chance"), "label").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@query
+def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """Content of two tables, whatever their files."""
+    parts = {"orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "events": ("event_id", "user_id", "event_type")}
+    each = [fingerprint.content(td.table(spark, d, t, *cols)).select(F.lit(t).alias("name"), "*") for t, cols in parts.items()]
+    return each[0].unionByName(each[1])
+
+
+@query
+def segment_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Calibration bins of every segment whose labels have both classes."""
+    return _rounded(monitoring.segment_calibration(monitoring.labelled_events(*_window(spark, d))), "lower", "upper", "mean_predicted_probability", "observed_positive_rate")
+
+
 @query
 def quality_gate_checks(spark: SparkSession, d: str) -> DataFrame:
     """Beta as the candidate against alpha as the incumbent."""
@@ -442,13 +491,18 @@ def _model_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(name: str, **params) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = _model_rows(spark, d).persist()
-        return ml.score(ml.train(rows, name, **params), rows).select("transaction_id", F.round("risk_score", 6).alias("risk_score"))
+        rows = _model_rows(spark, d)
+        kept = rows.persist()
+        try:
+            model = ml.train(kept, name, **params)
+        finally:
+            kept.unpersist()
+        return ml.score(model, rows).select("transaction_id", F.round("risk_score", 6).alias("risk_score"))
 
     return run
 
 
-QUERIES["logistic_regression_scores"] = _scored("logistic_regression", max_iter=20)
+QUERIES["logistic_regression_scores"] = _scored("logistic_regression")
 QUERIES["random_forest_scores"] = _scored("random_forest", trees=10, depth=5)
 QUERIES["gradient_boosting_scores"] = _scored("gradient_boosting", trees=5, depth=3)
 
