@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import features as fx
 from .functions import rules
-from .operators import canonical, drift, evaluation, fingerprint, gates, logistic, metrics, ml, monitoring, profiling, ranks, sampling, split, summary, validation, windows
-from .plans.contract import CATEGORICAL_FEATURES, MODEL_DATASET, MODEL_FEATURES
+from .operators import boosting, canonical, drift, evaluation, fingerprint, gates, logistic, metrics, ml, monitoring, profiling, ranks, sampling, split, summary, validation, windows
+from .plans.contract import CATEGORICAL_FEATURES, MODEL_DATASET, MODEL_FEATURES, TARGET
 from .sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -506,4 +506,12 @@ QUERIES["logistic_regression_scores"] = _scored("logistic_regression")
 QUERIES["random_forest_scores"] = _scored("random_forest", trees=10, depth=5)
 QUERIES["gradient_boosting_scores"] = _scored("gradient_boosting", trees=5, depth=3)
 
+@query
+def boosted_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Second-order boosting, ten trees of depth six, on the contract's numeric features."""
+    rows = _model_rows(spark, d)
+    model = boosting.fit(rows, [c for c in MODEL_FEATURES if c not in CATEGORICAL_FEATURES], TARGET, trees=10)
+    return model.score(rows).select("transaction_id", F.round("risk_score", 6).alias("risk_score"))
+
+
 assert set(MODEL_FEATURES) < set(MODEL_DATASET)
