@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType
 from ..functions import rules
 from ..schemas import CANONICAL, RAW, require_schema
 
+# Columns that a canonical row must have.
 _REQUIRED = ("transaction_id", "timestamp", "transaction_type", "origin_account_id", "destination_account_id", "amount", "is_fraud", "is_flagged_fraud")
 
 

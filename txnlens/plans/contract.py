@@ -13,6 +13,7 @@ MODEL_FEATURES = (
     "transaction_day_of_week", "is_cash_in", "is_cash_out", "is_debit", "is_payment", "is_transfer",
 )
 CATEGORICAL_FEATURES = ("transaction_type",)
+# Columns that must never reach a model, by the reason.
 IDENTIFIERS = ("transaction_id", "origin_account_id", "destination_account_id", "timestamp", "is_fraud", "is_flagged_fraud")
 POST_EVENT = (
     "origin_balance_after", "destination_balance_after", "origin_balance_delta", "destination_balance_delta", "origin_balance_change_ratio",
