@@ -44,6 +44,32 @@ def test_segments(spark):
     assert mon.segment_performance(rows.filter("feedback_id = 'e2'")).first()["status"] == "awaiting_labels"
 
 
+def test_segment_drift_fails_alone(spark):
+    import math
+
+    inf = float("inf")
+    data = [("good", i, x, 1.0) for i, x in enumerate([1.0, 2.0, 9.0, None])] + [("odd", i, x, 1.0) for i, x in enumerate([1.0, inf])] + [("none", i, None, 1.0) for i in range(3)] + [("one", 0, 1.0, 1.0), (None, 0, 1.0, 1.0), (None, 1, 4.0, 1.0)]
+    rows = spark.createDataFrame([("m", v, "c", f"{v}{i}", None, x, y) for v, i, x, y in data], "model_name string, model_version string, feature_contract_version string, feedback_id string, label int, x double, y double")
+    reference = spark.createDataFrame([(1.0, None), (8.0, None), (None, None)], "x double, y double")
+    edges = {"x": [5.0], "y": [0.5]}
+    got = {}
+    for v in ("good", "odd", "none", "one", "other"):
+        of = {"model_name": "m", "model_version": v, "feature_contract_version": "c"}
+        for r in mon.segment_drift(rows, reference, of, ["x"], edges).collect():
+            if r["model_version"] == v or v == "other":
+                got[v, r["model_version"]] = (r["drift_status"], r["drift_error_stage"], r["drift_error"], r["psi"])
+    c, f = (1.5 / 4, 2.5 / 4), (1.5 / 3, 1.5 / 3)
+    assert abs(got["good", "good"][3] - sum((a - b) * math.log(a / b) for a, b in zip(c[::-1], f))) < 1e-12
+    assert got["good", "good"][:3] == ("generated", None, None)
+    assert got["odd", "odd"] == ("failed", "prepare_data", "InvalidNumber", None) and got["none", "none"] == ("failed", "prepare_data", "MissingFeature", None)
+    assert got["one", "one"][0] == "insufficient_current_rows" and {r[0] for k, r in got.items() if k[0] == "other"} == {"skipped_reference_model_mismatch"} and ("other", None) in got
+    of = {"model_name": "m", "model_version": "good", "feature_contract_version": "c"}
+    two = [r for r in mon.segment_drift(rows, reference, of, ["x", "y"], edges).collect() if r["model_version"] == "good"]
+    assert {(r["feature"], r["drift_status"], r["drift_error_stage"], r["drift_error"], r["psi"]) for r in two} == {("x", "failed", "run_report", "MissingReference", None), ("y", "failed", "run_report", "MissingReference", None)}
+    assert {r["drift_status"] for r in mon.segment_drift(rows, reference.limit(0), of, ["x"], edges).filter("model_version = 'good'").collect()} == {"reference_unavailable"}
+    assert mon.segment_drift(rows.limit(0), reference, of, ["x"], edges).count() == 0
+
+
 def test_slug(spark):
     values = ["a b/c", "--..", "x" * 100, None]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(mon.slug(F.col("v"))).collect()]
@@ -69,6 +95,9 @@ def test_event_contract(spark):
     ddl = "feedback_id string, schema_version string, event_time timestamp, model_name string, model_version string, feature_contract_version string, features_json string, risk_score double, decision_threshold double, decision string, latency_seconds double"
     got = [r["errors"] for r in mon.event_errors(spark.createDataFrame([base, *bad.values()], ddl), MODEL_FEATURES).collect()]
     assert got[0] == [] and [k in e for k, e in zip(bad, got[1:])] == [True] * len(bad)
+    clash = mon.event_errors(spark.createDataFrame([base], ddl).withColumns({"_parsed": F.lit(1), "errors": F.lit(2)}), MODEL_FEATURES)
+    assert clash.columns == [*ddl.replace(" string", "").replace(" double", "").replace(" timestamp", "").split(", "), "_parsed", "errors"] and clash.first()["errors"] == []
+    assert clash._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
     labels = spark.createDataFrame([("a", "delayed-label-v1", 1, NOW), ("a", "delayed-label-v1", 2, NOW), ("a", "v0", 1, NOW + timedelta(minutes=6))], "feedback_id string, schema_version string, label int, label_time timestamp")
     assert [r["errors"] for r in mon.label_errors(labels, NOW).collect()] == [[], ["label"], ["schema_version", "label_time"]]
 

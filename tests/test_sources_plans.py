@@ -123,6 +123,46 @@ def test_config(tmp_path):
             config.data_config(str(tmp_path / "bad.yaml"))
 
 
+def test_sampling_and_weights_exclude_each_other():
+    assert config.ModelConfig().imbalance == "none" and config.ModelConfig(imbalance="class_weights", train_strategy="none").imbalance == "class_weights"
+    for policy in ("class_weights", "scale_pos_weight"):
+        with pytest.raises(ValueError, match="twice"):
+            config.ModelConfig(imbalance=policy)
+
+
+def test_runs(spark, tmp_path):
+    from txnlens.sources import tracking
+
+    at = tmp_path / "t.yaml"
+    at.write_text("tracking: {uri: ' /x ', experiment_name: e, registered_model_name: m}\n")
+    assert config.tracking_config(str(at)).uri == "/x" and config.tracking_config(str(at)).artifact_location is None
+    for text in ("tracking: {uri: '', experiment_name: e, registered_model_name: m}\n", "uri: x\n", "tracking: {uri: x, experiment_name: e, registered_model_name: m, artifact_location: ' '}\n", "tracking: {uri: x, experiment_name: 1, registered_model_name: m}\n"):
+        (tmp_path / "bad.yaml").write_text(text)
+        with pytest.raises(ValueError):
+            config.tracking_config(str(tmp_path / "bad.yaml"))
+    runs = tracking.Runs(spark, config.tracking_config(str(at), uri=str(tmp_path / "runs")))
+    runs.log("a", {"model": {"depth": 3}}, {"pr_auc": 0.5}, {"stage": "try"})
+    runs.log("b", {}, {"pr_auc": 0.75})
+    runs.log("c", {}, {"pr_auc": float("nan")})
+    with pytest.raises(ValueError, match="already"):
+        runs.log("a", {}, {"pr_auc": 1.0})
+    assert {tuple(r) for r in runs.read().filter("run = 'a'").collect()} == {("param", "model.depth", "3", "a"), ("metric", "pr_auc", "0.5", "a"), ("tag", "stage", "try", "a")}
+    assert [tuple(r) for r in runs.ranked("pr_auc").orderBy("place").collect()] == [("b", 0.75, 1), ("a", 0.5, 2)]
+    assert runs.ranked("pr_auc", largest=False).filter("place = 1").first()["run"] == "a" and runs.ranked("x").count() == 0
+
+
+def test_gate_measures_the_contract(spark):
+    from txnlens.operators.dataset import Dataset
+    from txnlens.plans.contract import MODEL_DATASET, MODEL_FEATURES, passes
+
+    assert passes(MODEL_FEATURES) and not passes(MODEL_FEATURES[::-1]) and not passes((*MODEL_FEATURES, "timestamp"))
+    row = spark.createDataFrame([("m", 1, 1, 1, *[0.5] * 9)], "model string, row_count long, true_positives long, false_negatives long, pr_auc double, precision double, recall double, expected_cost_per_transaction double, brier_score double, alert_rate double, a double, b double, c double")
+    for columns, want in ((MODEL_DATASET, True), (MODEL_DATASET[:-2], False)):
+        data = Dataset(dict.fromkeys(SPLITS, spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))), {}, {"train": 0}, {"x": 2})
+        got = pipeline.measure(row, row, data, {"pr_auc": 0.1}, 0.2).first()
+        assert got["schema_contract_passed"] is want and got["split_overlap_count"] == 2
+
+
 def test_manifest_and_approval(spark, tmp_path):
     spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/t")
     a = lineage.manifest(spark, f"{tmp_path}/t", {"id": "long"}, {"x": 1}, "now")

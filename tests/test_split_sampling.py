@@ -59,6 +59,37 @@ def test_validate_splits(spark):
     assert {r["pair"]: r["overlap_count"] for r in split.overlaps(s | {"test": s["validation"]}).collect()} == {"train__validation": 0, "train__test": 0, "validation__test": 4}
 
 
+def test_findings_of_a_split(spark):
+    df = hourly(spark, 20)
+    s = split.split_exact(df, 0.6, 0.2, 0.2)
+    r = split.split_findings(df, s | {"test": s["validation"]}).first()
+    assert (r["total_row_count"], r["duplicate_transaction_id_count"], r["train_row_count"], r["test_row_count"]) == (20, 4, 12, 4) and r["test_max_timestamp"] == r["validation_max_timestamp"]
+    r = split.split_findings(df, s | {"test": s["test"].limit(0)}).first()
+    assert r["test_row_count"] == 0 and r["test_min_timestamp"] is None
+    r = split.split_findings(df, s | {"train": s["train"].withColumn("is_fraud", F.lit(2))}).first()
+    assert (r["train_invalid_target_count"], r["test_invalid_target_count"]) == (12, 0)
+
+
+def test_time_boundary_within_its_error(spark):
+    n, error = 5000, 0.01
+    df = spark.range(n).selectExpr("cast(id as string) as transaction_id", "timestamp_seconds(id * 7919 % 5000) as timestamp", "0 as is_fraud")
+    s = split.split_by_time(df, 0.7, 0.15, 0.15, error=error)
+    counts = [s[k].count() for k in split.SPLITS]
+    assert sum(counts) == n and abs(counts[0] - 0.7 * n) <= error * n and abs(counts[0] + counts[1] - 0.85 * n) <= error * n
+    split.validate_splits(df, s)
+
+
+def test_sample_in_order(spark):
+    df = spark.createDataFrame([(f"t{i}", (i * 37) % 100) for i in range(100)], "transaction_id string, at int")
+    got = sorted((r["row_index"], r["at"], r["transaction_id"]) for r in sampling.sample_in_order(df, 30, 42, "at").collect())
+    assert [g[0] for g in got] == list(range(30)) and [g[1] for g in got] == sorted(g[1] for g in got)
+    assert {g[2] for g in got} == set(ids(sampling.first_by_hash(df, 30, 42)))
+    assert [r["row_index"] for r in sampling.sample_in_order(df, 200, 1, "at").orderBy("at").collect()] == list(range(100))
+    assert sampling.sample_in_order(df.limit(0), 5, 1, "at").count() == 0
+    with pytest.raises(ValueError):
+        sampling.sample_in_order(df, 0, 1, "at")
+
+
 def test_keep_positives(spark):
     df = spark.createDataFrame([(f"t{i}", int(i in (3, 8))) for i in range(10)], "transaction_id string, is_fraud int")
     (a, summary), (b, _) = (sampling.keep_positives(df, "is_fraud", 5, 42) for _ in range(2))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import cut_points, place
@@ -41,6 +41,33 @@ def psi(reference: DataFrame, current: DataFrame, columns: Sequence[str], edges:
     return per.select("feature", value.alias("psi"))
 
 
+def psi_by(reference: DataFrame, current: DataFrame, by: Sequence[str], columns: Sequence[str], edges: dict[str, Sequence[float]]) -> DataFrame:
+    """(by, feature, row_count, psi) of each group of the current rows against all reference rows, as ``psi``; all groups in one pass.
+
+    What is joined holds one map of bin counts a feature, and a group and feature. Nulls are left out.
+    """
+    at = size = F.lit(None).cast("int")
+    for c in columns:
+        at = F.when(F.col("feature") == c, sum((F.when(F.col("value") >= float(e), 1).otherwise(0) for e in edges[c]), F.lit(0))).otherwise(at)
+        size = F.when(F.col("feature") == c, len(edges[c]) + 1).otherwise(size)
+
+    def counted(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
+        rows = df.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.*").filter("value is not null")
+        bins = rows.groupBy(*keys, "feature", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        return bins.groupBy(*keys, "feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias(name), F.sum("n").alias(f"{name}_total"))
+
+    both = counted(current, by, "c").join(counted(reference, (), "r"), "feature", "left").withColumn("b", size)
+    share = lambda m, i: (F.coalesce(F.try_element_at(m, i), F.lit(0)) + 0.5) / (F.coalesce(F.col(f"{m}_total"), F.lit(0)) + 0.5 * F.col("b"))
+
+    def term(i: Column) -> Column:
+        c, r = share("c", i), share("r", i)
+        return (c - r) * F.log(c / r)
+
+    value = F.aggregate(F.sequence(F.lit(0), F.col("b") - 1), F.lit(0.0), lambda a, i: a + term(i))
+    return both.select(*by, "feature", F.col("c_total").alias("row_count"), value.alias("psi"))
+
+
 def ks(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, ks): the largest gap between the two distribution functions, over distinct values.
 

@@ -24,15 +24,15 @@ def column_kinds(df: DataFrame, columns: Sequence[str] = MODEL_FEATURES) -> tupl
     return numeric, [c for c in columns if c not in numeric]
 
 
-def preprocessing(df: DataFrame, columns: Sequence[str] = MODEL_FEATURES) -> list:
-    """Stages from columns to ``features``: medians and standard scores; the mode's index and one column a known category.
+def preprocessing(df: DataFrame, columns: Sequence[str] = MODEL_FEATURES, median_error: float = 0.001) -> list:
+    """Stages from columns to ``features``: medians (to a relative error of rank) and standard scores; the mode's index and one column a known category.
 
     An unknown category gets zeros: the indexer keeps it as an extra last index, which the encoder drops.
     """
     numeric, categorical = column_kinds(df, columns)
     stages: list = []
     if numeric:
-        stages += [Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}__filled" for c in numeric]), VectorAssembler(inputCols=[f"{c}__filled" for c in numeric], outputCol="numeric__raw"), StandardScaler(inputCol="numeric__raw", outputCol="numeric__scaled", withMean=True)]
+        stages += [Imputer(strategy="median", relativeError=median_error, inputCols=numeric, outputCols=[f"{c}__filled" for c in numeric]), VectorAssembler(inputCols=[f"{c}__filled" for c in numeric], outputCol="numeric__raw"), StandardScaler(inputCol="numeric__raw", outputCol="numeric__scaled", withMean=True)]
     if categorical:
         stages += [StringIndexer(inputCols=categorical, outputCols=[f"{c}__index" for c in categorical], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}__index" for c in categorical], outputCols=[f"{c}__hot" for c in categorical], dropLast=True)]
     return [*stages, VectorAssembler(inputCols=(["numeric__scaled"] if numeric else []) + [f"{c}__hot" for c in categorical], outputCol="features")]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import evaluation
+from . import drift, evaluation
 
 SEGMENT = ("model_name", "model_version", "feature_contract_version")
 
@@ -72,6 +75,32 @@ def segments(labelled: DataFrame, reference: dict[str, str] | None, has_referenc
     return sums.withColumn("slug", F.concat_ws("-", *[slug(F.col(c)) for c in SEGMENT])).withColumn("drift_status", status)
 
 
+def segment_drift(labelled: DataFrame, reference: DataFrame, of: dict[str, str] | None, columns: Sequence[str], edges: dict[str, Sequence[float]]) -> DataFrame:
+    """One row a segment and feature: the segment's ``drift_status``, and ``psi`` against the reference rows where it is ``generated``.
+
+    A segment that stands to be reported but whose features can't be is ``failed``, with the stage and the kind of error of
+    its first fault; the other segments are reported all the same. ``prepare_data``: a feature without any value
+    (``MissingFeature``) or with one that is not finite (``InvalidNumber``). ``run_report``: the reference lacks the feature.
+    """
+    number = lambda c: F.col(f"`{c}`").cast("double")
+    odd = lambda c: F.coalesce(F.isnan(number(c)) | (F.abs(number(c)) == float("inf")), F.lit(False))
+    checks = F.array(*[F.struct(F.lit(c).alias("feature"), F.count(number(c)).alias("values"), F.count_if(odd(c)).alias("odd")) for c in columns])
+    known = reference.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.count(number(c)).alias("n")) for c in columns]).alias("x")).select(F.inline("x")).filter("n > 0")
+    status = segments(labelled, of, not reference.isEmpty()).select(*SEGMENT, "drift_status")
+    each = labelled.groupBy(*SEGMENT).agg(checks.alias("x")).select(*SEGMENT, F.inline("x"))
+    each = each.join(known.withColumn("known", F.lit(True)).drop("n"), "feature", "left")
+    fault = F.when(F.col("values") == 0, F.struct(F.lit(0).alias("order"), F.lit("prepare_data").alias("stage"), F.lit("MissingFeature").alias("error")))
+    fault = fault.when(F.col("odd") > 0, F.struct(F.lit(1).alias("order"), F.lit("prepare_data").alias("stage"), F.lit("InvalidNumber").alias("error")))
+    fault = fault.when(F.col("known").isNull(), F.struct(F.lit(2).alias("order"), F.lit("run_report").alias("stage"), F.lit("MissingReference").alias("error")))
+    first = each.groupBy(*SEGMENT).agg(F.min(fault).alias("fault"))
+    same = lambda a, b: functools.reduce(operator.and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in SEGMENT])
+    failed = (F.col("s.drift_status") == "generated") & F.col("f.fault").isNotNull()
+    told = status.alias("s").join(first.alias("f"), same("s", "f")).select(*[F.col(f"s.{c}") for c in SEGMENT], F.when(failed, "failed").otherwise(F.col("s.drift_status")).alias("drift_status"), F.when(failed, F.col("f.fault.stage")).alias("drift_error_stage"), F.when(failed, F.col("f.fault.error")).alias("drift_error"))
+    found = drift.psi_by(reference, labelled, SEGMENT, columns, edges)
+    rows = each.select(*SEGMENT, "feature").alias("e").join(told.alias("t"), same("e", "t")).join(found.alias("p"), same("e", "p") & (F.col("e.feature") == F.col("p.feature")), "left")
+    return rows.select(*[F.col(f"t.{c}") for c in SEGMENT], "e.feature", "t.drift_status", "t.drift_error_stage", "t.drift_error", F.when(F.col("t.drift_status") == "generated", F.col("p.psi")).alias("psi"))
+
+
 def segment_performance(labelled: DataFrame) -> DataFrame:
     """Metrics of each segment's labelled rows, each row judged at its own threshold; null until both classes have labels."""
     rows = labelled.filter("label is not null").select(*SEGMENT, "label", F.col("risk_score").alias("score"), "decision_threshold")
@@ -92,10 +121,12 @@ def segment_calibration(labelled: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def event_errors(events: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """Events with the list of contract rules that they break (``errors``), for quarantine; ``features_json`` is parsed once."""
+    """Events with the list of contract rules that they break (``errors``), for quarantine; ``features_json`` is parsed once, in a step of its own."""
     from ..schemas import TRANSACTION_TYPES
 
-    parsed = F.from_json("features_json", "map<string,string>")
+    kept, name = events.columns, "_parsed" + "_" * max(map(len, events.columns))  # a name of no other column
+    events = events.withColumn(name, F.from_json("features_json", "map<string,string>"))
+    parsed = F.col(name)
     keys = F.array_sort(F.coalesce(F.map_keys(parsed), F.array().cast("array<string>")))
     numbers = F.map_filter(parsed, lambda k, v: (k != "transaction_type") & (F.try_to_number(v, F.lit("S999999999999999.999999999")).isNull() & v.try_cast("double").isNull()))
     infinite = F.map_filter(parsed, lambda k, v: (k != "transaction_type") & (F.isnan(v.try_cast("double")) | (F.abs(v.try_cast("double")) == float("inf"))))
@@ -108,7 +139,8 @@ def event_errors(events: DataFrame, features: tuple[str, ...]) -> DataFrame:
         "risk_score": finite("risk_score") & F.col("risk_score").between(0, 1), "decision_threshold": finite("decision_threshold") & F.col("decision_threshold").between(0, 1),
         "decision": F.col("decision").isin("allow", "review"), "latency_seconds": finite("latency_seconds") & (F.col("latency_seconds") >= 0),
     }
-    return events.withColumn("errors", F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()])))
+    errors = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]))
+    return events.select(*[F.col(f"`{c}`") for c in kept if c != "errors"], errors.alias("errors"))
 
 
 def label_errors(labels: DataFrame, as_of: datetime) -> DataFrame:

@@ -74,7 +74,8 @@ def keep_positives(df: DataFrame, target: str, max_rows: int, seed: int, key: st
     out = df.filter(F.col(target) == 1)
     if room:
         out = out.unionByName(first_by_hash(df.filter(F.col(target) == 0), room, seed, key))
-    return out, SamplingSummary(n, positives + room, positives, positives, max_rows)
+    kept = class_counts(out, target)
+    return out, SamplingSummary(n, kept[0], positives, kept[1], max_rows)
 
 
 def cap_rows(df: DataFrame, target: str, max_rows: int, seed: int, strategy: str = "exact", key: str = "transaction_id") -> tuple[DataFrame, SamplingSummary]:
@@ -114,22 +115,37 @@ def sample_split(df: DataFrame, split: str, target: str, max_rows: int | None, s
 
 
 def strided(df: DataFrame, max_rows: int, *order: str) -> DataFrame:
-    """``max_rows`` rows at equal strides of the order: row int(i * n / max_rows) for each i. The first column is a number or a time.
+    """``max_rows`` rows at equal strides of the order: row int(i * n / max_rows) for each i. The first column is a number or a time."""
+    n = df.count()
+    if n <= max_rows:
+        return df
+    i = F.ceil(F.col("_n") * max_rows / F.lit(n))  # the only i whose stride can start at this row
+    hit = (i < max_rows) & (F.floor(i * F.lit(n) / F.lit(max_rows)) == F.col("_n"))
+    return numbered(df, "_n", *order).filter(hit).drop("_n")
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """Each row's number in the order, from 0, as ``name``; the first column of the order is a number or a time.
 
     The order is cut into ranges of the first column. Each range's count is gathered, and a row's number is its place in
     its range plus the counts before. A row's range follows from its value alone, so that a repeated task finds the same.
+    An empty frame has no numbers.
     """
-    n = df.count()
-    if n <= max_rows:
-        return df
     first = F.unix_micros(F.col(order[0]).cast("timestamp")) if isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(order[0])
     (cuts,) = cut_points(df, [first])
     ranked = df.withColumn("_p", place(first, cuts))
     before, total = {}, 0
     for p, rows in sorted(ranked.groupBy("_p").count().collect()):  # a number a range
         before[p], total = total, total + rows
+    if not before:
+        return df.withColumn(name, F.lit(None).cast("long"))
     offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair]), F.col("_p").cast("long"))
     number = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + offset
-    i = F.ceil(F.col("_n") * max_rows / F.lit(n))  # the only i whose stride can start at this row
-    hit = (i < max_rows) & (F.floor(i * F.lit(n) / F.lit(max_rows)) == F.col("_n"))
-    return ranked.withColumn("_n", number).filter(hit).drop("_p", "_n")
+    return ranked.withColumn(name, number).drop("_p")
+
+
+def sample_in_order(df: DataFrame, max_rows: int, seed: int, *order: str, key: str = "transaction_id", name: str = "row_index") -> DataFrame:
+    """A seeded sample of ``max_rows`` rows (all if there are no more), numbered from 0 in the source's order as ``name``."""
+    if max_rows < 1:
+        raise ValueError("max_rows must be at least 1")
+    return numbered(df if df.count() <= max_rows else first_by_hash(df, max_rows, seed, key), name, *order)

@@ -98,17 +98,30 @@ def overlaps(splits: dict[str, DataFrame], key: str = "transaction_id") -> DataF
     return sums.select(F.explode(F.array(*[F.struct(F.lit(f"{a}__{b}").alias("pair"), F.col(f"{a}__{b}").alias("overlap_count")) for a, b in pairs])).alias("x")).select("x.*")
 
 
+def split_findings(source: DataFrame, splits: dict[str, DataFrame], time: str = "timestamp", key: str = "transaction_id", target: str = "is_fraud") -> DataFrame:
+    """One row: the source's rows, each split's rows and time range, bad targets, and keys that occur more than once."""
+    invalid = F.coalesce(~F.col(target).isin(0, 1), F.lit(True))
+    rows = tagged({n: s.select(F.col(key).alias("key"), F.col(time).alias("time"), invalid.alias("invalid")) for n, s in splits.items()})
+    of = lambda n, c: F.when(F.col("split") == n, F.col(c))
+    each = [x for n in SPLITS for x in (F.count_if(F.col("split") == n).alias(f"{n}_row_count"), F.min(of(n, "time")).alias(f"{n}_min"), F.max(of(n, "time")).alias(f"{n}_max"), F.count_if((F.col("split") == n) & F.col("invalid")).alias(f"{n}_invalid"))]
+    keyed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *each)
+    sums = [x for n in SPLITS for x in (F.coalesce(F.sum(f"{n}_row_count"), F.lit(0)).alias(f"{n}_row_count"), F.min(f"{n}_min").alias(f"{n}_min_timestamp"), F.max(f"{n}_max").alias(f"{n}_max_timestamp"), F.coalesce(F.sum(f"{n}_invalid"), F.lit(0)).alias(f"{n}_invalid_target_count"))]
+    found = keyed.agg(F.count_if(F.col("n") > 1).alias("duplicate_transaction_id_count"), *sums)
+    total = source.agg(F.count(F.lit(1)).alias("total_row_count"))
+    return found.withColumn("total_row_count", total.scalar())
+
+
 def validate_splits(source: DataFrame, splits: dict[str, DataFrame], time: str = "timestamp", key: str = "transaction_id", target: str = "is_fraud") -> dict:
     """Counts and time ranges; an error for other schemas, empty splits, lost rows, bad targets, shared keys or mixed times."""
     if set(splits) != set(SPLITS):
         raise ValueError(f"expected the splits {SPLITS}")
     if any(s.schema.names != source.schema.names or [f.dataType for f in s.schema] != [f.dataType for f in source.schema] for s in splits.values()):
         raise ValueError("the splits' schemas must be the source's")
-    stats = {r["split"]: r.asDict() for r in split_stats(splits, time, target).collect()}
-    if empty := [s for s in SPLITS if s not in stats]:
+    found = split_findings(source, splits, time, key, target).first()
+    stats = {n: {"split": n} | {k: found[f"{n}_{k}"] for k in ("row_count", "invalid_target_count", "min_timestamp", "max_timestamp")} for n in SPLITS}
+    if empty := [n for n, s in stats.items() if not s["row_count"]]:
         raise ValueError(f"empty splits: {empty}")
-    twice = tagged({n: s.select(key) for n, s in splits.items()}).groupBy(key).count().filter("count > 1").count()
-    total, wrong = source.count(), sum(s["invalid_target_count"] for s in stats.values())
+    twice, total, wrong = found["duplicate_transaction_id_count"], found["total_row_count"], sum(s["invalid_target_count"] for s in stats.values())
     if sum(s["row_count"] for s in stats.values()) != total or wrong or twice:
         raise ValueError(f"invalid splits: {stats}, {total} source rows, {twice} duplicate keys")
     for a, b in zip(SPLITS, SPLITS[1:], strict=False):

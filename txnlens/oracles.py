@@ -85,17 +85,42 @@ shares AS (SELECT feature, (r + 0.5::DOUBLE) / (sum(r) OVER f + 0.5 * k) AS rs,
 SELECT feature, round(sum((cs - rs) * ln(cs / rs)), 6) AS psi FROM shares GROUP BY feature"""
 
 
+_SPLIT_SCORES = """numbered AS (SELECT *, row_number() OVER (ORDER BY ts, event_id::VARCHAR) AS k, count(*) OVER () AS n FROM events),
+parts AS (SELECT *, CASE WHEN k <= floor(n * 0.70) THEN 'train' WHEN k <= floor(n * 0.70) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM numbered),
+s AS (SELECT split || '_alpha' AS model, CAST(event_id % 7 = 0 AS INTEGER) AS label, least(value / 400.0::DOUBLE, 1.0::DOUBLE) AS score FROM parts WHERE split <> 'train'
+  UNION ALL SELECT split || '_beta', CAST(event_id % 7 = 0 AS INTEGER), (event_id * 37 % 1000) / 1000.0::DOUBLE FROM parts WHERE split <> 'train')"""
+
+
+def _segment_drift() -> str:
+    cuts = {"amount": ("amount", "10.0, 25.0, 50.0, 100.0, 200.0", 6), "hour": ("hour", "6.0, 12.0, 18.0", 4), "risk_score": ("risk_score", "0.1, 0.2, 0.4", 4)}
+    long = " UNION ALL ".join(f"SELECT {_SEG}, cur, '{f}' AS feature, {n} AS k, len(list_filter([{e}]::DOUBLE[], lambda x: {c} >= x)) AS bin, isinf({c}) AS odd FROM x" for f, (c, e, n) in cuts.items())
+    return f"""WITH {_EVENTS}, x AS (SELECT p.*, e.ts >= '2024-01-16' AS cur, (event_id % 24)::DOUBLE AS hour, CASE WHEN model_name = 'risk model' AND model_version = 'v0' AND event_id % 100 = 0 THEN 'inf'::DOUBLE ELSE value END AS amount FROM p JOIN events e ON p.feedback_id = e.event_id::VARCHAR),
+y AS ({long}), refs AS (SELECT 'risk' AS reference_model, 'v1' AS reference_version UNION ALL SELECT 'risk model', 'v0'),
+seg AS (SELECT {_SEG}, feature, k, count(*) AS nc, bool_or(odd) AS odd FROM y WHERE cur GROUP BY ALL), whole AS (SELECT {_SEG}, bool_or(odd) AS odd, max(nc) AS n FROM seg GROUP BY ALL),
+c AS (SELECT {_SEG}, feature, bin, count(*) AS c FROM y WHERE cur GROUP BY ALL), r AS (SELECT model_name, model_version, feature, bin, count(*) AS r FROM y WHERE NOT cur GROUP BY ALL),
+t AS (SELECT model_name, model_version, feature, sum(r) AS nr FROM r GROUP BY ALL), bins AS (SELECT unnest(range(0, 6)) AS bin),
+grid AS (SELECT reference_model, s.model_name, s.model_version, s.feature_contract_version, s.feature, (coalesce(c, 0) + 0.5::DOUBLE) / (nc + 0.5 * k) AS cs, (coalesce(r, 0) + 0.5::DOUBLE) / (nr + 0.5 * k) AS rs
+  FROM seg s JOIN bins b ON b.bin < k JOIN refs f ON true LEFT JOIN c ON c.model_name = s.model_name AND c.model_version = s.model_version AND c.feature = s.feature AND c.bin = b.bin
+  LEFT JOIN r ON r.model_name = reference_model AND r.model_version = reference_version AND r.feature = s.feature AND r.bin = b.bin JOIN t ON t.model_name = reference_model AND t.model_version = reference_version AND t.feature = s.feature),
+psis AS (SELECT reference_model, {_SEG}, feature, sum((cs - rs) * ln(cs / rs)) AS psi FROM grid GROUP BY ALL),
+told AS (SELECT reference_model, {_SEG}, feature, psi, CASE WHEN model_name <> reference_model OR model_version <> reference_version THEN 'skipped_reference_model_mismatch' WHEN n < 2 THEN 'insufficient_current_rows' WHEN odd THEN 'failed' ELSE 'generated' END AS drift_status
+  FROM psis JOIN refs USING (reference_model) JOIN whole USING ({_SEG}))
+SELECT reference_model, {_SEG}, feature, drift_status, CASE WHEN drift_status = 'failed' THEN 'prepare_data' ELSE '' END AS drift_error_stage, CASE WHEN drift_status = 'failed' THEN 'InvalidNumber' ELSE '' END AS drift_error, CASE WHEN drift_status = 'generated' THEN round(psi, 6) ELSE -1.0::DOUBLE END AS psi FROM told"""
+
+
 def _gate() -> str:
     floors = {"pr_auc": (0.5, -0.01), "precision": (0.5, -0.05), "recall": (0.8, -0.02)}
     caps = {"expected_cost_per_transaction": (0.1, 0.01), "brier_score": (0.1, 0.01), "calibration_error": (0.1, 0.02), "alert_rate": (0.05, 0.02)}
-    rows = [("schema.feature_contract", "1.0", "==", 1.0), ("leakage.duplicate_transaction_ids", "0.0", "==", 0.0), ("leakage.split_overlap", "0.0", "==", 0.0), ("test.rows", "b.row_count", ">=", 10000.0), ("test.positives", "b.positives", ">=", 100.0)]
-    rows += [(f"validation.{k}", f"b.{k}", ">=", v[0]) for k, v in floors.items()] + [(f"test.{k}", f"b.{k}", ">=", v[0]) for k, v in floors.items()] + [(f"test.{k}", f"b.{k}", "<=", v[0]) for k, v in caps.items()]
+    twice = "(SELECT count(*) FROM (SELECT event_id FROM events GROUP BY event_id HAVING count(*) > 1))"
+    shared = "(SELECT coalesce(sum(c * (c - 1) // 2), 0) FROM (SELECT count(DISTINCT split) AS c FROM parts GROUP BY event_id))"
+    rows = [("schema.feature_contract", "1.0", "==", 1.0), ("leakage.duplicate_transaction_ids", twice, "==", 0.0), ("leakage.split_overlap", shared, "==", 0.0), ("test.rows", "b.row_count", ">=", 10000.0), ("test.positives", "b.positives", ">=", 100.0)]
+    rows += [(f"validation.{k}", f"v.{k}", ">=", v[0]) for k, v in floors.items()] + [(f"test.{k}", f"b.{k}", ">=", v[0]) for k, v in floors.items()] + [(f"test.{k}", f"b.{k}", "<=", v[0]) for k, v in caps.items()]
     rows += [(f"comparison.{k}", f"b.{k} - a.{k}", ">=", v[1]) for k, v in floors.items()] + [(f"comparison.{k}_increase", f"b.{k} - a.{k}", "<=", v[1]) for k, v in caps.items()]
-    union = " UNION ALL ".join(f"SELECT '{n}' AS name, CAST({e} AS DOUBLE) AS actual, '{op}' AS operator, {t}::DOUBLE AS threshold FROM b, a" for n, e, op, t in rows)
-    sweep = _sweep("threshold = 0.25")
+    union = " UNION ALL ".join(f"SELECT '{n}' AS name, CAST({e} AS DOUBLE) AS actual, '{op}' AS operator, {t}::DOUBLE AS threshold FROM b, a, v" for n, e, op, t in rows)
+    sweep = f"{_SPLIT_SCORES}, {_sweep('threshold = 0.25').removeprefix(_SCORES + ', ')}"
     return f"""WITH {sweep}, {_auc("s", "model")}, {_BINS.removeprefix(_SCORES + ",")}, ece AS (SELECT model, sum(row_count * abs(mp - rate)) / sum(row_count) AS calibration_error FROM bins GROUP BY model),
 m AS (SELECT sweep.model, row_count, true_positives + false_negatives AS positives, pr_auc, prec AS precision, rec AS recall, expected_cost / row_count AS expected_cost_per_transaction, brier AS brier_score, alert AS alert_rate, calibration_error
-  FROM sweep JOIN auc USING (model) JOIN ece USING (model)), a AS (SELECT * FROM m WHERE model = 'alpha'), b AS (SELECT * FROM m WHERE model = 'beta'), every AS ({union})
+  FROM sweep JOIN auc USING (model) JOIN ece USING (model)), a AS (SELECT * FROM m WHERE model = 'test_alpha'), b AS (SELECT * FROM m WHERE model = 'test_beta'), v AS (SELECT * FROM m WHERE model = 'validation_beta'), every AS ({union})
 SELECT 'beta' AS model, name, round(actual, 6) AS actual, operator, threshold, CASE operator WHEN '>=' THEN actual >= threshold WHEN '<=' THEN actual <= threshold ELSE actual = threshold END AS passed FROM every"""
 
 
@@ -254,6 +279,13 @@ g AS (SELECT feature, v, count(*) FILTER (NOT cur) AS r, count(*) FILTER (cur) A
 k AS (SELECT feature, abs(sum(r) OVER w / sum(r) OVER (PARTITION BY feature)::DOUBLE - sum(c) OVER w / sum(c) OVER (PARTITION BY feature)::DOUBLE) AS gap FROM g WINDOW w AS (PARTITION BY feature ORDER BY v))
 SELECT feature, round(max(gap), 6) AS ks FROM k GROUP BY feature""",
     "quality_gate_checks": _gate(),
+    "segment_drift": _segment_drift(),
+    "sample_in_order": f"""WITH {_HASHED}, r AS (SELECT *, row_number() OVER (ORDER BY h) AS i FROM hashed) SELECT row_number() OVER (ORDER BY "timestamp", transaction_id) - 1 AS row_index, transaction_id FROM r WHERE i <= n // 4""",
+    "preprocessed_features": """WITH e AS (SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN value END AS v, user_id::DOUBLE AS u, CASE WHEN event_id % 17 <> 0 THEN event_type END AS t FROM events),
+fills AS (SELECT quantile_disc(v, 0.5) AS median, (SELECT t FROM e WHERE t IS NOT NULL GROUP BY t ORDER BY count(*) DESC, t LIMIT 1) AS mode FROM e),
+f AS (SELECT event_id, coalesce(v, median) AS v, u, coalesce(t, mode) AS t FROM e, fills), m AS (SELECT avg(v) AS av, stddev_samp(v) AS sv, avg(u) AS au, stddev_samp(u) AS su FROM f),
+cats AS (SELECT t, row_number() OVER (ORDER BY count(*) DESC, t) AS category FROM f GROUP BY t)
+SELECT event_id, round((v - av) / sv, 6) AS value, round((u - au) / su, 6) AS user_id, category FROM f, m, cats WHERE cats.t = f.t""",
     "rate_5m": "SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type, count(*) AS requests, round(count(*) / 300.0::DOUBLE, 6) AS rate FROM events GROUP BY 1, 2",
     "error_ratio": "SELECT date_trunc('hour', ts) AS window_start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*)::DOUBLE, 6) AS ratio, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE > 0.02 AS firing FROM events GROUP BY 1",
     "histogram_p95": _histogram(),

@@ -25,6 +25,15 @@ TARGET = "is_fraud"
 MODEL_DATASET = ("transaction_id", *MODEL_FEATURES, TARGET)
 
 
+def passes(columns: Iterable[str]) -> bool:
+    """Whether the columns are the contract's, exactly and in order."""
+    try:
+        check_features(columns)
+    except ValueError:
+        return False
+    return True
+
+
 def check_features(columns: Iterable[str]) -> tuple[str, ...]:
     """The columns, if they are the contract's exactly and in order; else an error that names what is wrong."""
     names = tuple(columns)

@@ -13,7 +13,7 @@ from ..operators.dataset import Dataset, load_splits
 from ..schemas import FEATURES, require_schema
 from ..sources import readers, sinks
 from ..sources.config import DataConfig, ModelConfig
-from .contract import TARGET
+from .contract import TARGET, passes
 
 
 def run_etl(spark: SparkSession, config: DataConfig) -> dict:
@@ -53,13 +53,14 @@ def evaluate_models(predictions: DataFrame, config: ModelConfig) -> tuple[DataFr
     return sweep, evaluation.rank_candidates(chosen.join(evaluation.ranking_metrics(predictions), "model"), config.primary_metric)
 
 
-def measure(validated: DataFrame, tested: DataFrame, dataset: Dataset, incumbent: dict[str, float], calibration: float) -> DataFrame:
+def measure(validated: DataFrame, tested: DataFrame, dataset: Dataset, incumbent: dict[str, float], calibration: float, target: str = TARGET) -> DataFrame:
     """One row of everything the gate looks at."""
     v = validated.select(*[F.col(m).alias(f"validation_{m}") for m in ("pr_auc", "precision", "recall")])
     t = tested.select("model", F.col("row_count").alias("test_row_count"), (F.col("true_positives") + F.col("false_negatives")).alias("test_positive_count"), *[F.col(m).alias(f"test_{m}") for m in ("pr_auc", "precision", "recall", "expected_cost_per_transaction", "brier_score", "alert_rate")])
     fixed = {f"incumbent_{k}": x for k, x in incumbent.items()} | {"test_calibration_error": calibration, "duplicate_transaction_id_count": float(sum(dataset.duplicates.values())), "split_overlap_count": float(sum(dataset.overlaps.values()))}
     row = v.first().asDict() | fixed
-    return t.withColumns({k: F.lit(float(x)) for k, x in row.items()}).withColumn("schema_contract_passed", F.lit(True))
+    contract = all(passes(c for c in df.columns if c not in ("transaction_id", target)) for df in dataset.splits.values())
+    return t.withColumns({k: F.lit(float(x)) for k, x in row.items()}).withColumn("schema_contract_passed", F.lit(contract))
 
 
 def run_training(spark: SparkSession, folder: str, config: ModelConfig, incumbent: dict[str, float] | None = None, **params) -> dict:
@@ -84,7 +85,7 @@ def run_training(spark: SparkSession, folder: str, config: ModelConfig, incumben
     error = evaluation.calibration_error(evaluation.calibration_bins(test)).first()["calibration_error"]
     out = {"model": name, "threshold": best["threshold"], "validation": best.asDict(), "test": tested.first().asDict() | {"calibration_error": error}, "sampling": {k: asdict(s) for k, s in summaries.items()}, "models": models}
     if incumbent is not None:
-        rows = gates.quality_gate(measure(ranked.filter("place = 1"), tested, data, incumbent, error))
+        rows = gates.quality_gate(measure(ranked.filter("place = 1"), tested, data, incumbent, error, config.target))
         out["gate"] = gates.gate_status(rows).first().asDict()
     predicted.unpersist()
     test.unpersist()

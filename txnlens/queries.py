@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import features as fx
 from .functions import rules
 from .operators import boosting, canonical, drift, evaluation, fingerprint, gates, logistic, metrics, ml, monitoring, profiling, ranks, sampling, split, summary, validation, windows
-from .plans.contract import CATEGORICAL_FEATURES, MODEL_DATASET, MODEL_FEATURES, TARGET
+from .plans.contract import CATEGORICAL_FEATURES, MODEL_DATASET, MODEL_FEATURES, TARGET, passes
 from .sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,10 +172,16 @@ def split_summary(spark: SparkSession, d: str) -> DataFrame:
 def split_validation(spark: SparkSession, d: str) -> DataFrame:
     """What the check of a split finds, with the split chosen by its configured strategy; one row."""
     df = _orders(spark, d)
-    found = split.validate_splits(df, split.chronological_split(df, *RATIOS))
-    counts = {"total_row_count": found["total_row_count"], "invalid_target_count": found["invalid_target_count"], "duplicate_transaction_id_count": found["duplicate_transaction_id_count"]}
-    counts |= {f"{name}_row_count": s["row_count"] for name, s in found["splits"].items()}
-    return spark.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in counts.items()])
+    found = split.split_findings(df, split.chronological_split(df, *RATIOS))
+    wrong = sum((F.col(f"{n}_invalid_target_count") for n in split.SPLITS), F.lit(0))
+    return found.select("total_row_count", wrong.cast("long").alias("invalid_target_count"), "duplicate_transaction_id_count", *[f"{n}_row_count" for n in split.SPLITS])
+
+
+@query
+def sample_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded quarter of the orders, numbered in their order of time."""
+    df = _orders(spark, d)
+    return sampling.sample_in_order(df, df.count() // 4, 42, "timestamp", "transaction_id").select(F.col("row_index").cast("long").alias("row_index"), "transaction_id")
 
 
 @query
@@ -332,6 +340,19 @@ def segment_summary(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.segments(monitoring.labelled_events(*_window(spark, d)), reference)
 
 
+@query
+def segment_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment's drift against the reference rows of two models in turn; one of them has features that can't be reported."""
+    reference, current = td.segment_rows(spark, d)
+    edges = {"amount": [10.0, 25.0, 50.0, 100.0, 200.0], "hour": [6.0, 12.0, 18.0], "risk_score": [0.1, 0.2, 0.4]}
+    each = []
+    for name, version in (("risk", "v1"), ("risk model", "v0")):
+        of = {"model_name": name, "model_version": version, "feature_contract_version": "pre-transaction-v1"}
+        each.append(monitoring.segment_drift(current.withColumn("label", F.lit(None).cast("int")), reference.filter((F.col("model_name") == name) & (F.col("model_version") == version)), of, list(edges), edges).select(F.lit(name).alias("reference_model"), "*"))
+    text = {c: F.coalesce(c, F.lit("")) for c in ("drift_error_stage", "drift_error")}
+    return _rounded(each[0].unionByName(each[1]), "psi").withColumns({**text, "psi": F.coalesce("psi", F.lit(-1.0))})
+
+
 @query
 def segment_performance(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(monitoring.segment_performance(monitoring.labelled_events(*_window(spark, d))), "precision", "recall", "f1", "roc_auc", "pr_auc", "brier_score", "alert_rate")
@@ -426,14 +447,22 @@ def segment_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def quality_gate_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Beta as the candidate against alpha as the incumbent."""
-    sweep = evaluation.threshold_sweep(td.scores(spark, d), [0.25], **COSTS)
-    m = sweep.join(evaluation.ranking_metrics(td.scores(spark, d)), "model").join(evaluation.calibration_error(evaluation.calibration_bins(td.scores(spark, d))), "model")
-    m = m.withColumn("expected_cost_per_transaction", F.col("expected_cost") / F.col("row_count")).withColumn("positives", F.col("true_positives") + F.col("false_negatives"))
-    names = ("pr_auc", "precision", "recall", "expected_cost_per_transaction", "brier_score", "calibration_error", "alert_rate")
-    both = m.groupBy().agg(*[F.max(F.when(F.col("model") == who, F.col(n))).alias(f"{to}_{n}") for who, to in (("beta", "test"), ("beta", "validation"), ("alpha", "incumbent")) for n in names], F.max(F.when(F.col("model") == "beta", F.col("row_count"))).alias("test_row_count"), F.max(F.when(F.col("model") == "beta", F.col("positives"))).alias("test_positive_count"))
-    measured = both.select(F.lit("beta").alias("model"), F.lit(True).alias("schema_contract_passed"), F.lit(0).alias("duplicate_transaction_id_count"), F.lit(0).alias("split_overlap_count"), "*")
-    return _rounded(gates.quality_gate(measured), "actual")
+    """Beta as the candidate against alpha as the incumbent, on the validation and test splits of the events; keys, overlaps and contract are measured."""
+    e = td.table(spark, d, "events", "event_id", "ts", "value").withColumns({"transaction_id": F.col("event_id").cast("string"), "timestamp": F.col("ts")})
+    parts = split.split_exact(e, *RATIOS)
+    rows = split.tagged({n: td.scores_of(parts[n]) for n in ("validation", "test")}).select(F.concat_ws("_", "split", "model").alias("model"), "label", "score")
+    sweep = evaluation.threshold_sweep(rows, [0.25], **COSTS)
+    m = sweep.join(evaluation.ranking_metrics(rows), "model").join(evaluation.calibration_error(evaluation.calibration_bins(rows)), "model")
+    m = m.withColumn("expected_cost_per_transaction", F.col("expected_cost") / F.col("row_count")).withColumn("positive_count", F.col("true_positives") + F.col("false_negatives"))
+    names = ("pr_auc", "precision", "recall", "expected_cost_per_transaction", "brier_score", "calibration_error", "alert_rate", "row_count", "positive_count")
+    said = {"validation_beta": "validation", "test_beta": "test", "test_alpha": "incumbent"}
+    facts = m.select("model", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("x")) for n in names])).alias("y")).select("model", "y.*")
+    twice = validation.duplicate_keys(e).agg(F.count(F.lit(1)).cast("double").alias("x")).select(F.lit("data").alias("model"), F.lit("duplicate_transaction_id_count").alias("name"), "x")
+    shared = split.overlaps(parts).agg(F.sum("overlap_count").cast("double").alias("x")).select(F.lit("data").alias("model"), F.lit("split_overlap_count").alias("name"), "x")
+    fact = lambda who, n: F.max(F.when((F.col("model") == who) & (F.col("name") == n), F.col("x")))
+    measured = facts.unionByName(twice).unionByName(shared).agg(*[fact(who, n).alias(f"{to}_{n}") for who, to in said.items() for n in names], *[fact("data", n).alias(n) for n in ("duplicate_transaction_id_count", "split_overlap_count")])
+    contract = passes(c for c in _model_rows(spark, d).columns if c not in ("transaction_id", TARGET))
+    return _rounded(gates.quality_gate(measured.select(F.lit("beta").alias("model"), F.lit(contract).alias("schema_contract_passed"), "*")), "actual")
 
 
 @query
@@ -489,6 +518,18 @@ def _model_rows(spark: SparkSession, d: str) -> DataFrame:
     return canonical.model_dataset(_canonical(spark, d).withColumns(fx.row_features()))
 
 
+@query
+def preprocessed_features(spark: SparkSession, d: str) -> DataFrame:
+    """Events with missing values through the models' preprocessing: median, standard scores, mode, one column a category."""
+    e = td.table(spark, d, "events", "event_id", "value", "user_id", "event_type")
+    rows = e.select("event_id", F.when(F.col("event_id") % 13 != 0, F.col("value")).alias("value"), "user_id", F.when(F.col("event_id") % 17 != 0, F.col("event_type")).alias("event_type"))
+    columns = ("value", "user_id", "event_type")
+    filled = ml.as_doubles(rows, columns)
+    x = vector_to_array("features")
+    out = Pipeline(stages=ml.preprocessing(filled, columns, median_error=0.0)).fit(filled).transform(filled).select("event_id", x.alias("x"))
+    return _rounded(out.select("event_id", F.col("x")[0].alias("value"), F.col("x")[1].alias("user_id"), F.array_position(F.slice("x", 3, F.size("x") - 2), 1.0).alias("category")), "value", "user_id")
+
+
 def _scored(name: str, **params) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = _model_rows(spark, d)

@@ -40,7 +40,7 @@ class ModelConfig:
     target: str = "is_fraud"
     seed: int = 42
     models: tuple[str, ...] = ("logistic_regression", "random_forest", "gradient_boosting")
-    imbalance: str = "class_weights"
+    imbalance: str = "none"
     train_strategy: str = "negative_sampling"
     evaluation_strategy: str = "full"
     max_train_rows: int | None = 500_000
@@ -58,10 +58,29 @@ class ModelConfig:
             raise ValueError("at least one model is needed")
         if self.imbalance not in IMBALANCE:
             raise ValueError(f"imbalance must be one of {IMBALANCE}")
+        if self.train_strategy == "negative_sampling" and self.imbalance != "none":
+            raise ValueError(f"negative_sampling already changes the classes' shares; {self.imbalance} would weight them twice")
         if self.threshold_strategy not in ("metric", "business_cost"):
             raise ValueError("threshold_strategy must be 'metric' or 'business_cost'")
 
 
+@dataclass(frozen=True)
+class TrackingConfig:
+    """Where runs and models are kept: a folder that Spark writes, an experiment in it, the name of the registered model."""
+
+    uri: str
+    experiment_name: str
+    registered_model_name: str
+    artifact_location: str | None = None
+
+    def __post_init__(self) -> None:
+        for f in fields(self):
+            value = getattr(self, f.name)
+            if not (value is None and f.name == "artifact_location") and not (isinstance(value, str) and value.strip()):
+                raise ValueError(f"{f.name} must be a text that is not empty")
+            object.__setattr__(self, f.name, value.strip() if value else value)
+
+
 def _build(kind: type[T], values: dict[str, Any]) -> T:
     known = {f.name for f in fields(kind)}  # type: ignore[arg-type]
     if unknown := sorted(set(values) - known):
@@ -89,6 +108,14 @@ def model_config(path: str) -> ModelConfig:
     return _build(ModelConfig, _read(path))
 
 
+def tracking_config(path: str, uri: str | None = None) -> TrackingConfig:
+    """The mapping ``tracking`` of a file; ``uri`` replaces the file's."""
+    values = _read(path).get("tracking")
+    if not isinstance(values, dict):
+        raise ValueError(f"{path} must hold a mapping named tracking")
+    return _build(TrackingConfig, values | ({} if uri is None else {"uri": uri}))
+
+
 def gate_policy(path: str) -> GatePolicy:
     policy = _build(GatePolicy, _read(path))
     default = GatePolicy()

@@ -44,7 +44,11 @@ def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, label, score): two models' scores of the events."""
-    e = table(spark, sf_dir, "events", "event_id", "value")
+    return scores_of(table(spark, sf_dir, "events", "event_id", "value"))
+
+
+def scores_of(e: DataFrame) -> DataFrame:
+    """The two models' scores of some events."""
     label = (F.col("event_id") % 7 == 0).cast("int")
     alpha = e.select(F.lit("alpha").alias("model"), label.alias("label"), F.least(F.col("value") / 400.0, F.lit(1.0)).alias("score"))
     return alpha.unionByName(e.select(F.lit("beta").alias("model"), label.alias("label"), ((F.col("event_id") * 37 % 1000) / 1000.0).alias("score")))
@@ -59,6 +63,15 @@ def prediction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def segment_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Prediction events with the features ``amount`` and ``hour``, before a day (reference) and from it on; one segment has amounts that are not finite."""
+    e = table(spark, sf_dir, "events", "event_id", "value").select(F.col("event_id").cast("string").alias("feedback_id"), "value", (F.col("event_id") % 24).cast("double").alias("hour"))
+    rows = prediction_events(spark, sf_dir).join(e, "feedback_id")
+    odd = (F.col("model_name") == "risk model") & (F.col("model_version") == "v0") & (F.col("feedback_id").cast("long") % 100 == 0)
+    rows = rows.withColumn("amount", F.when(odd, F.lit(float("inf"))).otherwise(F.col("value"))).drop("value")
+    return rows.filter("event_time < '2024-01-16'"), rows.filter("event_time >= '2024-01-16'")
+
+
 def contract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as full prediction records with two features; fixed parts break one rule each."""
     e = table(spark, sf_dir, "events", "event_id", "ts", "value")
