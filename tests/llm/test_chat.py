@@ -34,6 +34,54 @@ def test_equals_the_sql(spark):
     assert sorted(repr(tuple(r[n] for n in names)) for r in run(spark, MESSAGES).values()) == want
 
 
+def same_as_sql(spark, data):
+    import duckdb
+    import pyarrow as pa
+
+    table = pa.table(list(map(list, zip(*data))), schema=pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
+    con = duckdb.connect()
+    con.register("conversations", table)
+    names = ["conv_id", "turn", "role", "reply_to", "depth", "path", "body", "formatted"]
+    want = sorted(map(repr, con.execute(chat.ORACLE_SQL).fetchall()))
+    got = chat.link_quotes(spark.createDataFrame(data, SCHEMA)).collect()
+    assert sorted(repr(tuple(r[n] for n in names)) for r in got) == want
+    return got
+
+
+def test_equals_the_sql_where_much_is_quoted(spark):
+    import random
+
+    rng = random.Random(5)
+    data = []
+    for conv in range(12):
+        texts: list[list[str]] = []
+        for turn in range(25 if conv else 120):
+            own = [" ".join(rng.choices(["Alpha", "beta", "gamma", "delta"], k=rng.randint(1, 3))) if rng.random() > 0.15 else "" for _ in range(rng.randint(1, 6))]
+            quotes = []
+            for _ in range(rng.randint(0, 2) if texts else 0):
+                said = rng.choice(texts)
+                a = rng.randrange(len(said))
+                marks = ">" * rng.randint(1, 2) + " "
+                quotes += [marks + x.upper() for x in said[a : a + rng.randint(1, 4)]] + [""]
+            texts.append(own)
+            data.append((conv, turn, "user", "\n".join(quotes + own)))
+    got = same_as_sql(spark, data)
+    assert sum(r["reply_to"] is not None for r in got) > 100 and max(r["depth"] for r in got) > 3
+
+
+def test_tables_go(spark):
+    from pathlib import Path
+
+    from txnlens.llm import common
+
+    at = Path(common.shared_folder(spark))
+    before = len(list(at.iterdir()))
+    with common.scratch():
+        chat.link_quotes(spark.createDataFrame(MESSAGES, SCHEMA)).count()
+        assert len(list(at.iterdir())) == before + 1  # the places, which the result reads
+    assert len(list(at.iterdir())) == before
+
+
 def test_quotes_of_a_run_of_lines(spark):
     one = "Alpha one two three four\nbeta\ngamma delta\n\nSecond paragraph\n\nThird  one\nends"
     quotes = {
@@ -43,6 +91,7 @@ def test_quotes_of_a_run_of_lines(spark):
     got = run(spark, [(1, 0, "user", one), *[(1, t, "user", f"{q}\n\nown {t}") for t, q in quotes.items()], (2, 1, "user", quotes[2]), (1, 10, "user", "x\nbeta\ngamma delta")])
     assert {k[1]: r["reply_to"] for k, r in got.items() if k[0] == 1} == {**dict.fromkeys([0, 6, 7, 8, 9, 10]), **dict.fromkeys([1, 2, 3, 4, 5], 0)}
     assert got[2, 1]["reply_to"] is None and len(got) == 12
+    same_as_sql(spark, [(1, 0, "user", one), *[(1, t, "user", f"{q}\n\nown {t}") for t, q in quotes.items()], (2, 1, "user", quotes[2])])
 
 
 def test_long_chain(spark):

@@ -24,6 +24,23 @@ def test_tables_are_written_and_forgotten(spark):
     assert not at.exists()
 
 
+def test_a_block_owns_its_tables(spark):
+    there = lambda t: pathlib.Path(t._txnlens_path.removeprefix("file://")).is_dir()
+    with common.scratch() as outer:
+        with common.scratch() as keep:
+            a, b, c = (common.materialize(spark.range(k)) for k in (1, 2, 3))
+            keep(b)
+            keep(c)
+        assert [there(t) for t in (a, b, c)] == [False, True, True]
+        outer(c)
+    assert [there(t) for t in (b, c)] == [False, True]
+    with pytest.raises(RuntimeError), common.scratch():
+        d = common.materialize(spark.range(4))
+        raise RuntimeError
+    assert not there(d) and c.count() == 3
+    common.forget(c)
+
+
 def test_workers_keep_one_thing():
     made = []
     for key in ("a", "a", "b", "a"):

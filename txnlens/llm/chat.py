@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize, scratch
 
 _QUOTE = r"^[ \t]*(?:>[ \t]*)+"
 #: Words at most by which passages and lines meet.
@@ -87,9 +87,15 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
     passages = quoting.select("conv", "turn", F.explode(F.aggregate(entry, empty, fold)).alias("x")).filter("x.level > 0")
     passages = passages.select("conv", "turn", F.col("x.level").alias("level"), normalised(F.col("x.text")).alias("said"), _hash(F.col("x.text")).alias("h")).filter("said != ''").dropDuplicates(["conv", "turn", "level", "h"])
-    wanted = materialize(passages)
+    with scratch() as keep:
+        replies = _replies(msgs, materialize(passages))
+        if replies is not None:
+            keep(replies)
+    return _ordered(msgs, replies, conv_col, turn_col, role_col)
+
 
-    replies = None
+def _replies(msgs: DataFrame, wanted: DataFrame) -> DataFrame | None:
+    """(conv, turn, parent) of the messages that quote an earlier one; None if nothing is quoted."""
     if not wanted.isEmpty():
         said = msgs.filter("conv is not null and turn is not null").join(wanted.select("conv").distinct(), "conv", "left_semi").select("conv", "turn", _body(F.col("text")).alias("body"))
         units = F.array_distinct(F.concat(F.array("body"), F.split("body", r"\n[\x20\x09-\x0D]*\n"), F.split("body", "\n")))
@@ -98,8 +104,8 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         rest = wanted.join(linked, ["conv", "turn", "level", "h"], "left_anti")
         if not rest.isEmpty():
             linked = linked.unionByName(rest.join(_runs(msgs, rest), ["conv", "h"]).filter("origin < turn").drop("said"))
-        replies = materialize(linked.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), "origin"))["origin"].alias("parent")))
-    return _ordered(msgs, replies, conv_col, turn_col, role_col)
+        return materialize(linked.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), "origin"))["origin"].alias("parent")))
+    return None
 
 
 def _ordered(msgs: DataFrame, replies: DataFrame | None, conv_col: str, turn_col: str, role_col: str) -> DataFrame:
@@ -113,15 +119,19 @@ def _ordered(msgs: DataFrame, replies: DataFrame | None, conv_col: str, turn_col
     else:
         # (conv, turn, jump: an ancestor not yet in path, up: its distance, path: from below it to the message)
         nodes = replies.select("conv", "turn", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("up"), pad("turn").alias("path"))
+        last = None
         while True:
             above = nodes.select("conv", F.col("turn").alias("jump"), F.col("jump").alias("jump2"), F.col("up").alias("up2"), F.col("path").alias("path2"))
             met = nodes.join(above, ["conv", "jump"], "left")
             doubled = met.select("conv", "turn", F.coalesce("jump2", "jump").alias("jump"), (F.col("up") + F.coalesce("up2", F.lit(0))).alias("up"), F.concat_ws("/", "path2", "path").alias("path"), F.col("jump2").isNotNull().alias("more"))
             doubled = materialize(doubled)
-            nodes = doubled.drop("more")
+            if last is not None:
+                forget(last)
+            last, nodes = doubled, doubled.drop("more")
             if doubled.filter("more").isEmpty():
                 break
         nodes = materialize(nodes.select("conv", "turn", F.col("up").alias("depth"), F.concat_ws("/", pad("jump"), "path").alias("path")).join(replies.withColumnRenamed("parent", "reply_to"), ["conv", "turn"]))
+        forget(last, replies)
         met = msgs.join(nodes, ["conv", "turn"], "left")
         placed = met.withColumn("depth", F.coalesce("depth", F.lit(0)).cast("long")).withColumn("path", F.coalesce("path", pad("turn")))
     body = _body(F.col("text"))
@@ -138,7 +148,14 @@ passages AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(translate
   FROM runs WHERE level > 0 GROUP BY conv_id, turn, r, level, run),
 units AS (SELECT conv_id, turn, unnest(list_concat([body], string_split_regex(body, '\n[\x20\x09-\x0D]*\n'), string_split(body, chr(10)))) AS u FROM msgs JOIN bodies USING (r)),
 first AS (SELECT conv_id, trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS p, min(turn) AS origin FROM units GROUP BY 1, 2),
-best AS (SELECT conv_id, turn, origin, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, origin DESC) AS k FROM passages JOIN first USING (conv_id, p) WHERE p <> '' AND origin < turn),
+spoken AS (SELECT conv_id, turn, list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS ls
+  FROM msgs JOIN bodies USING (r) WHERE conv_id IN (SELECT conv_id FROM passages) AND turn IS NOT NULL),
+starts AS (SELECT *, unnest(range(1, len(ls) + 1)) AS a FROM spoken),
+spans AS (SELECT conv_id, turn, ls, a, unnest(range(a, len(ls) + 1)) AS b FROM starts),
+joined AS (SELECT conv_id, array_to_string(ls[a:b], ' ') AS p, min(turn) AS origin FROM spans GROUP BY 1, 2),
+hits AS (SELECT q.conv_id, q.turn, q.level, q.p, coalesce(CASE WHEN f.origin < q.turn THEN f.origin END, CASE WHEN j.origin < q.turn THEN j.origin END) AS origin
+  FROM passages q LEFT JOIN first f ON f.conv_id = q.conv_id AND f.p = q.p LEFT JOIN joined j ON j.conv_id = q.conv_id AND j.p = q.p),
+best AS (SELECT conv_id, turn, origin, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, origin DESC) AS k FROM hits WHERE p <> '' AND origin IS NOT NULL),
 links AS (SELECT conv_id, turn, origin FROM best WHERE k = 1),
 tree AS (SELECT DISTINCT m.conv_id, m.turn, CAST(NULL AS BIGINT) AS reply_to, 0::BIGINT AS depth, lpad(m.turn::VARCHAR, 19, '0') AS path FROM msgs m WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.conv_id = m.conv_id AND l.turn = m.turn)
   UNION ALL SELECT l.conv_id, l.turn, l.origin, t.depth + 1, t.path || '/' || lpad(l.turn::VARCHAR, 19, '0') FROM tree t JOIN links l ON l.conv_id = t.conv_id AND l.origin = t.turn)

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +62,33 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._txnlens_path = path
+    if (noted := _noted.get()) is not None:
+        noted.append(out)
     return out
 
 
+_noted: ContextVar[list[DataFrame] | None] = ContextVar("_noted", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], None]]:
+    """Owns the tables that ``materialize`` writes within it and deletes them at its end, but for those handed to the function that it gives.
+
+    Those belong to the block around it, if there is one. A result that is not written within the block reads tables that
+    are gone.
+    """
+    tables: list[DataFrame] = []
+    stay: list[DataFrame] = []
+    token = _noted.set(tables)
+    try:
+        yield stay.append
+    finally:
+        _noted.reset(token)
+        forget(*[t for t in tables if all(t is not s for s in stay)])
+        if (around := _noted.get()) is not None:
+            around.extend(stay)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` returned and nothing reads any more, through the file system that holds them."""
     for df in tables:
