@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_counts, forget, materialize, parts
+from .common import bucket_counts, forget, materialize, parts, scratch
 from .components import components
 from .quality import Words
 
@@ -172,6 +172,14 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int,
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
     """Rows (uid, id, n, h1, h2, row: all columns) and classes (h1, h2, component, root: the component's number)."""
+    with scratch() as keep:
+        rows, out = _classes(df, id_col, text_col, words, threshold)
+        keep(rows)
+        keep(out)
+    return rows.drop("sketch", *_BITS), out
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, words: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     src = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), row.alias("row"))
     kind = df.schema[id_col].dataType.simpleString()
@@ -222,7 +230,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     smallest = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component")))
     out = materialize(rooted.join(smallest, "root").select("h1", "h2", "component", "root"))
     forget(groups, reps, members, rooted, smallest)
-    return rows.drop("sketch", *_BITS), out
+    return rows, out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
