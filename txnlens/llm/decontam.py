@@ -30,6 +30,8 @@ from .common import forget, materialize, parts, suffix_array
 WINDOW = 13
 #: Benchmark words in one broadcast at most, unless one item is longer.
 BLOCK_WORDS = 500_000
+#: Bytes that a word stands for where the benchmark is cut in partitions of a block each.
+WORD_BYTES = 8
 #: Blocks that are broadcast at once at most.
 BLOCKS = 4
 #: Words of a shard at most.
@@ -183,10 +185,14 @@ class Benchmark:
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in blocks of bounded size, read one partition at a time."""
+    """The items in blocks of bounded size, read one partition at a time; a partition holds about a block."""
+    chosen = items.select(F.col(id_col).cast("string"), F.col(text_col))
+    n_bytes = chosen.agg(F.sum(F.octet_length(chosen[1]))).first()[0] or 0
+    if n_bytes > WORD_BYTES * block_words:
+        chosen = chosen.repartition(n_bytes // (WORD_BYTES * block_words) + 1)
     block: list[tuple[str | None, str | None]] = []
     size = 0
-    for row in items.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
+    for row in chosen.toLocalIterator():
         n = (row[1] or "").count(" ") + 1
         if block and size + n > block_words:
             yield block
