@@ -50,10 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = common.materialize(docs)
-    return docs
+    """All stages over the documents of ``sf_dir``, each result written and read again.
+
+    A stage's own tables go when its result is written, the result when the next one is; what is left is the last table read.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        with common.scratch() as keep:
+            docs = common.materialize(stage(spark, docs, sf_dir))
+            keep(docs)
+        if before is not None:
+            common.forget(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -62,5 +62,27 @@ def test_empty_table(spark, folder, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == 0
 
 
+def test_its_tables_go(spark, folder):
+    from pathlib import Path
+
+    from txnlens.llm import common
+
+    at = Path(common.shared_folder(spark))
+    before = len(list(at.iterdir()))
+    with common.scratch():
+        n = cp.run(spark, folder).count()
+        assert n == 62 and len(list(at.iterdir())) == before + 1  # the last stage's input
+    assert len(list(at.iterdir())) == before
+
+
+def test_other_columns_stay(spark, folder, tmp_path):
+    more = {"id": F.lit(1), "row": F.lit("r"), "n_lines": F.lit("x"), "score": F.lit(2.5), "n_tokens": F.lit("y")}
+    spark.read.parquet(f"{folder}/documents.parquet").withColumns(more).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["ids_sha256"] for r in got} == {r["doc_id"]: r["ids_sha256"] for r in cp.run(spark, folder).collect()}
+    assert {(r["id"], r["row"], r["score"]) for r in got} == {(1, "r", 2.5)} and all(isinstance(r["n_tokens"], int) for r in got)
+
+
 def test_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
