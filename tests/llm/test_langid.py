@@ -49,6 +49,17 @@ def test_held_out_accuracy_and_unknown(spark):
     assert kept.columns == df.columns and {1000, 1001, 1002}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_long_texts(spark):
+    """The language of most of a long text counts, not that of its beginning; a text without an end of words is judged too."""
+    df = spark.createDataFrame(corpus(240), DOCS)
+    model = g.train(df.filter(~g.held_out("doc_id")), updates=60)
+    rng = random.Random(5)
+    of = lambda lang, n: "".join(rng.choices(SYLLABLES[lang], k=n))
+    texts = [of("aa", 2_000) + of("cc", 200_000), of("bb", 100_000).replace(" ", ""), of("cc", 500)]
+    got = {r["doc_id"]: r for r in g.predict(spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(texts)], DOCS), model).collect()}
+    assert [got[i]["lang_pred"] for i in range(3)] == ["cc", "bb", "cc"] and all(0 <= r["score"] <= 1 for r in got.values())
+
+
 def test_every_byte_is_labelled_and_pooling_is_their_mean():
     m = g.BiGru.new(["a", "b", "c"], 4, 2)
     text = ("täxt " * 50).encode()

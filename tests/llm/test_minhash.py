@@ -75,6 +75,42 @@ def test_chain_and_cloud(spark):
     assert [got[i]["component_id"] for i in range(len(texts))] == [c for _, c in brute(texts, 2)]
 
 
+def test_blocks_of_a_list_meet_once(spark):
+    lists = [("one", 1), ("some", 7), ("many", 60)]
+    df = spark.createDataFrame([(k, u, n) for k, n in lists for u in range(n)], "key string, uid long, size long")
+    x, y = m._block_against_block(df, 8)
+    met = x.withColumnRenamed("uid", "a").join(y.withColumnRenamed("uid", "b"), ["key", "low", "high"]).filter("low < high or a < b")
+    got = [(r["key"], *sorted((r["a"], r["b"]))) for r in met.collect()]
+    assert sorted(got) == sorted((k, a, b) for k, n in lists for b in range(n) for a in range(b))
+    assert x.groupBy("key", "low", "high").count().agg(F.max("count")).first()[0] < 20
+
+
+def test_lists_in_blocks(spark, monkeypatch):
+    """Many texts share words that none of the first or last of a list is near to, so that lists are joined with themselves."""
+    monkeypatch.setattr(m, "BLOCK", 4)
+    rng, texts = random.Random(8), []
+    common = [f"c{i}" for i in range(60)]
+    for _ in range(12):
+        own = [f"o{rng.random()}" for _ in range(40)]
+        texts += [" ".join([*common, *own]), " ".join([*common, *own[:-1], "end"]), " ".join([*common, *own[1:]])]
+    rng.shuffle(texts)
+    blocks, real = [], m._block_against_block
+    monkeypatch.setattr(m, "_block_against_block", lambda members, block: blocks.append(members.agg(F.max("size")).first()[0]) or real(members, block))
+    got = rows(m.near_duplicates(docs(spark, texts), words=2))
+    assert [got[i]["component_id"] for i in range(len(texts))] == [c for _, c in brute(texts, 2)]
+    assert blocks and blocks[0] > 4
+
+
+def test_long_texts(spark):
+    """Texts of a million characters and a word of as many are judged whole: two that differ at the end only are linked, two alike at the beginning only are not."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(150_000)]
+    texts = [" ".join(base), " ".join([*base[:-1000], "other", "end"]), " ".join([*base[:75_000], *reversed(base[:75_000])]), "z" * 1_000_000, "Z" * 1_000_000 + " "]
+    got = rows(m.near_duplicates(docs(spark, texts)))
+    assert [got[i]["component_id"] for i in range(5)] == [0, 0, 2, 3, 3] == [c for _, c in brute(texts, 5)]
+    assert [got[i]["n_shingles"] for i in range(5)] == [n for n, _ in brute(texts, 5)]
+
+
 def test_prefix_rules():
     n = np.array([1, 2, 3, 4, 5, 10, 51, 52, 64, 5000])
     assert m.prefix_length(n, 80).tolist() == [1, 1, 1, 1, 2, 3, 11, 21, 33, 33] and m.share_at_least(80) == 32

@@ -11,7 +11,8 @@ from counts in ``COUNTERS`` hash buckets, a fixed size, over all sketches, on a
 first is fast.
 
 Overlaps come from the lists without a list's pairs: every member is paired with the list's first member, then, where
-components still differ, with its last; only lists that are then still split are joined with themselves, across components.
+components still differ, with its last; only lists that are then still split are joined with themselves, across components,
+in blocks of about ``BLOCK`` members, block against block, so that no group of the join grows with a list.
 Candidate pairs pass a size filter and a bound on the sets' difference: each set has ``PARITIES`` parities, of its shingles
 in as many classes, and two sets differ in at least as many shingles as parities, so that no pair is lost by it. Then come
 the estimate from the union sketch and exact Jaccard on the full word shingles.
@@ -44,6 +45,8 @@ K = 64
 COUNTERS = 1 << 22
 #: Bits that bound how far two sets differ.
 PARITIES = 1024
+#: Members of a list's block.
+BLOCK = 2048
 #: Ids that are broadcast at most (4 MB).
 BROADCAST_IDS = 500_000
 _BITS = [f"p{k}" for k in range(PARITIES // 64)]
@@ -170,6 +173,18 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int,
     return out
 
 
+def _block_against_block(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join of lists with themselves, on (key, low, high): each two members of a list meet once, those of one block twice.
+
+    The left side holds the block ``low`` of a pair of blocks, the right one ``high``; of a list of one block, the block itself.
+    """
+    count = F.ceil(F.col("size") / block)
+    numbered = members.withColumn("own", F.pmod(F.xxhash64("uid"), count)).withColumn("count", count)
+    left = numbered.withColumns({"low": F.col("own"), "high": F.explode(F.sequence("own", F.col("count") - 1))})
+    right = numbered.withColumns({"low": F.explode(F.sequence(F.lit(0).cast("long"), "own")), "high": F.col("own")})
+    return left.drop("own", "count"), right.drop("own", "count")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
     """Rows (uid, id, n, h1, h2, row: all columns) and classes (h1, h2, component, root: the component's number)."""
     with scratch() as keep:
@@ -213,10 +228,12 @@ def _classes(df: DataFrame, id_col: str, text_col: str, words: int, threshold: i
             break
         still = of.join(split, "key")
         if last_round:
-            still = still.select("key", "uid", "root").join(reps.select("uid", "n", *_BITS), "uid")
-            x, y = (still.select("key", *[F.col(c).alias(c + k) for c in ("uid", "root", "n", *_BITS)]) for k in "ab")
-            across = (F.col("uida") < F.col("uidb")) & (F.col("roota") != F.col("rootb"))
-            pairs = x.join(y, "key").filter(across & _alike("a", "b", threshold)).select(F.col("uida").alias("a"), F.col("uidb").alias("b"))
+            still = still.select("key", "uid", "root", "size").join(reps.select("uid", "n", *_BITS), "uid")
+            sides = zip(_block_against_block(still, BLOCK), "ab", strict=True)
+            x, y = (side.select("key", "low", "high", *[F.col(c).alias(c + k) for c in ("uid", "root", "n", *_BITS)]) for side, k in sides)
+            across = ((F.col("low") < F.col("high")) | (F.col("uida") < F.col("uidb"))) & (F.col("roota") != F.col("rootb"))
+            met = x.join(y, ["key", "low", "high"]).filter(across & _alike("a", "b", threshold))
+            pairs = met.select(F.least("uida", "uidb").alias("a"), F.greatest("uida", "uidb").alias("b"))
         else:
             lasts = still.filter("uid = last").select("key", F.col("root").alias("last_root"))
             pairs = still.join(lasts, "key").filter((F.col("root") != F.col("last_root")) & fits("last_n")).select(F.col("last").alias("a"), F.col("uid").alias("b"))
