@@ -137,3 +137,18 @@ def test_a_failed_promotion_is_undone(spark, tmp_path):
     r.tag("m", 3, "stage", "a", "me", T)
     r.tag("m", 3, "stage", "b", "me", T)
     assert r.tags("m", 3) == {"stage": "b"} and r.rollback("m", "live", "me", T) == 2
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    from txnlens.operators import lineage
+
+    for folder, text in (("a", "1"), ("b", "2")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "x.csv").write_text(text)
+    got = lambda path: sorted(r["file"] for r in lineage.file_digests(spark, path).collect())
+    assert got(f"{tmp_path}/in") == got(f"file:{tmp_path}/in/") == ["a/x.csv", "b/x.csv"]
+    assert got(f"{tmp_path}/in/a/x.csv") == ["x.csv"]
+    before = lineage.manifest(spark, f"{tmp_path}/in", [], {}, "now")["dataset_id"]
+    (tmp_path / "in/a/x.csv").write_text("2")
+    (tmp_path / "in/b/x.csv").write_text("1")
+    assert lineage.manifest(spark, f"{tmp_path}/in", [], {}, "now")["dataset_id"] != before

@@ -133,3 +133,13 @@ def test_dispatch(spark):
     assert sampling.sample_split(df, "test", "is_fraud", 5, 1, "exact")[0].count() == 5
     with pytest.raises(ValueError):
         sampling.sample_split(df, "test", "is_fraud", 5, 1, "none")
+
+
+def test_kth_text_by_bytes(spark, monkeypatch):
+    """Texts that are no hexadecimal keys: of any length and alphabet, prefixes of each other, repeated, empty."""
+    monkeypatch.setattr(ranks, "SMALL", 2)
+    texts = ["", "", "a", "aa", "aaa", "aaaaa", "aaaaaé", "aaaaa😀", "aaaaa\uffff", "é", "éé", "éa", "😀", "\uffff", "Z", "zz"] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    want = sorted(texts, key=lambda t: t.encode())
+    for k in (1, 4, 5, 9, 14, 17, 20, 23, 26, 29, 32):
+        assert ranks.kth_text(df, F.col("t"), k) == want[k - 1]

@@ -40,3 +40,11 @@ def test_delayed_join_and_rate(spark, tmp_path):
     put(spark, f"{tmp_path}/e", [("c", T0 + timedelta(hours=2), 0.5)], EVENTS)
     got = drain(st.windowed_rate(st.read_stream(spark, f"{tmp_path}/e", spark.read.parquet(f"{tmp_path}/e").schema, 1), F.col("risk_score") > 0.5), "rate")
     assert [(r["requests"], r["errors"]) for r in got] == [(2, 1)]
+
+
+def test_console(spark, tmp_path):
+    put(spark, f"{tmp_path}/in", [("watched", T0, 0.1)], EVENTS)
+    rows = st.read_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    q = st.write_console(rows, f"{tmp_path}/c")
+    q.awaitTermination()
+    assert q.exception() is None and q.recentProgress[-1]["sink"]["description"].startswith("org.apache.spark.sql.execution.streaming.") and sum(p["numInputRows"] for p in q.recentProgress) == 1

@@ -19,8 +19,15 @@ def digest(value: object) -> str:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of every file under a path that Spark reads; hashed where the data is."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(file, bytes, sha256) of every file under a path that Spark reads; hashed where the data is.
+
+    A file goes by its path under the given one, so that equal names in two folders are told apart, and by its name alone
+    where the path is the file itself or a pattern.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    name = F.when(F.col("path").startswith(root), F.substring("path", len(root) + 1, 1 << 30)).otherwise(F.regexp_extract("path", "[^/]+$", 0))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def manifest(spark: SparkSession, path: str, schema: object, config: dict, generated_at: str) -> dict:

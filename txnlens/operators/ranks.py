@@ -22,22 +22,22 @@ def _pick(counts: Sequence[tuple], k: int) -> tuple:
     raise ValueError("the rank is beyond the rows")
 
 
-def kth_text(df: DataFrame, text: Column, k: int, step: int = 2) -> str:
-    """The k-th smallest value of a text column without nulls.
+def kth_text(df: DataFrame, text: Column, k: int, step: int = 4) -> str:
+    """The k-th smallest value of a text column without nulls, by UTF-8 bytes.
 
-    Rows are counted by ever longer prefixes, one aggregate a step, until those under the prefix are few. Spark orders
-    strings by their bytes, as Python does code points.
+    Rows are counted by ever longer prefixes, one aggregate a step, until those under the prefix are few. Prefixes are of
+    hexadecimal digits, whose order is that of the bytes: with four more at each step, 65,793 counts at most reach the driver.
     """
-    rows, prefix = df.select(text.alias("v")), ""
+    rows, prefix = df.select(F.hex(text.cast("binary")).alias("v")), ""
     n = rows.count()
     while n > SMALL:
         head = F.substring("v", 1, len(prefix) + step)
         value, before, n = _pick([tuple(r) for r in rows.groupBy(head.alias("h")).count().collect()], k)
         k, rows = k - before, rows.filter(head == value)
         if len(value) < len(prefix) + step:
-            return value  # no longer texts under this prefix
+            return bytes.fromhex(value).decode()  # no longer texts under this prefix
         prefix = value
-    return sorted(r[0] for r in rows.collect())[k - 1]
+    return bytes.fromhex(sorted(r[0] for r in rows.collect())[k - 1]).decode()
 
 
 def kth_time(df: DataFrame, time: Column, k: int) -> tuple[datetime, int]:

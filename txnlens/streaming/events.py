@@ -44,5 +44,10 @@ def write_events(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.foreachBatch(lambda df, _: event_store.append(df, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def write_console(rows: DataFrame, checkpoint: str, n: int = 20):
+    """A started query that prints the first ``n`` rows of each batch, whole values, for watching a stream."""
+    return rows.writeStream.format("console").option("numRows", n).option("truncate", "false").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def retention_filter(df: DataFrame, time: str, days: int) -> DataFrame:
     return df.filter(F.col(time) >= F.current_timestamp() - F.lit(timedelta(days=days)))
