@@ -50,3 +50,24 @@ def test_one_class_and_nothing(spark):
     assert all(r["risk_score"] > 0.5 for r in model.score(df).collect())
     empty = boosting.fit(df.limit(0), ["a"], "y", trees=1, depth=1)
     assert [r["risk_score"] for r in empty.score(df.withColumn("a", F.lit(None).cast("double"))).collect()] == [0.5, 0.5]
+
+
+def test_many_blocks_few_passes_and_only_features_go_to_python(spark):
+    """A tree takes a pass a level and one for the margin; a column that Arrow can't hold stays as it is."""
+    rows = spark.range(0, 40_000, 1, 2).selectExpr("double(id % 97) a", "double(id % 13) b", "int(id % 97 > 40 and id % 13 < 9) y")
+    sc = spark.sparkContext
+
+    def passes(trees):
+        sc.setJobGroup(f"boost-{trees}", "")
+        try:
+            model = boosting.fit(rows, ["a", "b"], "y", trees=trees, depth=3)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        status = sc.statusTracker()
+        return len({s for j in status.getJobIdsForGroup(f"boost-{trees}") for s in status.getJobInfo(j).stageIds if status.getStageInfo(s).numCompletedTasks == 2}), model
+
+    few, _ = passes(2)
+    many, model = passes(12)
+    assert many - few <= 10 * (3 + 1)
+    scored = model.score(rows.selectExpr("*", "make_interval(0, 1, 2) AS held")).select("y", "risk_score", "held")
+    assert scored.filter("(risk_score > 0.5) != (y = 1)").count() == 0 and scored.filter("extract(MONTH FROM held) = 1").count() == 40_000
