@@ -75,3 +75,17 @@ def test_long_lines_many_lines_and_long_lists(spark, monkeypatch):
     monkeypatch.setattr(ld, "BROADCAST_ROWS", 0)  # both sides are shuffled
     got = rows(ld.dedup_lines(docs(spark, texts)))
     assert [(got[i]["text"], got[i]["n_lines"], got[i]["n_removed"]) for i in range(len(texts))] == brute(texts)
+
+
+def test_the_table_of_counts_stands_in_no_plan(spark, monkeypatch):
+    """The driver keeps a plan's text with every query; a table of 262,144 numbers in it is megabytes each time."""
+    lengths = []
+
+    def noted(df, write=ld.materialize):
+        lengths.append(len(df._jdf.queryExecution().toString()))
+        return write(df)
+
+    monkeypatch.setattr(ld, "materialize", noted)
+    docs = spark.createDataFrame([(1, "a b c d e f\nx"), (2, "a b c d e f\ny")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in ld.dedup_lines(docs).collect()} == {1: "a b c d e f\nx", 2: "y"}
+    assert max(lengths) < 100_000

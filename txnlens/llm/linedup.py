@@ -25,7 +25,6 @@ from __future__ import annotations
 import functools
 import operator
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,18 +88,19 @@ def _numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     return joined.select((F.col("start") + F.col("n").bitwiseAND(F.lit((1 << 33) - 1))).alias("doc"), "row"), bits
 
 
-def _levels(lines: DataFrame) -> Column:
-    """The buckets' counts on a log scale of 16 steps, 0 for a count of one, 16 in each number of a literal array."""
+def _levels(lines: DataFrame) -> DataFrame:
+    """One row, ``levels``: the buckets' counts on a log scale of 16 steps, 0 for a count of one, 16 in each number of the array."""
     count = F.col("count")
     fine = F.ceil(F.log2(count))
     level = F.least(F.lit(15), F.when(fine <= 7, fine).otherwise(7 + F.ceil((F.log2(count) - 7) / 2.5))).cast("long")
     counts = lines.select(F.explode(split_words(F.col("line"))).alias("w")).filter("w != ''").groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).alias("b")).count()
     slot = F.call_function("shiftleft", level, (F.col("b").bitwiseAND(F.lit(15)) * 4).cast("int"))
-    packed = np.zeros(1 << (BUCKET_BITS - 4), np.int64)
-    with own_query(lines.sparkSession):
-        for b, v in counts.select(F.shiftright("b", 4).alias("b"), slot.alias("v")).groupBy("b").agg(F.bit_or("v")).collect():
-            packed[b] = v
-    return F.split(F.lit(",".join(map(str, packed.tolist()))), ",").cast("array<long>")
+    found = counts.select(F.shiftright("b", 4).alias("b"), slot.alias("v")).groupBy("b").agg(F.bit_or("v").alias("v"))
+    every = lines.sparkSession.range(1 << (BUCKET_BITS - 4)).withColumnRenamed("id", "b").join(found, "b", "left").select("b", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    # in two steps, so that the last task has a row for 512 numbers
+    ordered = lambda by: F.array_sort(F.collect_list(F.struct(by, "v")))
+    some = every.groupBy(F.shiftright("b", 9).alias("c")).agg(F.transform(ordered("b"), lambda x: x["v"]).alias("v"))
+    return materialize(some.agg(F.flatten(F.transform(ordered("c"), lambda x: x["v"])).alias("levels")))
 
 
 def _fits(a: str, b: str, threshold: int) -> Column:
@@ -115,18 +115,20 @@ def removed_lines(docs: DataFrame, bits: int, threshold: int = 80) -> DataFrame:
     """(doc, line_no) of every line of the (doc, text) rows that has a similar earlier one."""
     pos = F.shiftleft("doc", bits) + F.col("line_no")
     texts = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(has_word(F.col("line"))).select(pos.alias("pos"), "line")
-    table = _levels(texts)
+    levels = _levels(texts)
     mask = F.lit((1 << _HASH_BITS) - 1)
 
     def packed(h: Column) -> Column:
         """Level, then hash; a bucket's number is the upper bits of the hash."""
-        some = F.get(table, F.shiftrightunsigned(h, 68 - BUCKET_BITS).cast("int"))
+        some = F.get(F.col("levels"), F.shiftrightunsigned(h, 68 - BUCKET_BITS).cast("int"))
         at = F.shiftrightunsigned(h, 62 - BUCKET_BITS).bitwiseAND(F.lit(60)).cast("int")
         return F.shiftleft(F.call_function("shiftrightunsigned", some, at).bitwiseAND(F.lit(15)), _HASH_BITS).bitwiseOR(h.bitwiseAND(mask))
 
     n, i = F.col("n"), F.col("i")
     ceil = lambda a, b: F.floor((a + (b - 1)) / b).cast("int")
-    lines = texts.select("pos", F.sort_array(F.transform(word_hashes(F.col("line")), packed)).alias("t")).select("pos", F.size("t").alias("n"), "t")
+    # a scalar subquery, so that the numbers stand in no plan and reach the driver once, not as text with each of its events
+    known = texts.withColumn("levels", levels.scalar())
+    lines = known.select("pos", F.sort_array(F.transform(word_hashes(F.col("line")), packed)).alias("t")).select("pos", F.size("t").alias("n"), "t")
     keys = F.when(100 * n >= threshold * (n + 1), F.slice("t", 1, F.least(n, n - ceil(threshold * n, 100) + SHARED)))  # fewer words match equal sets only
     parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
     lines = materialize(lines.select("pos", "n", F.xxhash64("t").alias("s1"), F.hash("t", F.lit(7)).alias("s2"), parity.alias("parity"), keys.alias("keys")))
@@ -138,7 +140,7 @@ def removed_lines(docs: DataFrame, bits: int, threshold: int = 80) -> DataFrame:
     level = F.shiftright("key", _HASH_BITS)
     at = F.shiftleft(n.cast("long"), 32).bitwiseOR(i.cast("long"))
     posts = materialize(classes.select("pos", "n", "parity", F.posexplode("keys").alias("i", "key")).filter(level > 0).select("key", "pos", "parity", at.alias("at")))
-    forget(lines, firsts)
+    forget(levels, lines, firsts)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(pos): the later lines of the (a, b) pairs that are similar."""
