@@ -119,3 +119,41 @@ def test_more_words_than_a_suffix_array_covers():
     streams = [[words], [words[cut - 3 : cut + 4], ["a"] * 6], [["b"], words[cut - 3 : cut + 4]]]
     first, *others = p.shared_words(streams)
     assert first == [7 / len(words)] and others == [[1.0, 0.0], [0.0, 1.0]]
+
+
+def test_articles_are_judged_by_the_suffix_array_too(spark):
+    """Against brute force; their text is whole all the same. Pages of another kind or host do not count."""
+    rng = random.Random(12)
+    lines = [" ".join(rng.choices("abcdef", k=rng.randrange(3, 12))) for _ in range(14)]
+    data = [(i, f"https://{'xyz'[i % 3]}.c/{i}", [rng.choice(lines) for _ in range(6)], i % 4 > 0) for i in range(40)]
+    windows = {}
+    for i, url, blocks, article in data:
+        for b in blocks:
+            for w in range(len(b.split()) - 4):
+                windows.setdefault((article, url[8], *b.split()[w : w + 5]), set()).add(i)
+    want = []
+    for i, url, blocks, article in data:
+        gone = []
+        for b in blocks:
+            hit = {j for w in range(len(b.split()) - 4) if len(windows[(article, url[8], *b.split()[w : w + 5])]) >= 3 for j in range(w, w + 5)}
+            gone.append(2 * len(hit) > len(b.split()))
+        want.append((i, "\n\n".join(b for b, x in zip(blocks, gone, strict=True) if article or not x), 6, sum(gone)))
+    assert sum(w[3] for w, d in zip(want, data, strict=True) if d[3]) > 9
+    page = lambda blocks, article: ("<article>%s</article>" if article else "%s") % "".join(f"<p>{b}</p>" for b in blocks)
+    df = spark.createDataFrame([(i, url, page(b, a)) for i, url, b, a in data], "page_id long, url string, html string")
+    for n in (1, 8):
+        assert sorted((r["page_id"], r["text"], r["n_blocks"], r["n_shared"]) for r in p.judge_pages(df.repartition(n)).collect()) == want
+
+
+def test_equal_windows_are_told_by_the_suffix_array(monkeypatch):
+    """A group of neighbours takes one code, however often its words stand there."""
+    coded = []
+
+    def noted(self, at, min_words, codes=p.Stream.codes):
+        coded.append(len(at))
+        return codes(self, at, min_words)
+
+    monkeypatch.setattr(p.Stream, "codes", noted)
+    streams = [["a b c d e".split(), f"{i} a b c d e".split()] for i in range(7)]
+    assert p.shared_words(streams) == [[1.0, 5 / 6]] * 7
+    assert coded == [8, 8]  # a b c d e, and a window for each number

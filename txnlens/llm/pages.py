@@ -1,53 +1,57 @@
-"""Main text of web pages: an article as it stands; without one, a suffix array over the host's pages finds the text that pages share, and what is theirs alone stays.
-
-A page's ``article`` is its main text: its blocks stay whole however many pages share them, less what markup excludes (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments). Such pages are done where they are
-read. The other pages are judged by what they share with each other. They are dealt by a hash of the row into pieces of
-about ``PIECE_BYTES``, so that a host, or a row that is repeated, with a third of all pages is spread over many tasks. In
-each piece the pages' blocks form one word stream, sorted into a suffix array (page and block ends are separators). Suffixes
-that agree in ``MIN_WORDS`` words are one window; a piece sends the distinct windows of each host, as sorted codes of host
-and words, with how many of its pages have them. Sums over all pieces, by ranges of codes, tell which windows ``MIN_PAGES``
-distinct pages of the host have or more, wherever these pages lie, and each piece gets back those of its own. So texts do
-not depend on how the input is cut. Such windows mark shared words; longer shared passages are unions of them. Codes have
-``SPARE_BITS`` more bits than the input's size takes, so that a window shares its code with a different one with a chance of
-about 1 in 8,000 at any size; that matters only if more than half of a block's words are so covered. A block whose words are
-mostly shared is boilerplate and goes.
-
-Defined cases: a null or empty page has an empty text. Pages without an ``article`` are judged within ``main``, or else the
-whole body; where they are copies of each other they lose their text, for it is shared. Repeated rows are pages of their
-own. Broken markup (unclosed tags, cut character references) is read as browsers do where that is simple: a block tag ends
-an open paragraph, an end tag closes what it encloses. Extra columns are ignored.
+"""Main text of web pages: a suffix array over the host's pages finds the text that pages share; what is theirs alone stays, and an article as it stands.
+
+A page's blocks are those inside its ``article``, less what markup excludes (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments); without an ``article``, those within ``main``, or else the whole body.
+Every page is judged by what it shares with others of its host and kind (with an article or without). Pages that a task
+parses together, about ``PIECE_BYTES`` of them, are a piece, so that a host, or a row that is repeated, with a third of all
+pages is spread over many tasks. In each piece the pages' blocks form one word stream, sorted into a suffix array (page and block
+ends are separators). Neighbours that agree in ``MIN_WORDS`` words are one window; a piece sends the distinct windows of each
+host, as sorted codes of host and words, with how many of its pages have them. Sums over all pieces, by ranges of codes, tell
+which windows ``MIN_PAGES`` distinct pages of the host have or more, wherever these pages lie, and each piece gets back those
+of its own. So texts do not depend on how the input is cut. Such windows mark shared words; longer shared passages are unions
+of them. Codes have ``SPARE_BITS`` more bits than the input's size takes, so that a window shares its code with a different
+one with a chance of about 1 in 8,000 at any size; that matters only if more than half of a block's words are so covered. A
+block whose words are mostly shared is boilerplate and goes, unless it is part of an article: many articles share sentences,
+and the contract has an article whole. ``judge_pages`` also tells how many of a page's blocks are shared, gone or not.
+
+Defined cases: a null or empty page has an empty text. Pages without an ``article`` that are copies of each other lose their
+text, for it is shared. Repeated rows are pages of their own. Broken markup (unclosed tags, cut character references) is read
+as browsers do where that is simple: a block tag ends an open paragraph, an end tag closes what it encloses. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, suffix_array
+from .common import materialize, parts, suffix_array
 from .urls import host_of
 
 MIN_WORDS = 5
 MIN_PAGES = 3
 #: Bytes of html, about, of the pages that share a suffix array, and of those whose windows' counts are summed at once.
-PIECE_BYTES, RANGE_BYTES = 2 << 20, 16 << 20
-#: Pieces and ranges of codes at least, so that small tables are dealt out evenly.
-PIECES, RANGES = 256, 64
+PIECE_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
+#: Ranges of codes at least, so that small tables are dealt out evenly.
+RANGES = 64
 #: Bits of a code beyond those of the number of html bytes (a window takes six bytes or more).
 SPARE_BITS = 10
 #: Words that one suffix array covers, besides the overlap; a longer stream takes several.
 STREAM_WORDS = 1 << 20
-#: Bytes of html that a task parses before it packs them.
-PACK_BYTES = 16 << 20
-PARSED = ["piece", "pages", "id", "url", "text"]
-MESSAGE = "part int, piece int, n int, codes binary, counts binary"
+MESSAGE = "part int, piece long, n int, codes binary, counts binary"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+#: Tells the articles of a host from its other pages.
+_ARTICLE = 0x2545F4914F6CDD1D
+#: A block goes if more of it is shared.
+MOST = 0.5
 
 _token = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.DOTALL | re.IGNORECASE
@@ -135,7 +139,7 @@ def blocks_of(page: str | None) -> tuple[list[str], list[str]]:
 class Stream:
     """The blocks (lists of words) of pages as one sequence of word numbers, a 0 after each block."""
 
-    def __init__(self, pages: list[list[list[str]]], hosts: list[int] | None = None, bits: int = 48):
+    def __init__(self, pages: list[list[list[str]]], hosts: np.ndarray | None = None, bits: int = 48):
         self.bits = bits
         number: dict[str, int] = {}
         seq: list[int] = []
@@ -148,7 +152,9 @@ class Stream:
         self.pages = pages
         self.s, self.page = np.array(seq, np.int64), np.array(page_of, np.int64)
         self.hashes = np.array([0, *[xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in number]], np.uint64)
-        self.hosts = np.array(hosts if hosts is not None else [0] * len(pages), np.int64).astype(np.uint64)
+        self.hosts = (hosts if hosts is not None else np.zeros(len(pages), np.int64)).astype(np.uint64)
+        self.place = np.empty(len(pages), np.int64)  # pages in the order of hosts
+        self.place[np.argsort(self.hosts, kind="stable")] = np.arange(len(pages))
 
     def codes(self, at: np.ndarray, min_words: int) -> np.ndarray:
         """The codes of the windows that begin at ``at``: a hash of the host and the words."""
@@ -164,37 +170,57 @@ class Stream:
         ends = np.flatnonzero(self.s == 0)
         return np.flatnonzero(ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) >= min_words)
 
-    def windows(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Code and page of each window, those of equal words told by suffix arrays of overlapping parts of the stream."""
+    def groups(self, min_words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each overlapping part of the stream: where windows begin, equal ones of a host beside each other and by page, and where such a group begins.
+
+        Neighbours in the suffix array that agree in ``min_words`` words are one window.
+        """
         inside = np.zeros(len(self.s), bool)
         inside[self.starts(min_words)] = True
-        codes, pages = [], []
         for at in range(0, len(self.s), STREAM_WORDS):
-            number, part = np.unique(np.append(self.s[at : at + STREAM_WORDS + min_words - 1], 0), return_inverse=True)
-            sa, _ = suffix_array(part, len(number))
+            sa, _ = suffix_array(np.append(self.s[at : at + STREAM_WORDS + min_words - 1], 0), len(self.hashes))
             rows = sa[sa < min(STREAM_WORDS, len(self.s) - at)] + at
             rows = rows[inside[rows]]
-            codes.append(self.codes(rows, min_words))
-            pages.append(self.page[rows])
-        return np.concatenate(codes), np.concatenate(pages)
+            other = np.zeros(len(rows), bool)
+            other[:1] = True
+            for k in range(min_words):
+                word = self.s[rows + k]
+                other[1:] |= word[1:] != word[:-1]
+            window = np.cumsum(other)
+            order = np.argsort(window * len(self.pages) + self.place[self.page[rows]])
+            rows, window = rows[order], window[order]
+            host = self.hosts[self.page[rows]]
+            other[1:] = (window[1:] != window[:-1]) | (host[1:] != host[:-1])
+            yield rows, np.flatnonzero(other)
 
     def counts(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct codes in order, and how many pages have each."""
-        if not len(self.s):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        code, page = self.windows(min_words)
-        order = np.lexsort((page, code))
-        code, page = code[order], page[order]
-        new = np.ones(len(code), bool)
-        new[1:] = (code[1:] != code[:-1]) | (page[1:] != page[:-1])
-        return np.unique(code[new], return_counts=True)
+        codes, counts, pages = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows, begin in self.groups(min_words):
+            page = self.page[rows]
+            new = np.ones(len(rows), bool)
+            new[1:] = page[1:] != page[:-1]
+            new[begin] = True
+            codes.append(self.codes(rows[begin], min_words))
+            counts.append(np.add.reduceat(new.astype(np.int64), begin) if len(begin) else counts[0])
+            pages.append(page[new])
+        code, n = np.concatenate(codes), np.concatenate(counts)
+        if len(codes) > 2:  # a page that the parts cut counts once
+            code, page = np.repeat(code, n), np.concatenate(pages)
+            order = np.lexsort((page, code))
+            code, page = code[order], page[order]
+            new = np.append(True, (code[1:] != code[:-1]) | (page[1:] != page[:-1]))
+            return np.unique(code[new], return_counts=True)
+        order = np.argsort(code)
+        code, n = code[order], n[order]
+        begin = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+        return code[begin], np.add.reduceat(n, begin) if len(begin) else n
 
     def shares(self, shared: np.ndarray, min_words: int) -> list[list[float]]:
         """For each page's blocks: the share of a block's words that stand in windows with a code of ``shared``."""
         cover = np.zeros(len(self.s) + 1, np.int64)
-        if len(self.s) and len(shared):
-            at = self.starts(min_words)
-            hit = at[np.isin(self.codes(at, min_words), shared)]
+        for rows, begin in self.groups(min_words) if len(shared) else ():
+            hit = rows[np.repeat(np.isin(self.codes(rows[begin], min_words), shared), np.diff(begin, append=len(rows)))]
             cover[hit] += 1
             np.subtract.at(cover, hit + min_words, 1)
         covered = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
@@ -234,66 +260,60 @@ def freeze(table: pa.Table) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def thaw(packs: pa.ChunkedArray) -> pa.Table:
+def thaw(packs: pa.Array | pa.ChunkedArray) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packs])
 
 
-def unshared(blocks: list[str], shares: list[float]) -> str:
-    """The text of a page without an article: its blocks less those of which more than half is shared."""
-    return "\n\n".join(b for b, share in zip(blocks, shares, strict=True) if share <= 0.5)
+def text_of(article: bool, blocks: list[str], shares: list[float]) -> str:
+    """A page's blocks less those of which more than half is shared; an article's all stay, for the contract has them whole."""
+    return "\n\n".join(b for b, share in zip(blocks, shares, strict=True) if article or share <= MOST)
 
 
 def main_texts(pages: list[str | None], min_words: int = MIN_WORDS, min_pages: int = MIN_PAGES) -> list[str]:
     """Main texts of a run of one host's pages."""
     both = [blocks_of(p) for p in pages]
-    shares = shared_words([[b.split(" ") for b in rest] for _, rest in both], min_words, min_pages)
-    return ["\n\n".join(keep) or unshared(rest, sh) for (keep, rest), sh in zip(both, shares, strict=True)]
+    stream = Stream([[b.split(" ") for b in keep or rest] for keep, rest in both], np.array([_ARTICLE if keep else 0 for keep, _ in both], np.int64))
+    code, n = stream.counts(min_words)
+    return [text_of(bool(keep), keep or rest, sh) for (keep, rest), sh in zip(both, stream.shares(code[n >= min_pages], min_words), strict=True)]
 
 
-def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_words: int = MIN_WORDS, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(id, url, text, n_chars) of every page."""
+def judge_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_words: int = MIN_WORDS, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(id, url, text, n_chars, n_blocks, n_shared) of every page: its blocks, and those of them of which more than half is shared."""
     kind = df.schema[id_col].dataType.simpleString()
     size = df.agg(F.sum(F.octet_length(html_col))).first()[0] or 0
-    pieces, ranges = max(PIECES, size // PIECE_BYTES), max(RANGES, size // RANGE_BYTES)
-    piece = F.pmod(F.xxhash64(id_col, url_col, F.monotonically_increasing_id()), F.lit(pieces)).cast("int").alias("piece")
-    src = df.select(piece, F.xxhash64(host_of(url_col)).alias("host"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-
+    ranges = max(RANGES, size // RANGE_BYTES)
+    src = df.select(F.xxhash64(host_of(url_col)).alias("host"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     bits = min(60, max(36, int(size).bit_length() + SPARE_BITS))
 
-    def parse(batch: pa.RecordBatch):
-        """A row for each page with an article, and the other pages packed by piece."""
-        both = [blocks_of(p) for p in batch.column(4).to_pylist()]
-        whole = np.array([bool(keep) or not rest for keep, rest in both])
-        ready, others = pa.array(np.flatnonzero(whole)), np.flatnonzero(~whole)
-        texts = pa.array(["\n\n".join(both[i][0]) for i in ready.to_pylist()], pa.string())
-        nothing = [pa.nulls(len(ready), pa.int32()), pa.nulls(len(ready), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*nothing, batch.column(2).take(ready), batch.column(3).take(ready), texts], names=PARSED)
-        of = batch.column(0).to_numpy()[others]
-        order = np.argsort(of, kind="stable")
-        rest = pa.array([both[i][1] for i in others[order]], pa.list_(pa.string()))
-        pages = pa.table([*[c.take(pa.array(others[order])) for c in batch.columns[1:4]], rest], names=["host", "id", "url", "rest"])
-        used, at = np.unique(of[order], return_index=True)
-        packs = [freeze(pages.slice(a, b - a)) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(of)], strict=True)] if len(of) else []
-        empty = [pa.nulls(len(packs), batch.column(2).type), pa.nulls(len(packs), pa.string()), pa.nulls(len(packs), pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packs, pa.binary()), *empty], names=PARSED)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each piece: its number, and its pages' blocks."""
+        task = TaskContext.get().partitionId()
+        for k, batch in enumerate(parts(batches, 3, PIECE_BYTES)):
+            both = [blocks_of(p) for p in batch.column(3).to_pylist()]
+            article = pa.array([bool(keep) for keep, _ in both], pa.bool_())
+            blocks = pa.array([keep or rest for keep, rest in both], pa.list_(pa.string()))
+            pages = pa.table([*batch.columns[:3], article, blocks], names=["host", "id", "url", "article", "blocks"])
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k], pa.int64()), pa.array([freeze(pages)], pa.binary())], names=["piece", "pages"])
 
     def stream_of(pages: pa.Table) -> tuple[list[list[str]], Stream]:
-        rest = pages.column("rest").to_pylist()
-        return rest, Stream([[b.split(" ") for b in r] for r in rest], pages.column("host").to_pylist(), bits)
+        blocks = pages.column("blocks").to_pylist()
+        host = pages.column("host").to_numpy() ^ np.where(pages.column("article").to_numpy(), _ARTICLE, 0)
+        return blocks, Stream([[b.split(" ") for b in r] for r in blocks], host, bits)
 
     def message(to: list, about: list, codes: list[np.ndarray], counts: list[np.ndarray]) -> pa.Table:
         counts = [pa.compress(np.minimum(n, min_pages).astype("<i4").tobytes(), codec="zstd", asbytes=True) for n in counts]
-        cols = [pa.array(to, pa.int32()), pa.array(about, pa.int32()), pa.array([len(c) for c in codes], pa.int32()), pa.array(list(map(pack, codes)), pa.binary()), pa.array(counts, pa.binary())]
+        cols = [pa.array(to, pa.int32()), pa.array(about, pa.int64()), pa.array([len(c) for c in codes], pa.int32()), pa.array(list(map(pack, codes)), pa.binary()), pa.array(counts, pa.binary())]
         return pa.table(cols, names=["part", "piece", "n", "codes", "counts"])
 
-    def send(packs: pa.Table) -> pa.Table:
-        """A piece's distinct windows and their pages, cut by ranges of codes."""
-        code, n = stream_of(thaw(packs.column("pages")))[1].counts(min_words)
-        part = ((code >> np.uint64(bits - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        used, at = np.unique(part, return_index=True)
-        ends = [*at[1:].tolist(), len(code)]
-        cuts = [slice(a, b) for a, b in zip(at.tolist(), ends, strict=True)] if len(used) else []
-        return message(used.tolist(), [packs.column("piece")[0].as_py()] * len(used), [code[c] for c in cuts], [n[c] for c in cuts])
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each piece's distinct windows and their pages, cut by ranges of codes."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                code, n = stream_of(thaw(batch.column(1).slice(k, 1)))[1].counts(min_words)
+                part = ((code >> np.uint64(bits - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                used, at = np.unique(part, return_index=True)
+                cuts = [slice(a, b) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(code)], strict=False)]
+                yield from message(used.tolist(), [batch.column(0)[k].as_py()] * len(used), [code[c] for c in cuts], [n[c] for c in cuts]).to_batches()
 
     def total(sent: pa.Table) -> pa.Table:
         """Which windows of each piece enough pages of all pieces have."""
@@ -315,15 +335,19 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def finish(packs: pa.Table, back: pa.Table) -> pa.Table:
         pages = thaw(packs.column("pages"))  # a piece with windows has pages
-        rest, stream = stream_of(pages)
+        blocks, stream = stream_of(pages)
         shared = np.concatenate([np.zeros(0, np.uint64), *[unpack(r["codes"], r["n"]) for r in back.to_pylist()]])
-        texts = [unshared(r, sh) for r, sh in zip(rest, stream.shares(shared, min_words), strict=True)]
-        return pa.table([pages.column("id"), pages.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
-
-    parsed = materialize(arrow_map(src, parse, f"piece int, pages binary, id {kind}, url string, text string", 4, PACK_BYTES))
-    ready = parsed.filter("piece is null").select("id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-    blocks = parsed.filter("piece is not null").select("piece", "pages")
-    sent = blocks.groupBy("piece").applyInArrow(send, MESSAGE)
-    back = sent.groupBy("part").applyInArrow(total, MESSAGE)
-    texts = blocks.groupBy("piece").cogroup(back.groupBy("piece")).applyInArrow(finish, f"id {kind}, url string, text string, n_chars long")
-    return ready.unionByName(texts).withColumnRenamed("id", id_col)
+        shares = stream.shares(shared, min_words)
+        texts = [text_of(a, r, sh) for a, r, sh in zip(pages.column("article").to_pylist(), blocks, shares, strict=True)]
+        counts = [map(len, texts), map(len, blocks), (sum(x > MOST for x in sh) for sh in shares)]
+        return pa.table([pages.column("id"), pages.column("url"), pa.array(texts, pa.string()), *[pa.array(c, pa.int64()) for c in counts]], names=["id", "url", "text", "n_chars", "n_blocks", "n_shared"])
+
+    packs = materialize(src.mapInArrow(parse, "piece long, pages binary"))
+    back = materialize(packs.mapInArrow(send, MESSAGE).groupBy("part").applyInArrow(total, MESSAGE))
+    out = f"id {kind}, url string, text string, n_chars long, n_blocks long, n_shared long"
+    return packs.groupBy("piece").cogroup(back.groupBy("piece")).applyInArrow(finish, out).withColumnRenamed("id", id_col)
+
+
+def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_words: int = MIN_WORDS, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(id, url, text, n_chars) of every page."""
+    return judge_pages(df, id_col, url_col, html_col, min_words, min_pages).drop("n_blocks", "n_shared")
