@@ -89,3 +89,21 @@ def test_the_table_of_counts_stands_in_no_plan(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f\nx"), (2, "a b c d e f\ny")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in ld.dedup_lines(docs).collect()} == {1: "a b c d e f\nx", 2: "y"}
     assert max(lengths) < 100_000
+
+
+def test_words_are_counted_without_lines_and_sorted_as_plain_numbers(spark, monkeypatch):
+    """A text is split into words once, not first into lines; an array that could hold nulls would be sorted as objects."""
+    tables = []
+    monkeypatch.setattr(ld, "materialize", lambda df, write=ld.materialize: tables.append(df) or write(df))
+    assert ld.dedup_lines(docs(spark, make(3))).count() == 29
+    (levels,) = [t for t in tables if t.columns == ["levels"]]
+    assert levels._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    (lines,) = [t for t in tables if "keys" in t.columns]
+    assert not lines.schema["keys"].dataType.containsNull
+
+
+def test_words_of_texts_are_those_of_their_lines(spark):
+    texts = ["a b\nc  \n\n d", "É x\nplain\ty", "tab\there\nthere", "\r\n\x0b", ""]
+    df = docs(spark, texts).withColumn("line", F.explode(F.split("text", "\n")))
+    some = lambda c, **k: {(r[0], r[1]) for r in df.select("doc_id", F.explode(ld.split_words(F.col(c), **k))).collect() if r[1]}
+    assert some("text", lines=True) == some("line") and len(some("line")) == 11

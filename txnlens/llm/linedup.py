@@ -44,15 +44,16 @@ _SPACES = r"[\x20\x09-\x0D]+"
 _HASH_BITS = 59
 
 
-def split_words(line: Column) -> Column:
-    """The words, A-Z lower-cased, with empty ones where white space is doubled or at the ends.
+def split_words(line: Column, lines: bool = False) -> Column:
+    """The words of a line, or of a text of ``lines``, A-Z lower-cased, with empty ones where white space is doubled or at the ends.
 
     Words stand for themselves only up to a one-to-one code: the bytes of lines beyond ASCII are read as Latin-1, as which
     lower-casing is fast. It adds 32 to some first bytes of UTF-8 letters, which stay apart by how many others follow.
     """
     bytewise = F.decode(line.cast("binary"), "ISO-8859-1")
     folded = F.lower(F.when(F.octet_length(line) == F.length(line), line).otherwise(bytewise))
-    other_space = functools.reduce(operator.or_, [line.contains(c) for c in _SPACE[1:]])
+    other_space = functools.reduce(operator.or_, [line.contains(c) for c in _SPACE[1:] if c != "\n"])  # a line has no line feed
+    folded = F.replace(folded, F.lit("\n"), F.lit(" ")) if lines else folded
     return F.when(other_space, F.split(folded, _SPACES)).otherwise(F.split(folded, " "))  # one character is split without a pattern
 
 
@@ -61,10 +62,6 @@ def word_hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def has_word(line: Column) -> Column:
-    return F.btrim(line, F.lit(_SPACE)) != ""
-
-
 def _numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """``df`` as (doc: a number that follows the order of ids, row: all columns), and how many bits a line's number takes."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
@@ -88,15 +85,16 @@ def _numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     return joined.select((F.col("start") + F.col("n").bitwiseAND(F.lit((1 << 33) - 1))).alias("doc"), "row"), bits
 
 
-def _levels(lines: DataFrame) -> DataFrame:
+def _levels(docs: DataFrame) -> DataFrame:
     """One row, ``levels``: the buckets' counts on a log scale of 16 steps, 0 for a count of one, 16 in each number of the array."""
     count = F.col("count")
     fine = F.ceil(F.log2(count))
     level = F.least(F.lit(15), F.when(fine <= 7, fine).otherwise(7 + F.ceil((F.log2(count) - 7) / 2.5))).cast("long")
-    counts = lines.select(F.explode(split_words(F.col("line"))).alias("w")).filter("w != ''").groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).alias("b")).count()
+    words = docs.select(F.explode(split_words(F.col("text"), lines=True)).alias("w")).filter("w != ''")
+    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).alias("b")).count()
     slot = F.call_function("shiftleft", level, (F.col("b").bitwiseAND(F.lit(15)) * 4).cast("int"))
     found = counts.select(F.shiftright("b", 4).alias("b"), slot.alias("v")).groupBy("b").agg(F.bit_or("v").alias("v"))
-    every = lines.sparkSession.range(1 << (BUCKET_BITS - 4)).withColumnRenamed("id", "b").join(found, "b", "left").select("b", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    every = docs.sparkSession.range(1 << (BUCKET_BITS - 4)).withColumnRenamed("id", "b").join(found, "b", "left").select("b", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
     # in two steps, so that the last task has a row for 512 numbers
     ordered = lambda by: F.array_sort(F.collect_list(F.struct(by, "v")))
     some = every.groupBy(F.shiftright("b", 9).alias("c")).agg(F.transform(ordered("b"), lambda x: x["v"]).alias("v"))
@@ -114,15 +112,15 @@ def _fits(a: str, b: str, threshold: int) -> Column:
 def removed_lines(docs: DataFrame, bits: int, threshold: int = 80) -> DataFrame:
     """(doc, line_no) of every line of the (doc, text) rows that has a similar earlier one."""
     pos = F.shiftleft("doc", bits) + F.col("line_no")
-    texts = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(has_word(F.col("line"))).select(pos.alias("pos"), "line")
-    levels = _levels(texts)
+    texts = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(pos.alias("pos"), "line")
+    levels = _levels(docs)
     mask = F.lit((1 << _HASH_BITS) - 1)
 
     def packed(h: Column) -> Column:
-        """Level, then hash; a bucket's number is the upper bits of the hash."""
+        """Level, then hash; a bucket's number is the upper bits of the hash. Never null, so that arrays are sorted as plain numbers."""
         some = F.get(F.col("levels"), F.shiftrightunsigned(h, 68 - BUCKET_BITS).cast("int"))
         at = F.shiftrightunsigned(h, 62 - BUCKET_BITS).bitwiseAND(F.lit(60)).cast("int")
-        return F.shiftleft(F.call_function("shiftrightunsigned", some, at).bitwiseAND(F.lit(15)), _HASH_BITS).bitwiseOR(h.bitwiseAND(mask))
+        return F.coalesce(F.shiftleft(F.call_function("shiftrightunsigned", some, at).bitwiseAND(F.lit(15)), _HASH_BITS).bitwiseOR(h.bitwiseAND(mask)), h)
 
     n, i = F.col("n"), F.col("i")
     ceil = lambda a, b: F.floor((a + (b - 1)) / b).cast("int")
@@ -131,7 +129,8 @@ def removed_lines(docs: DataFrame, bits: int, threshold: int = 80) -> DataFrame:
     lines = known.select("pos", F.sort_array(F.transform(word_hashes(F.col("line")), packed)).alias("t")).select("pos", F.size("t").alias("n"), "t")
     keys = F.when(100 * n >= threshold * (n + 1), F.slice("t", 1, F.least(n, n - ceil(threshold * n, 100) + SHARED)))  # fewer words match equal sets only
     parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = materialize(lines.select("pos", "n", F.xxhash64("t").alias("s1"), F.hash("t", F.lit(7)).alias("s2"), parity.alias("parity"), keys.alias("keys")))
+    table = materialize(lines.select("pos", "n", F.xxhash64("t").alias("s1"), F.hash("t", F.lit(7)).alias("s2"), parity.alias("parity"), keys.alias("keys")))
+    lines = table.filter("n > 0")
 
     same = ["s1", "s2", "n"]
     firsts = materialize(lines.groupBy(*same).agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
@@ -140,7 +139,7 @@ def removed_lines(docs: DataFrame, bits: int, threshold: int = 80) -> DataFrame:
     level = F.shiftright("key", _HASH_BITS)
     at = F.shiftleft(n.cast("long"), 32).bitwiseOR(i.cast("long"))
     posts = materialize(classes.select("pos", "n", "parity", F.posexplode("keys").alias("i", "key")).filter(level > 0).select("key", "pos", "parity", at.alias("at")))
-    forget(levels, lines, firsts)
+    forget(levels, table, firsts)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(pos): the later lines of the (a, b) pairs that are similar."""
