@@ -102,6 +102,17 @@ def test_words_are_counted_without_lines_and_sorted_as_plain_numbers(spark, monk
     assert not lines.schema["keys"].dataType.containsNull
 
 
+@pytest.mark.parametrize("threshold", [50, 100])
+def test_pairs_are_intersected_once(spark, monkeypatch, threshold):
+    """A filter computes twice what it names twice."""
+    tables = []
+    monkeypatch.setattr(ld, "materialize", lambda df, write=ld.materialize: tables.append(df) or write(df))
+    got = rows(ld.dedup_lines(docs(spark, make(4)), threshold=threshold))
+    assert [(got[i]["text"], got[i]["n_lines"], got[i]["n_removed"]) for i in range(29)] == brute(make(4), threshold)
+    times = [t._jdf.queryExecution().optimizedPlan().toString().count("array_intersect(") for t in tables]
+    assert [n for n in times if n] == [1, 1]
+
+
 def test_words_of_texts_are_those_of_their_lines(spark):
     texts = ["a b\nc  \n\n d", "É x\nplain\ty", "tab\there\nthere", "\r\n\x0b", ""]
     df = docs(spark, texts).withColumn("line", F.explode(F.split("text", "\n")))

@@ -148,8 +148,8 @@ def removed_lines(docs: DataFrame, bits: int, threshold: int = 80) -> DataFrame:
         found = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "pos")
         words = materialize(found.select("pos", word_hashes(F.col("line")).alias("w")))
         side = lambda x: words.select(F.col("pos").alias(x), F.col("w").alias("w" + x))
-        both = F.size(F.array_intersect("wa", "wb"))
-        similar = 100 * both >= threshold * (F.size("wa") + F.size("wb") - both)
+        both = F.size(F.array_intersect("wa", "wb"))  # named once: a filter computes twice what it names twice
+        similar = (100 + threshold) * both >= threshold * (F.size("wa") + F.size("wb"))
         out = materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(similar).select(F.col("b").alias("pos")).distinct())
         forget(pairs, wanted, words)
         return out
